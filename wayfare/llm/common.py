@@ -78,3 +78,14 @@ def map_texts(
             )
 
     return chosen.mapInArrow(run, full)
+
+
+def bounded_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` of rows, those of the smallest hashes of their ids; rows whose id repeats are not taken.
+
+    Only so many hashes are broadcast; the texts stay where they are.
+    """
+    hashed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("sample"))
+    once = rows.select(F.col(f"`{id_col}`").alias("__id"), hashed.alias("__h")).groupBy("__id", "__h").agg(F.count("*").alias("__n"))
+    first = once.filter("__n = 1").orderBy("__h", "__id").limit(most).select("__id")
+    return rows.join(F.broadcast(first), F.col(f"`{id_col}`") == F.col("__id"), "left_semi")

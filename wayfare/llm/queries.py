@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, license_scan
+from wayfare.llm import bpe, chat_format, exact_dedup, language_id, license_scan, token_counts, toxicity
 from wayfare.llm.common import table
 
 #: Where the vocabulary file of a byte-level tokenizer lies.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The conversation that op8 adds: texts that look like the marks of a template.
+TRICKY = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
@@ -22,12 +25,43 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(TRICKY))
+    return chat_format.read_back(chat_format.format_conversations(turns, BYTE_BPE))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
+        "op6_language_id": op6_language_id,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_chat_format": op8_chat_format,
+        "op9_token_counts": op9_token_counts,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.license_sql()}
+    return {
+        "op1_license_scan": license_scan.license_sql(),
+        "op7_exact_dedup": exact_dedup.exact_sql(),
+    }
