@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, chat_format, exact_dedup, language_id, license_scan, token_counts, toxicity
+from wayfare.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, token_counts, toxicity
 from wayfare.llm.common import table
 
 #: Where the vocabulary file of a byte-level tokenizer lies.
@@ -25,6 +25,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
+        "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_chat_format": op8_chat_format,
