@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, token_counts, toxicity
+from wayfare.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, toxicity
 from wayfare.llm.common import table
 
 #: Where the vocabulary file of a byte-level tokenizer lies.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The shares of expected tokens that op3 aims at.
+TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
+
 #: The conversation that op8 adds: texts that look like the marks of a template.
 TRICKY = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
@@ -25,6 +29,18 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, table(spark, sf_dir, "labels"))
+    found = mixing.mixed(docs, model, TARGETS)
+    posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return found.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -56,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
+        "op3_mixing": op3_mixing,
+        "op4_fingerprints": op4_fingerprints,
         "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
