@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: The domains of the mixing stage, as conditions on the columns of labels, and the shares of expected tokens that it
 #: aims at.  Toxic documents are gone by then.  No document's rate is below 1, so none is lost.
 DOMAINS = {"good": "quality = 1", "poor": "quality = 0"}
-TARGETS = {"good": 0.88, "poor": 0.12}
+TARGETS = {"good": 0.75, "poor": 0.25}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
