@@ -4,12 +4,351 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wayfare.functions import columns
+from wayfare.operators import answers, exact, indexes, metrics, push, stats, updates, walks
+from wayfare.plans import oracle as sql
+from wayfare.plans.storage import materialize, new_path
+from wayfare.sources import csr, derived, files
+from wayfare.streaming.ops import apply_stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+#: Decimals of compared numbers.
+DECIMALS = 9
+#: Parameters of the walks and pushes.
+WALKS, STEPS, ATTEMPTS = 400, 5, 64
+PUSH_EPS, PUSH_LEVELS = 0.01, 3
+SAMPLES = columns.push_samples(PUSH_EPS, PUSH_LEVELS)
+
+
+def query(name: str, oracle: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[name] = f
+        if oracle:
+            _oracles[name] = oracle
+        return f
+
+    return register
+
+
+def rounded(name: str) -> Column:
+    return F.round(name, DECIMALS).alias(name)
+
+
+def sources(spark: SparkSession, us: list[int]) -> DataFrame:
+    """queries(query_id, u)"""
+    pairs = ", ".join(f"({k}L, {u}L)" for k, u in enumerate(us))
+    return spark.sql(f"SELECT * FROM VALUES {pairs} AS v(query_id, u)")
+
+
+# ---- graphs and statistics
+
+
+@query("scan_edges", sql.graph("nation_trade") + " SELECT src, dst, w FROM g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "edges-text")
+    files.write_edges(derived.nation_trade(spark, d), path)
+    return files.read_edges(spark, path)
+
+
+@query("graph_attribute", sql.graph("copurchase") + " SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS m, round(count(*) / (max(greatest(src, dst)) + 1) / 3, 9) AS avg_degree_div3 FROM g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return stats.attribute(derived.copurchase(spark, d)).select("n", "m", rounded("avg_degree_div3"))
+
+
+for _name, _make, _sql in (
+    ("out_degree", stats.out_degree, "SELECT src, count(*) AS deg FROM g GROUP BY src"),
+    ("in_degree", stats.in_degree, "SELECT dst, count(*) AS deg FROM g GROUP BY dst"),
+    ("out_weight", stats.out_weight, "SELECT src, sum(w) AS total FROM g GROUP BY src"),
+    ("max_out_weight", stats.max_out_weight, "SELECT src, max(w) AS max_w FROM g GROUP BY src"),
+    ("total_volume", stats.total_volume, "SELECT sum(w) AS volume FROM g"),
+    ("dangling_nodes", stats.dangling_nodes, "SELECT DISTINCT dst AS node FROM g WHERE dst NOT IN (SELECT src FROM g)"),
+    ("bucket_histogram", stats.bucket_histogram, f"SELECT src, {sql.BUCKET} AS bucket, count(*) AS cnt FROM g GROUP BY ALL"),
+    ("max_bucket", stats.max_bucket, f"SELECT src, max({sql.BUCKET}) AS max_bucket FROM g GROUP BY src"),
+    ("bucket_bitmap", stats.bucket_bitmap, f"SELECT src, CAST(sum(DISTINCT CAST(1 AS BIGINT) << {sql.BUCKET}) AS BIGINT) AS bitmap FROM g GROUP BY src"),
+    (
+        "bucket_capacity",
+        stats.bucket_capacity,
+        f"""SELECT src, bucket, cnt, greatest(CAST(ceil(1.5 * cnt) AS BIGINT), CAST(floor(ceil(sum(cnt) OVER (PARTITION BY src) / count(*) OVER (PARTITION BY src)) * CAST(1.2 AS DOUBLE)) AS BIGINT)) AS capacity
+          FROM (SELECT src, {sql.BUCKET} AS bucket, count(*) AS cnt FROM g GROUP BY ALL)""",
+    ),
+    ("transition_matrix", lambda e: indexes.transition_matrix(e).select("src", "dst", rounded("p")), "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS p FROM g"),
+    (
+        "prefix_index",
+        indexes.prefix_index,
+        "SELECT src, pos, dst, hi - w AS lo, hi, total, deg FROM (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY dst) AS hi, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER) AS pos, sum(w) OVER (PARTITION BY src) AS total, count(*) OVER (PARTITION BY src) AS deg FROM g)",
+    ),
+    ("weight_bucket", lambda e: e.select("src", "dst", columns.weight_bucket(F.col("w")).alias("bucket"), F.pow(F.lit(2.0), columns.weight_bucket(F.col("w"))).alias("bound")), f"SELECT src, dst, {sql.BUCKET} AS bucket, pow(CAST(2 AS DOUBLE), {sql.BUCKET}) AS bound FROM g"),
+    ("bucket_index", indexes.bucket_index, f"SELECT src, {sql.BUCKET} AS bucket, CAST(row_number() OVER (PARTITION BY src, {sql.BUCKET} ORDER BY dst) - 1 AS INTEGER) AS bpos, dst, w, pow(CAST(2 AS DOUBLE), {sql.BUCKET}) AS maxw FROM g"),
+    ("alias_index_distribution", lambda e: indexes.alias_distribution(indexes.alias_index(e)).filter("p > 1e-12").select("src", "dst", rounded("p")), "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS p FROM g"),
+    ("affinity_rescale", lambda e: e.select("src", "dst", columns.affinity_rescale(F.col("w") / F.lit(1e7)).alias("w")), "SELECT src, dst, greatest(w / CAST(1e7 AS DOUBLE) * 100000, 1) AS w FROM g"),
+):
+    query(_name, f"{sql.graph('cust_supp')} {_sql}")(lambda spark, d, f=_make: f(derived.cust_supp(spark, d)))
+
+
+@query(
+    "sample_sizes",
+    """SELECT eps, CAST(trunc(1 / eps / CAST(0.25 AS DOUBLE)) AS BIGINT) AS walks, CAST(trunc(CAST(0.1 AS DOUBLE) * 10 / eps * 4) AS BIGINT) AS samples_10, CAST(trunc(CAST(0.1 AS DOUBLE) * 5 / eps * 4) AS BIGINT) AS samples_5
+      FROM (SELECT CAST(unnest([0.1, 0.01, 0.001, 0.0001, 0.00001]) AS DOUBLE) AS eps)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(e, columns.walk_count(e), columns.push_samples(e, 10), columns.push_samples(e, 5)) for e in (0.1, 0.01, 0.001, 0.0001, 0.00001)]
+    return spark.createDataFrame(rows, "eps double, walks long, samples_10 long, samples_5 long")
+
+
+# ---- compressed sparse rows
+
+
+def _nations(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    edges = materialize(derived.nation_trade(spark, d), "nation-trade")
+    return edges, stats.attribute(edges).first().n
+
+
+_PTR = sql.graph("nation_trade") + ", v AS (SELECT unnest(range((SELECT max(greatest(src, dst)) + 2 FROM g))) AS src) SELECT v.src, CAST((SELECT count(*) FROM g WHERE g.src < v.src) AS BIGINT) AS ptr FROM v"
+_POS = sql.graph("nation_trade") + " SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER) AS pos, dst, w FROM g"
+
+
+@query("csr_out_ptr", _PTR)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return csr.out_ptr(*_nations(spark, d))
+
+
+@query("csr_edges", _POS)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return csr.csr_edges(_nations(spark, d)[0])
+
+
+@query("csr_roundtrip", _POS)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges, n = _nations(spark, d)
+    return csr.from_flat(csr.placed_edges(edges, n), csr.out_ptr(edges, n))
+
+
+# ---- exact and sampled distributions
+
+
+def _power(graph: str, us: list[int], length: int) -> Query:
+    return lambda spark, d: exact.power_method(getattr(derived, graph)(spark, d), sources(spark, us), length).select("query_id", "node", rounded("p"))
+
+
+for _name, _graph, _us, _length in (("power_step", "copurchase", [1], 1), ("power_method_L3", "copurchase", [1], 3), ("power_method_L10", "nation_trade", [3], 10), ("power_method_multi", "nation_trade", [1, 3, 5, 8], 4)):
+    query(_name, f"{sql.graph(_graph, 'matrix')},\n{sql.power(_us, _length)} SELECT query_id, node, round(p, 9) AS p FROM truth")(_power(_graph, _us, _length))
+
+_ANSWER = "SELECT query_id, node, cnt, round(p, 9) AS p FROM answer"
+
+
+def _answer(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "node", "cnt", rounded("p"))
+
+
+@query("prefix_walk", f"{sql.graph('transitions', 'positions', 'prefix')},\n{sql.prefix_walk([0, 3], WALKS, STEPS)} {_ANSWER}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _answer(walks.prefix_walk(derived.transitions(spark, d), sources(spark, [0, 3]), WALKS, STEPS))
+
+
+@query("alias_walk", f"{sql.graph('nation_trade', 'positions')},\n{sql.ALIAS},\n{sql.alias_walk([1, 3], WALKS, 3)} {_ANSWER}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _answer(walks.alias_walk(derived.nation_trade(spark, d), sources(spark, [1, 3]), WALKS, 3))
+
+
+@query("rejection_walk", f"{sql.graph('transitions', 'positions')},\n{sql.rejection_walk([0, 3], WALKS, 3, ATTEMPTS)} {_ANSWER}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _answer(walks.rejection_walk(derived.transitions(spark, d), sources(spark, [0, 3]), WALKS, 3, attempts=ATTEMPTS))
+
+
+@query("reject_accept_step", f"{sql.graph('transitions', 'positions')},\n{sql.rejection_walk([0, 1, 2, 3], WALKS, 1, ATTEMPTS)} {_ANSWER}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _answer(walks.rejection_walk(derived.transitions(spark, d), sources(spark, [0, 1, 2, 3]), WALKS, 1, attempts=ATTEMPTS))
+
+
+for _policy in ("drop", "stay"):
+    query(f"walk_dangling_{_policy}", f"{sql.graph('cust_supp', 'positions', 'prefix')},\n{sql.prefix_walk([1, 2], WALKS, 2, stay=_policy == 'stay')} {_ANSWER}")(
+        lambda spark, d, policy=_policy: _answer(walks.prefix_walk(derived.cust_supp(spark, d), sources(spark, [1, 2]), WALKS, 2, dangling=policy))
+    )
+
+
+def _push(graph: str, us: list[int], samples: int, levels: int) -> Query:
+    return lambda spark, d: push.sampled_push(getattr(derived, graph)(spark, d), sources(spark, us), samples, levels).select("query_id", "node", rounded("p"))
+
+
+for _name, _graph, _us, _samples, _length in (("sampled_push_step", "copurchase", [1, 2], SAMPLES, 1), ("sampled_push_walk", "copurchase", [1], SAMPLES, PUSH_LEVELS), ("sampled_push_skewed", "skewed", [0, 1], 200, 4)):
+    query(_name, f"{sql.graph(_graph, 'buckets')},\n{sql.sampled_push(_us, _samples, _length)} SELECT query_id, node, round(p, 9) AS p FROM answer")(_push(_graph, _us, _samples, _length))
+
+
+# ---- answers and metrics: prefix walks against the exact distribution
+
+_EVALUATED = f"{sql.graph('copurchase', 'positions', 'prefix', 'matrix')},\n{sql.power([1, 2], 2)},\n{sql.prefix_walk([1, 2], WALKS, 2, with_queries=False)}"
+
+
+def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An answer, the truth, and the graph."""
+    edges = materialize(derived.copurchase(spark, d), "copurchase")
+    asked = sources(spark, [1, 2])
+    answer = materialize(walks.prefix_walk(edges, asked, WALKS, 2).select("query_id", "node", "p"), "answer")
+    return answer, materialize(exact.power_method(edges, asked, 2), "truth"), edges
+
+
+def _size(edges: DataFrame) -> int:
+    return stats.attribute(edges).first().n
+
+
+_METRICS = f"{_EVALUATED},\n{sql.METRICS}"
+for _name, _sql, _make in (
+    ("metric_l1", "SELECT query_id, round(l1, 9) AS l1 FROM l1", lambda a, t, e: metrics.l1_error(a, t).select("query_id", rounded("l1"))),
+    ("metric_max_ae", "SELECT query_id, round(max_ae, 9) AS max_ae FROM ae", lambda a, t, e: metrics.max_additive_error(a, t).select("query_id", rounded("max_ae"))),
+    ("metric_precision", "SELECT query_id, round(precision, 9) AS precision FROM precise", lambda a, t, e: metrics.precision_at_k(a, t, _size(e)).select("query_id", rounded("precision"))),
+    ("metric_conductance", "SELECT query_id, round(conductance, 9) AS conductance FROM conduct", lambda a, t, e: metrics.conductance(a, e).select("query_id", rounded("conductance"))),
+    (
+        "metrics_report",
+        "SELECT round(avg(l1), 9) AS l1, round(avg(precision), 9) AS precision, round(avg(conductance), 9) AS conductance, round(avg(max_ae), 9) AS max_ae FROM l1 JOIN ae USING (query_id) JOIN precise USING (query_id) JOIN conduct USING (query_id)",
+        lambda a, t, e: metrics.report(a, t, e, _size(e)).select(*map(rounded, ("l1", "precision", "conductance", "max_ae"))),
+    ),
+    ("answer_sorted", "SELECT query_id, node, round(p, 9) AS p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, node DESC) AS rank FROM answer", lambda a, t, e: answers.ranked(a).select("query_id", "node", rounded("p"), F.col("rank").cast("long").alias("rank"))),
+    ("top_k_answer", "SELECT query_id, node FROM mine", lambda a, t, e: answers.top_k(a, 50).select("query_id", "node")),
+    ("support_union", "SELECT query_id, node FROM answer UNION SELECT query_id, node FROM truth", lambda a, t, e: answers.support_union(a, t)),
+    ("support_missing", "SELECT query_id, node FROM truth EXCEPT SELECT query_id, node FROM answer", lambda a, t, e: answers.support_missing(t, a)),
+    (
+        "topk_intersection",
+        "SELECT query_id, node FROM mine INTERSECT SELECT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, node DESC) AS k FROM truth) WHERE k <= 50",
+        lambda a, t, e: answers.topk_intersection(a, t.withColumn("p", F.round("p", 12)), 50),
+    ),
+    ("reached_count", "SELECT query_id, count(*) AS reached FROM answer GROUP BY query_id", lambda a, t, e: answers.reached_count(a)),
+):
+    query(_name, f"{_METRICS} {_sql}")(lambda spark, d, f=_make: f(*_evaluated(spark, d)))
+
+
+# ---- files of answers and queries
+
+
+@query("result_sink", f"{sql.graph('nation_trade', 'matrix')},\n{sql.power([1, 3], 2)} SELECT 'exact' AS algo, 'nation_trade' AS label, 2 AS \"L\", query_id, node, round(p, 9) AS p FROM truth")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "answers")
+    found = exact.power_method(derived.nation_trade(spark, d), sources(spark, [1, 3]), 2)
+    files.write_answers(found.select(F.lit("exact").alias("algo"), F.lit("nation_trade").alias("label"), F.lit(2).alias("L"), F.lit("0").alias("eps"), F.col("query_id").alias("u"), "node", "p"), path)
+    return files.read_answers(spark, path).select("algo", "label", F.col("L").cast("int").alias("L"), F.col("u").cast("long").alias("query_id"), "node", rounded("p"))
+
+
+@query("gt_scan", f"{sql.graph('nation_trade', 'matrix')},\n{sql.power([1, 3], 2)} SELECT query_id, node, round(p, 9) AS p FROM truth WHERE round(p, 15) > 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _queries["result_sink"](spark, d).select("query_id", "node", "p")
+
+
+@query("query_scan", "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(u AS BIGINT) AS u FROM (VALUES (0, 1), (1, 3)) v(query_id, u)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "queries")
+    files.write_queries(sources(spark, [1, 3, 5]), path)
+    return files.read_queries(spark, path, 2)
+
+
+@query("query_generate", f"{sql.graph('nation_trade')}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS idx, src FROM g), n AS (SELECT CAST(range AS BIGINT) AS query_id FROM range(50)) SELECT query_id, src AS u FROM n JOIN e ON e.idx = CAST(floor({sql.rng(repr('queries'), 'query_id')} * (SELECT count(*) FROM g)) AS BIGINT)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges, n = _nations(spark, d)
+    ptr = csr.out_ptr(edges, n)
+    flat = csr.csr_edges(edges).join(ptr, "src").select((F.col("ptr") + F.col("pos")).alias("idx"), "src")
+    return updates.generate_queries(flat, edges.count(), 50)
+
+
+@query("max_queries", sql.graph("copurchase") + ", d AS (SELECT src, count(*) AS deg FROM g GROUP BY src) SELECT row_number() OVER (ORDER BY deg DESC, src) - 1 AS query_id, src AS u, deg FROM d QUALIFY query_id < 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return updates.max_queries(derived.copurchase(spark, d), 50)
+
+
+# ---- updates: a workload of edges of transitions, deleted and inserted again with other weights
+
+OPS = 40
+_R = sql.rng(repr("ops"), "src", "dst")
+_OPS = f"{sql.graph('transitions')}, d AS (SELECT src FROM g GROUP BY src HAVING count(*) > 1), ops AS (SELECT row_number() OVER (ORDER BY {_R}, src, dst) - 1 AS seq, src, dst, w FROM g WHERE src IN (SELECT src FROM d) QUALIFY seq < {OPS})"
+_DELETED = f"{_OPS}, h AS (SELECT * FROM g WHERE (src, dst) NOT IN (SELECT (src, dst) FROM ops))"
+_UPDATED = f"{_OPS}, h AS (SELECT src, dst, w FROM g WHERE (src, dst) NOT IN (SELECT (src, dst) FROM ops) UNION ALL SELECT src, dst, w + 1 FROM ops)"
+
+
+def _workload(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph, edges to delete, edges to insert (those again, of weights one greater)."""
+    edges = materialize(derived.transitions(spark, d), "graph")
+    ops = materialize(updates.generate_ops(edges, OPS), "ops")
+    return edges, ops, ops.withColumn("w", F.col("w") + 1)
+
+
+@query("oplog_generate", f"{_OPS} SELECT CAST(seq AS BIGINT) AS seq, src, dst, w FROM ops")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _workload(spark, d)[1]
+
+
+@query("oplog_scan", f"{_OPS} SELECT src, dst, w FROM ops")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "op-log")
+    files.write_ops(_workload(spark, d)[1], path)
+    return files.read_ops(spark, path)
+
+
+@query("update_missing_keys", f"{_OPS} SELECT src, dst + 1000000 AS dst FROM ops WHERE seq % 2 = 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges, ops, _ = _workload(spark, d)
+    asked = ops.select("src", F.when(F.col("seq") % 2 == 0, F.col("dst") + 1000000).otherwise(F.col("dst")).alias("dst"))
+    return updates.missing_keys(edges, asked)
+
+
+@query("update_delete", f"{_DELETED} SELECT src, dst, w FROM h")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges, ops, _ = _workload(spark, d)
+    return updates.delete(edges, ops)
+
+
+@query("update_insert", f"{_OPS} SELECT src, dst, w FROM g UNION ALL SELECT src, dst, w + 1 FROM ops")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges, _, again = _workload(spark, d)
+    return updates.insert(edges, again)
+
+
+@query("update_apply", f"{_UPDATED} SELECT src, dst, w FROM h")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return updates.apply(*_workload(spark, d))
+
+
+def _refreshed(build: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        edges, gone, new = _workload(spark, d)
+        after = materialize(updates.apply(edges, gone, new), "updated")
+        return updates.refresh(build(edges), after, updates.touched(gone, new), build)
+
+    return run
+
+
+for _name, _build, _sql in (
+    ("update_bucket_stats", stats.bucket_histogram, f"SELECT src, {sql.BUCKET} AS bucket, count(*) AS cnt FROM h GROUP BY ALL"),
+    ("update_bucket_index", indexes.bucket_index, f"SELECT src, {sql.BUCKET} AS bucket, CAST(row_number() OVER (PARTITION BY src, {sql.BUCKET} ORDER BY dst) - 1 AS INTEGER) AS bpos, dst, w, pow(CAST(2 AS DOUBLE), {sql.BUCKET}) AS maxw FROM h"),
+    ("update_prefix_index", lambda e: indexes.prefix_index(e).select("src", "pos", "dst", "lo", "hi", "total"), "SELECT src, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, dst, sum(w) OVER w - w AS lo, sum(w) OVER w AS hi, sum(w) OVER (PARTITION BY src) AS total FROM h WINDOW w AS (PARTITION BY src ORDER BY dst)"),
+    ("update_alias_index", lambda e: indexes.alias_distribution(indexes.alias_index(e)).filter("p > 1e-12").select("src", "dst", rounded("p")), "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS p FROM h"),
+):
+    query(_name, f"{_UPDATED} {_sql}")(_refreshed(_build))
+
+
+@query("update_overhead", "SELECT 'a' AS label, algo, seconds, seconds - 2 AS overhead FROM (VALUES ('plain', CAST(2 AS DOUBLE)), ('alias', CAST(7 AS DOUBLE))) v(algo, seconds)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("a", "plain", "delete", 1.0), ("a", "plain", "insert", 3.0), ("a", "alias", "delete", 6.0), ("a", "alias", "insert", 8.0), ("a", "alias", "memory", 1.0)]
+    return updates.update_overhead(spark.createDataFrame(rows, "label string, algo string, kind string, value double"), "plain")
+
+
+@query("update_stream", f"{_UPDATED} SELECT src, dst, w FROM h")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Our extension: the same updates as a stream of op-log files, one micro-batch for each file."""
+    edges, gone, new = _workload(spark, d)
+    folder = new_path(spark, "op-stream")
+    for k, (op, rows) in enumerate((("delete", gone), ("insert", new))):
+        rows.select(F.lit(op).alias("op"), "src", "dst", "w").coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k}")
+    stream = spark.readStream.schema("op string, src long, dst long, w double, part int").option("maxFilesPerTrigger", 100).parquet(f"{folder}/in").drop("part")
+    return apply_stream(spark, edges, stream, f"{folder}/graph")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
