@@ -114,38 +114,40 @@ class Voters:
         return out
 
 
-def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The generative label model: posterior of the toxic class for each row, accuracies, shares of own evidence.
 
-    votes is 0 or 1 by row and voter, labels 0 or 1 by row.  Accuracies are the chances to vote in the clean and
-    the toxic class, of the label last.  A voter's own share is 1 over 1 plus its correlations with other voters
-    within the classes, where these are positive.
+    votes is 0 or 1 by row and voter, labels 0 or 1 by row.  A voter that is silent abstains and gives no evidence of
+    its own; that all are silent is a vote of one more voter.  The label votes either way.  Accuracies are the chances
+    to vote in the clean and the toxic class, of the silence and the label last.  A voter's own share is 1 over 1 plus
+    its correlations with other voters within the classes, where these are positive; the label's is 1.
     """
-    seen = np.column_stack([votes, labels]).astype(np.float64)
+    silent = 1 - votes.max(axis=1, initial=0)
+    seen = np.column_stack([votes, silent, labels]).astype(np.float64)
     post = np.where(labels > 0, 0.95, 0.05)
-    own = np.ones(seen.shape[1])
-    rate = np.full((2, seen.shape[1]), 0.5)
+    own, rate = np.ones(seen.shape[1]), np.full((2, seen.shape[1]), 0.5)
     for _ in range(rounds):
         weight = np.stack([1 - post, post])
-        rate = (weight @ seen + 0.5) / (weight.sum(axis=1, keepdims=True) + 1.0)
-        centred = np.stack([seen - rate[0], seen - rate[1]])
-        within = sum((c * w[:, None]).T @ c for c, w in zip(centred, weight, strict=True))
+        size = weight.sum(axis=1, keepdims=True)
+        rate = (weight @ seen + 0.5) / (size + 1.0)
+        # the covariance that is left when the classes' means are taken off
+        within = (seen.T @ seen) - (rate * size).T @ rate
         scale = np.sqrt(np.maximum(np.diag(within), 1e-9))
-        correlation = within / np.outer(scale, scale)
+        correlation = np.clip(within / np.outer(scale, scale), 0.0, 1.0)
         np.fill_diagonal(correlation, 0.0)
-        own = 1.0 / (1.0 + np.maximum(correlation, 0.0).sum(axis=1))
-        prior = weight.sum(axis=1) / len(seen)
-        evidence = seen @ (own * np.log(rate[1] / rate[0])) + (1 - seen) @ (own * np.log((1 - rate[1]) / (1 - rate[0])))
-        logit = np.clip(math.log(prior[1] / prior[0]) + evidence, -30, 30)
-        new = 1 / (1 + np.exp(-logit))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
+        correlation[-1] = correlation[:, -1] = 0.0
+        own = 1.0 / (1.0 + correlation.sum(axis=1))
+        spoken = seen @ (own * np.log(rate[1] / rate[0]))
+        unlabelled = (1 - seen[:, -1]) * math.log((1 - rate[1, -1]) / (1 - rate[0, -1]))
+        logit = np.clip(math.log(size[1, 0] / size[0, 0]) + spoken + unlabelled, -30, 30)
+        new = np.clip(1 / (1 + np.exp(-logit)), 1e-6, 1 - 1e-6)
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-6:
             break
-        post = np.clip(new, 1e-6, 1 - 1e-6)
     return post, rate, own
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft targets by Newton's method; the constant comes last and is not penalised."""
     x = np.column_stack([x, np.ones(len(x))])
     ridge = np.full(x.shape[1], penalty)
@@ -173,7 +175,7 @@ class ToxicityModel:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 20_000, voters: int = 200, least: int = 5,
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, voters: int = 200, least: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> ToxicityModel:
     """A model of the labelled rows whose id's crc32 modulo 5 is not 0.
