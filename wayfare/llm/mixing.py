@@ -10,6 +10,7 @@ is a fold of its posteriors over the steps so far.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,11 @@ def beginnings() -> Column:
     return F.transform("__words", lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, of which value is worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 @dataclass
 class DomainModel:
     """A Bernoulli naive Bayes classifier over tokens: what each known token adds to the log odds, by domain."""
@@ -70,8 +76,8 @@ class DomainModel:
             table = F.create_map(*[x for t, w in self.weights.items() for x in (F.lit(t), F.array(*map(F.lit, w)))])
             add = lambda a, w: F.zip_with(a, w, lambda x, y: x + y)
             logits = F.zip_with(logits, F.aggregate(F.transform(found, lambda t: table[t]), zero, add), lambda x, y: x + y)
-        odds = F.transform(logits, lambda x: F.exp(F.greatest(x - F.array_max(logits), F.lit(-30.0))))
-        return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+        odds = let(logits, lambda v: F.transform(v, lambda x: F.exp(F.greatest(x - F.array_max(v), F.lit(-30.0)))))
+        return let(odds, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, b: a + b)))
 
 
 def train(
