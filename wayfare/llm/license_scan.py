@@ -252,13 +252,13 @@ def license_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     def places(t: Template) -> str:
         words = [w.decode() for _, w in parse(t.markup)]
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
-        return f"list_filter(range(1, len(w) - {len(words) - 2}), i -> {test})"
+        return f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {test})"
 
     hit = lambda t: f"regexp_matches(j, '{template_regex(t)}')"
     labels = ", ".join(f"CASE WHEN {hit(t)} THEN '{t.label}' END" for t in templates)
     most = ", ".join(f"CASE WHEN {hit(t)} THEN {mandatory(parse(t.markup))} ELSE 0 END" for t in templates)
     base_labels = ", ".join(f"CASE WHEN {hit(t)} THEN '{t.label}' END" for t in base)
-    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], z -> z IS NOT NULL))), ',')"
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda z: z IS NOT NULL))), ',')"
     return rf"""
 WITH a AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
