@@ -120,7 +120,8 @@ def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) ->
     votes is 0 or 1 by row and voter, labels 0 or 1 by row.  A voter that is silent abstains and gives no evidence of
     its own; that all are silent is a vote of one more voter.  The label votes either way.  Accuracies are the chances
     to vote in the clean and the toxic class, of the silence and the label last.  A voter's own share is 1 over 1 plus
-    its correlations with other voters within the classes, where these are positive; the label's is 1.
+    its correlations with other voters within the classes, where these are positive, and with the silence, where the
+    sign doesn't matter; the label's is 1.
     """
     silent = 1 - votes.max(axis=1, initial=0)
     seen = np.column_stack([votes, silent, labels]).astype(np.float64)
@@ -133,7 +134,9 @@ def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) ->
         # the covariance that is left when the classes' means are taken off
         within = (seen.T @ seen) - (rate * size).T @ rate
         scale = np.sqrt(np.maximum(np.diag(within), 1e-9))
-        correlation = np.clip(within / np.outer(scale, scale), 0.0, 1.0)
+        correlation = np.clip(within / np.outer(scale, scale), -1.0, 1.0)
+        correlation[-2], correlation[:, -2] = np.abs(correlation[-2]), np.abs(correlation[:, -2])
+        correlation = np.maximum(correlation, 0.0)
         np.fill_diagonal(correlation, 0.0)
         correlation[-1] = correlation[:, -1] = 0.0
         own = 1.0 / (1.0 + correlation.sum(axis=1))
