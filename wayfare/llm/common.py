@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wayfare.plans.storage import materialize, new_path, shared_folder
+
+__all__ = ["ascii_lower", "bounded_sample", "id_fold", "map_texts", "materialize", "new_path", "shared_folder", "table"]
+
 #: Upper and lower case of the 26 ASCII letters, for case folding that leaves every other character alone.
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -20,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset, as on one machine in tests, a temporary folder stands in for it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps neither recompute it nor depend on the executor that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus: the split into learning and held-out rows."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> Data
     return placed.select("bucket", F.row_number().over(order).alias("seq"), "doc_id", "text", "tail", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
 
 
-def fingerprints(docs: DataFrame, samples: int = 16, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 32, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next greater id, for the last one the first; rows of one id follow each
