@@ -16,10 +16,19 @@ ORDER = ("dst", "w")
 UP_TO_HERE = (W.unboundedPreceding, 0)
 
 
+def with_totals(edges: DataFrame) -> DataFrame:
+    """edges with total, the weight that leaves their source.
+
+    By an aggregation and a join, not a window: the edges of a hub are summed where they are and may be split among
+    tasks when they are joined.
+    """
+    return edges.join(edges.groupBy("src").agg(F.sum("w").alias("total")), "src")
+
+
 def transition_matrix(edges: DataFrame) -> DataFrame:
     """src, dst, p: the chance of each step; parallel edges add up."""
     merged = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    return merged.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("src"))).select("src", "dst", "p")
+    return with_totals(merged).select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
 def positions(edges: DataFrame) -> DataFrame:
@@ -100,8 +109,7 @@ def bucket_index(edges: DataFrame) -> DataFrame:
 
 def push_index(edges: DataFrame) -> DataFrame:
     """src, dst, w, maxw, total: what a sampled push needs of an edge."""
-    total = F.sum("w").over(W.partitionBy("src"))
-    return edges.select("src", "dst", "w", F.pow(F.lit(2.0), weight_bucket(F.col("w"))).alias("maxw"), total.alias("total"))
+    return with_totals(edges).select("src", "dst", "w", F.pow(F.lit(2.0), weight_bucket(F.col("w"))).alias("maxw"), "total")
 
 
 def rejection_index(edges: DataFrame) -> DataFrame:
