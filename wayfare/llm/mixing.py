@@ -33,9 +33,10 @@ DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "poor": "quality = 0"}
 def shaped(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with n_tokens (the number of its words, runs of letters), __words (distinct) and __shape (tokens of form)."""
     text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    words = F.filter(F.split(text, BETWEEN), lambda w: w != "")
-    some = docs.withColumn("__text", text).withColumn("__all", words).withColumn("__words", F.array_distinct("__all"))
-    n, chars = F.size("__all"), F.length("__text")
+    some = docs.withColumn("__text", text).withColumn("__all", F.split("__text", BETWEEN)).withColumn("__words", F.array_distinct("__all"))
+    # only the first and the last piece can be empty
+    ends = [(F.element_at("__all", k) == "").cast("int") for k in (1, -1)]
+    n, chars = F.greatest(F.size("__all") - ends[0] - ends[1], F.lit(0)), F.length("__text")
     symbols = F.length(F.regexp_replace("__text", PLAIN, ""))
     form = {
         "symbols": F.least(F.floor(F.lit(40) * symbols / (chars + 1)), F.lit(20)),
@@ -48,7 +49,13 @@ def shaped(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def beginnings() -> Column:
-    return F.transform("__words", lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*")))
+    return F.transform("__words", lambda w: F.substring(w, 1, BEGINNING))
+
+
+def known_beginnings(tokens: list[str]) -> Column:
+    """The tokens, each the beginning of a word and a star, whose beginning a row has."""
+    found = F.array_intersect(beginnings(), F.array(*[F.lit(t[:-1]) for t in tokens]))
+    return F.transform(found, lambda b: F.concat(b, F.lit("*")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,7 +77,7 @@ class DomainModel:
         tokens = {True: [t for t in self.weights if t.endswith("*")], False: [t for t in self.weights if not t.endswith("*")]}
         found = F.array_intersect(F.concat("__words", "__shape"), F.array(*map(F.lit, tokens[False]))) if tokens[False] else F.array().cast("array<string>")
         if tokens[True]:
-            found = F.concat(found, F.array_intersect(beginnings(), F.array(*map(F.lit, tokens[True]))))
+            found = F.concat(found, known_beginnings(tokens[True]))
         logits = F.array(*map(F.lit, self.bias))
         if self.weights:
             table = F.create_map(*[x for t, w in self.weights.items() for x in (F.lit(t), F.array(*map(F.lit, w)))])
@@ -95,7 +102,7 @@ def train(
     labelled = labels.select(F.col(f"`{id_col}`").alias("doc_id"), case.alias("__domain")).filter("__domain is not null and doc_id is not null")
     chosen = bounded_sample(labelled, sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = materialize(shaped(texts, "text").select("__domain", F.array_distinct(F.concat("__words", beginnings(), "__shape")).alias("__tokens")), "labelled")
+    rows = materialize(shaped(texts, "text").select("__domain", F.array_distinct(F.concat("__words", F.transform(beginnings(), lambda b: F.concat(b, F.lit("*"))), "__shape")).alias("__tokens")), "labelled")
     size = np.zeros(len(names))
     for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect():
         size[r["__domain"]] = r.n
@@ -154,9 +161,9 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
 
 def mixed(
     docs: DataFrame, model: DomainModel, weights: dict[str, float], tokens: float | None = None, least: float = 0.0, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True,
 ) -> DataFrame:
-    """docs with n_tokens, p (posteriors in order of model.domains), rate and copies.
+    """docs (without their texts unless keep_text) with n_tokens, p (posteriors in order of model.domains), rate and copies.
 
     weights are the shares of the domains' expected tokens, tokens is their sum; by default as many as docs has, or,
     if least is positive, so many that every domain's target is at least `least` times what it has.  copies is the
@@ -165,7 +172,9 @@ def mixed(
     their own; an empty table gives no rows; columns of docs that are called n_tokens, p, rate or copies are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_tokens", "p", "rate", "copies")]
-    rows = materialize(shaped(docs.select(*[F.col(f"`{c}`") for c in names]), text_col).select(*[F.col(f"`{c}`") for c in names if c != text_col], "n_tokens", model.posterior().alias("p"), *([F.col(f"`{text_col}`")] if text_col in names else [])), "memberships")
+    kept = [F.col(f"`{c}`") for c in names if keep_text or c != text_col]
+    rows = shaped(docs.select(*[F.col(f"`{c}`") for c in names]), text_col)
+    rows = materialize(rows.select(*kept, "n_tokens", model.posterior().alias("p")), "memberships")
     share = np.array([weights.get(d, 0.0) for d in model.domains], dtype=float)
     share = share / share.sum()
     has = np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(share))]).first()])
@@ -175,7 +184,7 @@ def mixed(
     steps = fit_rates(rows.select("n_tokens", "p"), list(share * tokens), least)
     u = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(f"copies {seed}")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     found = rows.withColumn("rate", rate_of(steps, least))
-    return found.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).select(*[F.col(f"`{c}`") for c in names], "n_tokens", "p", "rate", "copies")
+    return found.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).select(*kept, "n_tokens", "p", "rate", "copies")
 
 
 def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], least: float = 1.0, seed: int = 0) -> DataFrame:

@@ -32,7 +32,7 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.train(docs, table(spark, sf_dir, "labels"))
-    found = mixing.mixed(docs, model, TARGETS)
+    found = mixing.mixed(docs, model, TARGETS, keep_text=False)
     posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]
     return found.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
 
