@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.indexes import transition_matrix
-from wayfare.plans.storage import materialize
+from wayfare.plans.storage import bucketed, materialize
 
 
 def power_step(state: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -18,11 +18,12 @@ def power_step(state: DataFrame, matrix: DataFrame) -> DataFrame:
 def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: int = 8) -> DataFrame:
     """answer (query_id, node, p) of queries (query_id, u) after exactly `length` steps; all queries in one plan.
 
-    The lineage is cut every cut_every steps by a written table.
+    The matrix is written once, in buckets by src, so that a step moves the state alone.  The lineage is cut every
+    cut_every steps by a written table.
     """
     matrix = transition_matrix(edges)
-    if length > cut_every:
-        matrix = materialize(matrix, "transitions")
+    if length > 1:
+        matrix = bucketed(matrix, ["src"], "transitions")
     state = queries.select("query_id", F.col("u").alias("node"), F.lit(1.0).alias("p"))
     for k in range(1, length + 1):
         state = power_step(state, matrix)

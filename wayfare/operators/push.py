@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.columns import rng
 from wayfare.operators.indexes import push_index
-from wayfare.plans.storage import materialize
+from wayfare.plans.storage import bucketed, materialize
 
 #: Decimals that masses keep between levels, so that coins fall alike whatever the order of summation.
 DECIMALS = 12
@@ -45,9 +45,10 @@ def push_step(state: DataFrame, index: DataFrame, seed: str, level: int) -> Data
 def sampled_push(edges: DataFrame, queries: DataFrame, samples: int, length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
     """answer (query_id, node, p): the mean over samples of the mass at each node after `length` levels.
 
-    The last level is not summed by sample first: its masses go straight into the mean.
+    The index is written once, in buckets by src, so that a level moves the state alone.  The last level is not summed
+    by sample first: its masses go straight into the mean.
     """
-    index = materialize(push_index(edges), "push-index")
+    index = bucketed(push_index(edges), ["src"], "push-index")
     state = start(queries, samples)
     for level in range(1, length):
         state = push_step(state, index, seed, level)

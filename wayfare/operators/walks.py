@@ -1,5 +1,8 @@
 """Monte-Carlo walks: all walks of all queries at once, one equi-join with an index for each step.
 
+The index is written in buckets by the join's keys, so a step moves the walks alone; and it tells the degree and weight
+of the node that an edge leads to, so the next step needs no other table.
+
 A draw depends on (seed, query, walk, step, draw number) alone, so results are the same on any cluster.
 `dangling` says what happens to a walk at a node without out-edges before its last step: drop it, or let it stay there.
 """
@@ -8,17 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import rng
 from wayfare.operators.indexes import alias_index, cell, guided_prefix_index, rejection_index
-from wayfare.plans.storage import materialize
+from wayfare.plans.storage import bucketed, materialize
+
+#: What a walk carries about its node: out-degree and out-weight, null at dangling nodes.
+ABOUT = ("deg", "total")
+
+
+def about(edges: DataFrame) -> DataFrame:
+    """node, deg, total of all nodes with out-edges."""
+    return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg"), F.sum("w").alias("total"))
 
 
-def start(queries: DataFrame, walks: int) -> DataFrame:
-    """state (query_id, walk, node): `walks` walks for each of queries (query_id, u)."""
-    return queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(walks - 1).cast("long"))).alias("walk"), F.col("u").alias("node"))
+def carrying(index: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
+    """index with what a walk must know of the node that column `target` leads to, so that a step is one join."""
+    facts = nodes.select(F.col("node").alias(target), *[F.col(c).alias(f"{target}_{c}") for c in ABOUT])
+    return index.join(facts, target, "left")
+
+
+def start(queries: DataFrame, nodes: DataFrame, walks: int) -> DataFrame:
+    """state (query_id, walk, node, deg, total): `walks` walks for each of queries (query_id, u)."""
+    sources = queries.select("query_id", F.col("u").alias("node")).join(nodes, "node", "left")
+    return sources.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(walks - 1).cast("long"))).alias("walk"), "node", *ABOUT)
 
 
 def finish(state: DataFrame, walks: int) -> DataFrame:
@@ -27,70 +45,67 @@ def finish(state: DataFrame, walks: int) -> DataFrame:
     return counted.withColumn("p", F.col("cnt") / F.lit(float(walks)))
 
 
-def _draw(seed: str, step: int, number: int):
+def _draw(seed: str, step: int, number: int) -> Column:
     return rng(seed, F.col("query_id"), F.col("walk"), step, number)
 
 
-def _move(state: DataFrame, drawn: DataFrame, dangling: str) -> DataFrame:
-    """drawn has (query_id, walk, node, dst); with `stay`, walks that aren't in it stay where they are."""
-    if dangling == "drop":
-        return drawn.select("query_id", "walk", F.col("dst").alias("node"))
-    if dangling != "stay":
-        raise ValueError(f"unknown policy {dangling}")
-    moved = drawn.select("query_id", "walk", "dst")
-    return state.join(moved, ["query_id", "walk"], "left").select("query_id", "walk", F.coalesce("dst", "node").alias("node"))
+#: A step makes moves (query_id, walk, to, to_deg, to_total) of state; walks without a move are missing.
+Step = Callable[[DataFrame, int], DataFrame]
 
 
-def _walk(queries: DataFrame, walks: int, length: int, step: Callable[[DataFrame, int], DataFrame], dangling: str, cut_every: int = 8) -> DataFrame:
-    state = start(queries, walks)
+def _walk(queries: DataFrame, nodes: DataFrame, walks: int, length: int, step: Step, dangling: str, cut_every: int = 8) -> DataFrame:
+    if dangling not in ("drop", "stay"):
+        raise ValueError(f"unknown policy {dangling}")
+    state = start(queries, nodes, walks)
     for k in range(1, length + 1):
-        state = _move(state, step(state, k), dangling)
-        if k % cut_every == 0 and k < length:
-            state = materialize(state, "walks")
+        moves = step(state.filter("deg is not null"), k)
+        moved = moves.select("query_id", "walk", F.col("to").alias("node"), *[F.col(f"to_{c}").alias(c) for c in ABOUT])
+        if dangling == "stay":
+            moved = moved.unionByName(state.join(moves.select("query_id", "walk"), ["query_id", "walk"], "left_anti"))
+        state = materialize(moved, "walks") if k % cut_every == 0 and k < length else moved
     return finish(state, walks)
 
 
-def prefix_step(state: DataFrame, index: DataFrame, totals: DataFrame, seed: str, k: int) -> DataFrame:
+def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFrame:
     """Draw a number in the range of the node's weights, look into its cell, take the edge that owns it."""
-    at = state.join(totals, F.col("node") == F.col("src")).drop("src").withColumn("x", _draw(seed, k, 0) * F.col("total"))
-    at = at.withColumn("cell", cell(F.col("x"), F.col("total"), F.col("deg")))
-    edges = index.select("src", F.col("cell").alias("__cell"), "lo", "hi", "dst")
-    met = at.join(edges, (F.col("node") == F.col("src")) & (F.col("cell") == F.col("__cell")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    return met.select("query_id", "walk", "node", "dst")
+    at = state.withColumn("x", _draw(seed, k, 0) * F.col("total"))
+    at = at.withColumn("at", cell(F.col("x"), F.col("total"), F.col("deg")))
+    met = at.join(index, (F.col("node") == F.col("src")) & (F.col("at") == F.col("cell")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
+    return met.select("query_id", "walk", "to", "to_deg", "to_total")
 
 
 def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "prefix", dangling: str = "drop") -> DataFrame:
     """Walks that draw by prefix sums of weights."""
-    index = materialize(guided_prefix_index(edges), "prefix-index")
-    totals = index.filter("pos = 0 and cell = 0").select("src", "total", "deg")
-    return _walk(queries, walks, length, lambda state, k: prefix_step(state, index, totals, seed, k), dangling)
+    nodes = materialize(about(edges), "nodes")
+    index = guided_prefix_index(edges).select("src", "cell", "lo", "hi", F.col("dst").alias("to"))
+    index = bucketed(carrying(index, nodes, "to"), ["src", "cell"], "prefix-index")
+    return _walk(queries, nodes, walks, length, lambda state, k: prefix_step(state, index, seed, k), dangling)
 
 
-def alias_step(state: DataFrame, index: DataFrame, degrees: DataFrame, seed: str, k: int) -> DataFrame:
+def alias_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFrame:
     """Draw a slot, then its own neighbour or its alias."""
-    at = state.join(degrees, F.col("node") == F.col("src")).drop("src")
-    at = at.withColumn("slot", F.floor(_draw(seed, k, 0) * F.col("deg")))
-    slots = index.select("src", F.col("slot").alias("__slot"), "p", F.col("dst").alias("__own"), "alias_dst")
-    met = at.join(slots, (F.col("node") == F.col("src")) & (F.col("slot") == F.col("__slot")))
-    return met.select("query_id", "walk", "node", F.when(_draw(seed, k, 1) < F.col("p"), F.col("__own")).otherwise(F.col("alias_dst")).alias("dst"))
+    at = state.withColumn("at", F.floor(_draw(seed, k, 0) * F.col("deg")))
+    met = at.join(index, (F.col("node") == F.col("src")) & (F.col("at") == F.col("slot")))
+    own = _draw(seed, k, 1) < F.col("p")
+    return met.select("query_id", "walk", *[F.when(own, F.col(f"own{c}")).otherwise(F.col(f"other{c}")).alias(f"to{c}") for c in ("", "_deg", "_total")])
 
 
 def alias_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "alias", dangling: str = "drop") -> DataFrame:
     """Walks that draw by alias slots."""
-    index = materialize(alias_index(edges), "alias-index")
-    degrees = index.filter("slot = 0").select("src", "deg")
-    return _walk(queries, walks, length, lambda state, k: alias_step(state, index, degrees, seed, k), dangling)
+    nodes = materialize(about(edges), "nodes")
+    index = alias_index(edges).select("src", F.col("slot").cast("long").alias("slot"), "p", F.col("dst").alias("own"), F.col("alias_dst").alias("other"))
+    index = bucketed(carrying(carrying(index, nodes, "own"), nodes, "other"), ["src", "slot"], "alias-index")
+    return _walk(queries, nodes, walks, length, lambda state, k: alias_step(state, index, seed, k), dangling)
 
 
-def rejection_step(state: DataFrame, index: DataFrame, degrees: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
+def rejection_step(state: DataFrame, index: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
     """Draw uniform neighbours, and take the first that is accepted among `attempts` of them."""
-    at = state.join(degrees, F.col("node") == F.col("src")).drop("src")
-    at = at.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    at = at.withColumn("pos", F.floor(rng(seed, F.col("query_id"), F.col("walk"), k, F.col("attempt") * 2) * F.col("deg")))
-    edges = index.select("src", F.col("pos").alias("__pos"), "dst", "accept")
-    met = at.join(edges, (F.col("node") == F.col("src")) & (F.col("pos") == F.col("__pos")))
+    at = state.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    at = at.withColumn("at", F.floor(rng(seed, F.col("query_id"), F.col("walk"), k, F.col("attempt") * 2) * F.col("deg")))
+    met = at.join(index, (F.col("node") == F.col("src")) & (F.col("at") == F.col("pos")))
     taken = met.filter(rng(seed, F.col("query_id"), F.col("walk"), k, F.col("attempt") * 2 + 1) < F.col("accept"))
-    return taken.groupBy("query_id", "walk", "node").agg(F.min(F.struct("attempt", "dst")).alias("first")).select("query_id", "walk", "node", F.col("first.dst").alias("dst"))
+    first = taken.groupBy("query_id", "walk").agg(F.min(F.struct("attempt", "to", "to_deg", "to_total")).alias("first"))
+    return first.select("query_id", "walk", "first.to", "first.to_deg", "first.to_total")
 
 
 def least_acceptance(edges: DataFrame) -> DataFrame:
@@ -104,6 +119,7 @@ def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int
 
     A walk with no accepted neighbour among `attempts` counts as dangling: choose attempts by least_acceptance.
     """
-    index = materialize(rejection_index(edges), "rejection-index")
-    degrees = index.filter("pos = 0").select("src", "deg")
-    return _walk(queries, walks, length, lambda state, k: rejection_step(state, index, degrees, seed, k, attempts), dangling)
+    nodes = materialize(about(edges), "nodes")
+    index = rejection_index(edges).select("src", F.col("pos").cast("long").alias("pos"), F.col("dst").alias("to"), "accept")
+    index = bucketed(carrying(index, nodes, "to"), ["src", "pos"], "rejection-index")
+    return _walk(queries, nodes, walks, length, lambda state, k: rejection_step(state, index, seed, k, attempts), dangling)

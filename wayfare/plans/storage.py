@@ -26,3 +26,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Write df as a table dealt into buckets by keys and sorted by them within, and read it back.
+
+    A join on exactly these keys then moves the other side only, however often it is repeated.  There are as many
+    buckets as shuffle partitions, so that the two fit each other.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = f"{label}-{path.rpartition('-')[2]}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one task for each bucket, so that a bucket is one file
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
