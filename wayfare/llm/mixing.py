@@ -139,18 +139,21 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
     """The steps of projected gradient least squares over rows (n_tokens, p); targets in tokens.
 
     Each gradient is scaled by the inverse of the domains' second moments over the rows that are not held at the
-    least rate, so that few steps are needed; all sums are taken over all rows.
+    least rate, so that few steps are needed; all sums are taken over all rows.  It ends when the totals are at the
+    targets or no longer move, as rates held at the least one may keep them off.
     """
     k = len(targets)
-    goal, steps = np.array(targets), []
+    goal, steps, before = np.array(targets), [], None
     for _ in range(rounds):
         r, n = F.col("__r"), F.col("n_tokens")
         free = F.when(r > least, n).otherwise(F.lit(0))
         sums = [F.sum(n * r * F.col("p")[a]) for a in range(k)] + [F.sum(free * F.col("p")[a] * F.col("p")[b]) for a in range(k) for b in range(a, k)]
         got = [x or 0.0 for x in rows.withColumn("__r", rate_of(steps, least)).agg(*sums).first()]
-        off = np.array(got[:k]) - goal
-        if np.abs(off).max() <= tolerance * max(1.0, goal.sum()):
+        now = np.array(got[:k])
+        off, slack = now - goal, tolerance * max(1.0, goal.sum())
+        if np.abs(off).max() <= slack or (before is not None and np.abs(now - before).max() <= slack):
             break
+        before = now
         moments = np.zeros((k, k))
         moments[np.triu_indices(k)] = got[k:]
         moments += np.triu(moments, 1).T
