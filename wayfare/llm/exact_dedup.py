@@ -74,7 +74,7 @@ def tree_merge(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1000) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars (of the original text).
 
     Texts are equal when they are identical without white space; null counts as empty.  Of equal texts the one with
     the most code points stays, then the one of the smallest id; null ids come last.  kept is true for the row
@@ -93,20 +93,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = found.select(rest.columns).unionByName(rest)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
     # only rows that may stay are numbered, so that a group's many copies never meet
-    kept = both.filter(stays).groupBy("doc_id", "keep_id", "group_size", "text_sha256").agg(F.count("*").alias("times"))
+    kept = both.filter(stays).groupBy("doc_id", "keep_id", "group_size", "text_sha256", "n_chars").agg(F.count("*").alias("times"))
     kept = kept.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
-    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars"]
     return kept.withColumn("kept", F.col("k") == 1).select(names).unionByName(both.filter(~stays).withColumn("kept", F.lit(False)).select(names))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, all columns; rows repeating an id come down to one for each text."""
+    """The rows of docs that exact_groups keeps, all columns; of rows that repeat both id and text, one."""
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.sha2(stripped(docs[f"`{text_col}`"]).cast("binary"), 256) == F.col("__sha"))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.sha2(stripped(text).cast("binary"), 256) == F.col("__sha")) & (F.length(text) == F.col("__n"))
     chosen = docs.join(kept, same, "left_semi")
+    # rows that repeat are rare, and only then are texts compared for them
     repeats = groups.filter("kept = false and doc_id <=> keep_id").limit(1).count()
-    return chosen.dropDuplicates([id_col]) if repeats else chosen
+    if not repeats:
+        return chosen
+    digest = F.sha2(stripped(F.col(f"`{text_col}`")).cast("binary"), 256)
+    return chosen.withColumn("__sha", digest).dropDuplicates([id_col, "__sha"]).drop("__sha")
 
 
 def exact_sql() -> str:
@@ -119,4 +124,4 @@ b AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
     CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size
   FROM a)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b"""
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, CAST(n AS BIGINT) AS n_chars FROM b"""
