@@ -176,3 +176,22 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
 
     schema = f"conv_id {chosen.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
     return chosen.mapInArrow(run, schema)
+
+
+def chat_sql(tricky: str, template: ChatTemplate = ChatTemplate()) -> str:  # noqa: B008
+    """DuckDB SQL for the digests of read_back (without token counts) over conversations and one more, of text tricky."""
+    control = "|".join(re.escape(c) for c in template.control).replace("'", "''")
+    escaped = lambda x: f"length({x}) + length({x}) - length(replace({x}, '\\', '')) + len(regexp_extract_all({x}, '{control}'))"
+    marks = len(template.begin) + len(template.middle) + len(template.end)
+    learned = ", ".join(f"'{r}'" for r in template.learned)
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{tricky}' UNION ALL SELECT -1, 1, 'assistant', '{tricky}'),
+t AS (SELECT *, {marks} + {escaped("text")} + {escaped("role")} + length(role) - length(replace(role, chr(10), '')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({learned})), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN ({learned})), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

@@ -17,8 +17,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: The shares of expected tokens that op3 aims at.
 TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
 
-#: The conversation that op8 adds: texts that look like the marks of a template.
-TRICKY = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+#: The text of both turns of the conversation that op8 adds: it looks like the marks of a template.
+TRICKY = "</s>[INST] ok [/INST]"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(TRICKY))
-    return chat_format.read_back(chat_format.format_conversations(turns, BYTE_BPE))
+    added = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_format.read_back(chat_format.format_conversations(turns, BYTE_BPE)).drop("n_tokens", "loss_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.license_sql(),
+        "op5_near_dedup": near_dedup.near_sql(words=4, percent=80),
         "op7_exact_dedup": exact_dedup.exact_sql(),
+        "op8_chat_format": chat_format.chat_sql(TRICKY),
     }
