@@ -170,6 +170,8 @@ def test_mixing_documents(spark, odd, empty, documents, labels):
     assert Counter(r.doc_id for r in some) == Counter(r[0] for r in ODD) and all(r.rate >= 0 and r.copies >= 0 for r in some)
     assert all(r.n_tokens == 0 for r in some if r.text is None) and "node" in some[0]
     assert mixing.mixed(empty, model, {"good": 1.0}).count() == 0
+    again = mixing.mix(odd, model, {"good": 1.0}, least=1.0)
+    assert again.columns == odd.columns and {(r.node, r.p) for r in again.collect()} == {("clash", 1)}
     assert mixing.mixed(odd, mixing.train(empty, labels.limit(0)), {"good": 1.0}).count() == len(ODD)
 
 

@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfare.plans.storage import materialize, new_path, shared_folder
+from wayfare.plans.storage import materialize
 
-__all__ = ["ascii_lower", "bounded_sample", "id_fold", "map_texts", "materialize", "new_path", "shared_folder", "table"]
-
-#: Upper and lower case of the 26 ASCII letters, for case folding that leaves every other character alone.
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = ASCII_UPPER.lower()
+__all__ = ["bounded_sample", "id_fold", "map_texts", "materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +23,6 @@ def id_fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
-
-
 def map_texts(
     df: DataFrame,
     keys: list[str],

@@ -190,8 +190,11 @@ def mixed(
     return found.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).select(*kept, "n_tokens", "p", "rate", "copies")
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], least: float = 1.0, seed: int = 0) -> DataFrame:
-    """docs with every row as often as mixed says; all columns."""
-    found = mixed(docs, model, weights, least=least, seed=seed)
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], least: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every row as often as mixed says; all columns as they were, whatever they are called."""
+    names = docs.columns
+    code = {c: f"__c{k}" for k, c in enumerate(names)}
+    coded = docs.select(*[F.col(f"`{c}`").alias(code[c]) for c in names])
+    found = mixed(coded, model, weights, least=least, seed=seed, id_col=code[id_col], text_col=code[text_col])
     times = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return found.withColumn("__copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(times.alias("__copy"), *code.values()).select(*[F.col(code[c]).alias(c) for c in names])
