@@ -335,6 +335,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return updates.update_overhead(spark.createDataFrame(rows, "label string, algo string, kind string, value double"), "plain")
 
 
+@query("log_parse", "SELECT CAST(line AS INTEGER) AS line, kind, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 'delete', 0.25), (1, 'insert', 0.75), (3, 'memory', 1.5)) v(line, kind, value)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "log")
+    text = "mean time for delete is: 0.25 s\nmean time for insert is: 0.75 s\nno numbers here\nuse of memory: x 1.5 GB"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return files.parse_log(spark, path)
+
+
+@query("metric_series", "SELECT 'push' AS algo, 'g' AS label, 5 AS \"L\", CAST(range AS INTEGER) AS eps_idx, range * CAST(2 AS DOUBLE) AS avg_sec, range * CAST(3 AS DOUBLE) AS l1 FROM range(5)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    key = [F.lit("push").alias("algo"), F.lit("g").alias("label"), F.lit(5).alias("L"), F.col("id").cast("int").alias("eps_idx")]
+    return updates.metric_series(spark.range(8).select(*key, (F.col("id") * 2.0).alias("avg_sec")), spark.range(8).select(*key, (F.col("id") * 3.0).alias("l1")))
+
+
 @query("update_stream", f"{_UPDATED} SELECT src, dst, w FROM h")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Our extension: the same updates as a stream of op-log files, one micro-batch for each file."""
