@@ -27,6 +27,8 @@ def test_stages(spark):
         if name != "bpe":
             assert docs.columns == columns
     assert all(after <= earlier for earlier, after in zip(seen, seen[1:], strict=False))
+    # few documents are toxic, and clean ones stay
+    assert 0.8 * sizes[0] < sizes[1] < sizes[0]
     # copies go, one of each group stays
     toxic_free = seen[1]
     start = table(spark, DATA, "documents").filter(F.col("doc_id").isin(sorted(toxic_free)))

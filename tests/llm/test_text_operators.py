@@ -460,6 +460,16 @@ def test_label_model_discounts_copies():
     assert (rate[1, :4] > 10 * rate[0, :4]).all() and ((post > 0.5) == y).mean() > 0.93
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_clean_documents_stay(spark, folder):
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score_documents(docs, toxicity.train(docs, marks)).join(marks, "doc_id").collect()
+    clean, toxic = ([r.predicted for r in rows if r.toxic == k] for k in (0, 1))
+    assert np.mean(clean) < 0.01 and np.mean(toxic) > 0.5
+
+
 def test_toxicity_of_odd_rows(odd, empty, documents, labels):
     model = toxicity.train(documents, labels)
     rows = toxicity.score_documents(odd, model).collect()

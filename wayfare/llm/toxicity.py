@@ -114,7 +114,7 @@ class Voters:
         return out
 
 
-def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50, noise: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The generative label model: posterior of the toxic class for each row, accuracies, shares of own evidence.
 
     votes is 0 or 1 by row and voter, labels 0 or 1 by row.  A voter that is silent abstains and gives no evidence of
@@ -122,15 +122,20 @@ def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) ->
     to vote in the clean and the toxic class, of the silence and the label last.  A voter's own share is 1 over 1 plus
     its correlations with other voters within the classes, where these are positive, and with the silence, where the
     sign doesn't matter; the label's is 1.
+
+    What keeps the hidden classes the clean and the toxic one, also with few rows: their shares are those of the
+    labels, and half of the label's accuracy is what `noise`, the share of wrong labels, lets expect.
     """
     silent = 1 - votes.max(axis=1, initial=0)
     seen = np.column_stack([votes, silent, labels]).astype(np.float64)
-    post = np.where(labels > 0, 0.95, 0.05)
+    post = np.where(labels > 0, 1 - noise, noise)
+    share = (labels.sum() + 0.5) / (len(labels) + 1.0)
     own, rate = np.ones(seen.shape[1]), np.full((2, seen.shape[1]), 0.5)
     for _ in range(rounds):
         weight = np.stack([1 - post, post])
         size = weight.sum(axis=1, keepdims=True)
         rate = (weight @ seen + 0.5) / (size + 1.0)
+        rate[:, -1] = (rate[:, -1] + np.array([noise * share, 1 - noise])) / 2
         # the covariance that is left when the classes' means are taken off
         within = (seen.T @ seen) - (rate * size).T @ rate
         scale = np.sqrt(np.maximum(np.diag(within), 1e-9))
@@ -142,7 +147,7 @@ def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) ->
         own = 1.0 / (1.0 + correlation.sum(axis=1))
         spoken = seen @ (own * np.log(rate[1] / rate[0]))
         unlabelled = (1 - seen[:, -1]) * math.log((1 - rate[1, -1]) / (1 - rate[0, -1]))
-        logit = np.clip(math.log(size[1, 0] / size[0, 0]) + spoken + unlabelled, -30, 30)
+        logit = np.clip(math.log(share / (1 - share)) + spoken + unlabelled, -30, 30)
         new = np.clip(1 / (1 + np.exp(-logit)), 1e-6, 1 - 1e-6)
         moved, post = np.abs(new - post).max(), new
         if moved < 1e-6:
