@@ -1,6 +1,7 @@
 """Graph operators on hand-made graphs, against plain Python versions of the definitions."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import columns
 from wayfare.operators import answers, exact, indexes, metrics, push, stats, updates, walks
-from wayfare.sources import csr, files
+from wayfare.plans.storage import materialize
+from wayfare.sources import csr, derived, files
 from wayfare.streaming.ops import apply_stream
 
+DATA = "/root/testdata/sf0.001"
 CHAIN = [(0, 1, 1), (1, 2, 1)]
 LOOP = [(0, 0, 1), (0, 1, 3), (1, 0, 2)]
 PARALLEL = [(0, 1, 1), (0, 1, 2), (0, 2, 1), (1, 0, 1), (2, 0, 1)]
@@ -71,6 +74,35 @@ def test_dangling_policies(edges, asked, walk):
         walk(g, asked(0), 10, 1, dangling="jump")
 
 
+def test_rejection_retries_until_accepted(edges, asked):
+    # an attempt at 0 is accepted once in a thousand times, so 64 of them would lose 94 percent of the walks
+    rows = [(0, d, 1) for d in range(1, 1000)] + [(0, 1000, 2.0**20)] + [(d, 0, 1) for d in range(1, 1001)]
+    assert walks.least_acceptance(edges(rows)).first().acceptance < 0.0011
+    n = 200
+    got = walks.rejection_walk(edges(rows), asked(0), n, 3)
+    assert got.agg(F.sum("cnt")).first()[0] == n
+    assert as_dict(got)[1000] >= 0.95
+    first, later = (as_dict(walks.rejection_walk(edges(rows), asked(0), 50, 1, attempts=k)) for k in (1, 5000))
+    assert first == later
+    # no weight at all leaves nothing to accept
+    assert as_dict(walks.rejection_walk(edges([(0, 1, 0)]), asked(0), 5, 1)) == {}
+    with pytest.raises(ValueError, match="attempts"):
+        walks.rejection_walk(edges(CHAIN), asked(0), 5, 1, attempts=0)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_rejection_on_skewed_weights(spark, asked):
+    g = materialize(derived.skewed(spark, DATA), "skewed")
+    sources, n = [r.u for r in updates.max_queries(g, 2).collect()], 3000
+    got = {(r.query_id, r.node): r.p for r in walks.rejection_walk(g, asked(*sources), n, 2).collect()}
+    want = {(r.query_id, r.node): r.p for r in exact.power_method(g, asked(*sources), 2).collect()}
+    for q in range(2):
+        assert sum(p for k, p in got.items() if k[0] == q) == pytest.approx(sum(p for k, p in want.items() if k[0] == q))
+    assert set(got) <= set(want)
+    for key, p in want.items():
+        assert abs(got.get(key, 0) - p) <= 6 * math.sqrt(p * (1 - p) / n) + 6 / n
+
+
 def test_sampled_push_is_unbiased(edges, asked):
     n = 3000
     got = as_dict(push.sampled_push(edges(MIXED4), asked(0), n, 3))

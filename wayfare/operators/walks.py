@@ -9,6 +9,7 @@ A draw depends on (seed, query, walk, step, draw number) alone, so results are t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from wayfare.plans.storage import bucketed, materialize
 
 #: What a walk carries about its node: out-degree and out-weight, null at dangling nodes.
 ABOUT = ("deg", "total")
+#: Attempts of all walks in a later round of a rejection step, at most; but `attempts` for each walk are always made.
+ROUND = 1 << 20
 
 
 def about(edges: DataFrame) -> DataFrame:
@@ -98,27 +101,47 @@ def alias_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, se
     return _walk(queries, nodes, walks, length, lambda state, k: alias_step(state, index, seed, k), dangling)
 
 
-def rejection_step(state: DataFrame, index: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
-    """Draw uniform neighbours, and take the first that is accepted among `attempts` of them."""
-    at = state.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+def _attempted(pending: DataFrame, index: DataFrame, seed: str, k: int, begin: int, size: int) -> DataFrame:
+    """pending with `first`: the first accepted of a walk's attempts from begin to begin + size - 1, null where none is."""
+    at = pending.withColumn("attempt", F.explode(F.sequence(F.lit(begin).cast("long"), F.lit(begin + size - 1).cast("long"))))
     at = at.withColumn("at", F.floor(rng(seed, F.col("query_id"), F.col("walk"), k, F.col("attempt") * 2) * F.col("deg")))
     met = at.join(index, (F.col("node") == F.col("src")) & (F.col("at") == F.col("pos")))
     taken = met.filter(rng(seed, F.col("query_id"), F.col("walk"), k, F.col("attempt") * 2 + 1) < F.col("accept"))
     first = taken.groupBy("query_id", "walk").agg(F.min(F.struct("attempt", "to", "to_deg", "to_total")).alias("first"))
-    return first.select("query_id", "walk", "first.to", "first.to_deg", "first.to_total")
+    return pending.join(first, ["query_id", "walk"], "left")
+
+
+def rejection_step(state: DataFrame, index: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
+    """Draw uniform neighbours until one is accepted, and take that one.
+
+    Goes in rounds, each over the walks still pending and written down.  The first tries `attempts` neighbours for each
+    walk, a later one up to twice as many as the one before, as far as ROUND allows.  The greatest edge of a node is
+    accepted with a chance above one half, so no walk is pending forever; nodes without weight are left out.
+    """
+    rounds, pending, begin, size = [], state.filter("total > 0"), 0, attempts
+    while True:
+        tried = materialize(_attempted(pending, index, seed, k, begin, size), "rejection-round")
+        rounds.append(tried.filter("first is not null").select("query_id", "walk", "first.to", "first.to_deg", "first.to_total"))
+        pending = tried.filter("first is null").select(*state.columns)
+        left = pending.count()
+        if left == 0:
+            return functools.reduce(DataFrame.unionByName, rounds)
+        begin, size = begin + size, max(attempts, min(2 * size, ROUND // left))
 
 
 def least_acceptance(edges: DataFrame) -> DataFrame:
-    """The least chance, over all sources, that one attempt of a rejection walk is accepted; `attempts` follows from it."""
+    """The least chance, over all sources, that one attempt of a rejection walk is accepted; one in it is the mean number of attempts."""
     mean = rejection_index(edges).groupBy("src").agg(F.avg("accept").alias("a"))
     return mean.agg(F.min("a").alias("acceptance"))
 
 
 def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "reject", dangling: str = "drop", attempts: int = 64) -> DataFrame:
-    """Walks that draw uniform neighbours and accept them by weight.
+    """Walks that draw uniform neighbours and accept them by weight, each step until one is accepted.
 
-    A walk with no accepted neighbour among `attempts` counts as dangling: choose attempts by least_acceptance.
+    `attempts` is how many neighbours the first round of a step tries for each walk; the answer doesn't depend on it.
     """
+    if attempts < 1:
+        raise ValueError(f"attempts must be at least 1, not {attempts}")
     nodes = materialize(about(edges), "nodes")
     index = rejection_index(edges).select("src", F.col("pos").cast("long").alias("pos"), F.col("dst").alias("to"), "accept")
     index = bucketed(carrying(index, nodes, "to"), ["src", "pos"], "rejection-index")
