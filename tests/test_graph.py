@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from wayfare import catalog
 from wayfare.functions import columns
 from wayfare.operators import answers, exact, indexes, metrics, push, stats, updates, walks
 from wayfare.plans.storage import materialize
@@ -291,6 +292,13 @@ def test_stream(spark, edges, tmp_path):
     assert as_edges(after) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stream_query_takes_a_batch_for_each_file(spark):
+    after = catalog.queries()["update_stream"](spark, DATA)
+    # version=0 is the graph after the file of deletes, version=1 after that of inserts
+    assert after.count() > 0 and all("/version=1/" in f for f in after.inputFiles())
+
+
 def test_empty_graph(edges, asked):
     g = edges([])
     assert exact.power_method(g, asked(0), 2).count() == 0
