@@ -470,6 +470,21 @@ def test_clean_documents_stay(spark, folder):
     assert np.mean(clean) < 0.01 and np.mean(toxic) > 0.5
 
 
+def test_toxicity_learns_one_text_of_a_repeated_id(spark, documents, labels, monkeypatch):
+    seen, plain = [], toxicity.label_posteriors
+    monkeypatch.setattr(toxicity, "label_posteriors", lambda votes, own: seen.append(len(own)) or plain(votes, own))
+    model = toxicity.train(documents, labels)
+    one = labels.filter(toxicity.id_fold(F.col("doc_id"), 5) != 0).join(documents.select("doc_id"), "doc_id").first().doc_id
+    own = documents.filter(F.col("doc_id") == one)
+    often = documents.unionByName(own.crossJoin(spark.range(500)).select(documents.columns))
+    again = toxicity.train(often, labels)
+    assert seen[0] == seen[1] and model.voters.lexicon == again.voters.lexicon
+    # which of an id's different texts is taken doesn't depend on their order
+    texts = [(1, "b", 0), (1, "a", 0), (1, "c", 0), (2, None, 1)]
+    found = [sorted(map(tuple, toxicity.one_text(spark.createDataFrame(x, "doc_id long, text string, toxic int")).collect())) for x in (texts, texts[::-1])]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [1, 2]
+
+
 def test_toxicity_of_odd_rows(odd, empty, documents, labels):
     model = toxicity.train(documents, labels)
     rows = toxicity.score_documents(odd, model).collect()

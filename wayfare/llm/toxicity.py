@@ -182,6 +182,15 @@ class ToxicityModel:
         return p, int(p >= 0.5)
 
 
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row (doc_id, text, toxic) for each doc_id of rows: its text of the smallest hash.
+
+    Each task keeps one text of an id before anything is moved, however often the id repeats.
+    """
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    return rows.groupBy("doc_id", "toxic").agg(least).select("doc_id", "least.text", "toxic")
+
+
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = 20_000, voters: int = 200, least: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -190,13 +199,14 @@ def train(
 
     Fitted on at most `sample` of those rows, those of the smallest id hashes; their features, bounded by sample
     times voters, are what reaches the driver.  Rows whose label is null are left out; of several labels of an id
-    the greatest counts.  Without labelled rows of both classes every text scores 0.
+    the greatest counts, of several texts the one of the smallest hash.  Without labelled rows of both
+    classes every text scores 0.
     """
     key = F.col(f"`{id_col}`")
     own = labels.filter(F.col(label_col).isNotNull() & (id_fold(key, 5) != 0)).groupBy(key.alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     chosen = bounded_sample(own, sample)
     texts = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").persist()
+    rows = one_text(texts.join(F.broadcast(chosen), "doc_id")).persist()
     try:
         model = Voters(induce(rows, voters, least))
         size = model.n_votes + 2
