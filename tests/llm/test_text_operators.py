@@ -244,6 +244,12 @@ def plain_groups(docs, words, percent):
     return {i: (len(sets[i]), root(i)) for i in docs}
 
 
+def test_near_groups_refuses_what_the_trees_are_not_made_for(documents):
+    for f in (near_dedup.near_groups, near_dedup.keep_one):
+        with pytest.raises(ValueError, match="at least 80"):
+            f(documents, 4, 50)
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 80), (5, 80)])
 def test_near_groups_against_all_pairs(documents, words, percent):
     rows = near_dedup.near_groups(documents, words, percent).collect()
