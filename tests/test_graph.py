@@ -240,6 +240,17 @@ def test_updates(edges):
         assert sorted(map(tuple, fresh.collect())) == sorted(map(tuple, build(m).collect()))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_updates_of_the_references_number_of_edges(spark):
+    g = materialize(derived.transitions(spark, DATA.replace("sf0.001", "sf0.01")), "graph")
+    ops = materialize(updates.generate_ops(g, 100_000), "ops")
+    again = ops.withColumn("w", F.col("w") + 1)
+    after = materialize(updates.apply(g, ops, again), "updated")
+    assert ops.select("src").distinct().count() > 40
+    fresh = updates.refresh(indexes.prefix_index(g), after, updates.touched(ops, again), indexes.prefix_index)
+    assert sorted(map(tuple, fresh.collect())) == sorted(map(tuple, indexes.prefix_index(after).collect()))
+
+
 def test_queries_by_degree(edges):
     g = edges(MIXED4)
     flat = csr.csr_edges(g).join(csr.out_ptr(g, 4), "src").select((F.col("ptr") + F.col("pos")).alias("idx"), "src")
