@@ -258,8 +258,9 @@ def test_near_groups_against_all_pairs(documents, words, percent):
 
 
 def test_near_groups_around_one_text(spark, monkeypatch):
-    # a text and many that are near it, but not near each other; and small blocks, so that the family is dealt out
-    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 20)
+    # a text and many that are near it, but not near each other, in crowded regions
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 20)
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
     docs = {100: " ".join(base)}
@@ -273,6 +274,50 @@ def test_near_groups_around_one_text(spark, monkeypatch):
     assert got == plain_groups(docs, 4, 80)
 
 
+def test_near_groups_along_a_chain(spark):
+    # each text is near the one before it alone, so no middle holds the group together
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(150)]
+    docs = {}
+    for k in range(60):
+        docs[1000 - k] = " ".join(words)
+        at = (k * 12) % 138
+        words = words[:at] + [f"v{rng.randint(0, 99999)}" for _ in range(10)] + words[at + 10 :]
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = plain_groups(docs, 4, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(frame, 4, 80).collect()}
+    links = sum(want[k][1] != k for k in docs)
+    assert links > 50 and sum(got[k][1] == want[k][1] for k in docs) >= 0.9 * len(docs)
+
+
+def test_forest_is_sorted_into_regions(spark):
+    # LSH forest by hand: which rows have mates, how deep, and who stands beside whom, over several partitions
+    rng = random.Random(9)
+    nodes = []
+    for k in range(60):
+        sig = np.array([rng.choice((1, 2)) if rng.random() < 0.3 else 7 for _ in range(near_dedup.HASHES)], dtype=np.uint32)
+        nodes.append((k.to_bytes(2), 10, sig.tobytes()))
+    keys = near_dedup.order_keys(spark.createDataFrame(nodes, "node binary, n long, sig binary"))
+    found = near_dedup.members(keys).collect()
+    order = sorted((bytes(r.place), bytes(r.node)) for r in keys.collect())
+
+    def shared(a, b):
+        d = 0
+        while d < near_dedup.DEEPEST and a[: 3 + 2 * d] == b[: 3 + 2 * d]:
+            d += 1
+        return d
+
+    beside = {(n, p): (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) for k, (p, n) in enumerate(order)}
+    ends = {(bytes(r.node), bytes(r.place)) for r in found if r.end}
+    for r in found:
+        before, after = beside[bytes(r.node), bytes(r.place)]
+        deep = max(shared(bytes(r.place), x[0]) if x else 0 for x in (before, after))
+        assert r.end or r.deep == deep or (bytes(r.node), bytes(r.place)) in ends
+        assert r.mate is None or bytes(r.mate) == before[1]
+    want = {(n, p) for (n, p), xs in beside.items() if any(x and shared(p, x[0]) >= near_dedup.PREFIX for x in xs)}
+    assert want <= {(bytes(r.node), bytes(r.place)) for r in found} <= want | ends
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(700, 760)]
@@ -301,6 +346,22 @@ def test_near_groups_of_odd_rows(odd, empty):
     assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
     assert near_dedup.near_groups(empty, 4, 80).count() == 0
     assert {r.doc_id for r in near_dedup.keep_one(odd, 4, 80).collect()} == {r[0] for r in ODD} - {7, 8}
+    # ids and texts under other names, beside columns of the names that the operator uses
+    other = odd.withColumnRenamed("doc_id", "id").withColumnRenamed("text", "body")
+    for k in ("doc_id", "text", "text_hash", "__gone", "set_id"):
+        other = other.withColumn(k, F.lit("clash"))
+    assert Counter(map(tuple, near_dedup.near_groups(other, 4, 80, "id", "body").collect())) == Counter(map(tuple, rows))
+    kept = near_dedup.keep_one(other, 4, 80, "id", "body")
+    assert kept.columns == other.columns and {r.id for r in kept.collect()} == {r[0] for r in ODD} - {7, 8}
+
+
+def test_near_groups_of_repeated_ids(spark):
+    # an id of two texts links what is near either
+    texts = {"a": "one two three four five six seven eight", "b": "red green blue grey pink teal gold lime"}
+    rows = [(5, texts["a"]), (5, texts["b"]), (3, texts["a"] + "  "), (4, texts["b"].upper()), (9, "something else entirely")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_groups(frame, 4, 80).collect())
+    assert got == Counter({(5, 3): 2, (3, 3): 1, (4, 3): 1, (9, 9): 1})
 
 
 # ---- 6: language identification

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfare.plans.storage import materialize
 
-__all__ = ["bounded_sample", "id_fold", "map_texts", "materialize", "table"]
+__all__ = ["bounded_sample", "id_fold", "join_groups", "map_texts", "materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +63,16 @@ def bounded_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFr
     once = rows.select(F.col(f"`{id_col}`").alias("__id"), hashed.alias("__h")).groupBy("__id", "__h").agg(F.count("*").alias("__n"))
     first = once.filter("__n = 1").orderBy("__h", "__id").limit(most).select("__id")
     return rows.join(F.broadcast(first), F.col(f"`{id_col}`") == F.col("__id"), "left_semi")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", common: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with groups, which have one row for each of keys and, in column size, how many rows it meets.
+
+    The `common` largest groups are broadcast, as their number is fixed; their rows need no shuffle, so however many
+    rows a group has, they stay where they are.  rows is read twice and so should be a written table.  Null keys meet
+    nothing.
+    """
+    hot = groups.orderBy(F.desc(size), *keys).limit(common).withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    rest = met.filter(F.col("__hot").isNull()).select(*rows.columns).join(groups, keys, how)
+    return met.filter("__hot").select(*rest.columns).unionByName(rest)
