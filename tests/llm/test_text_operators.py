@@ -409,6 +409,32 @@ def test_exact_groups(odd, documents):
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == want and len(rows) == len(want)
 
 
+def test_runs_go_up_a_binomial_tree(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 9), rng.randint(0, 5), bytes([rng.randint(0, 2)]), 4) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_chars long, digest long, sha binary, length long")
+    runs = exact_dedup.first_runs(frame, 8).collect()
+    assert len({(r.run, r.digest, bytes(r.sha)) for r in runs}) == len(runs) and {r.run for r in runs} == set(range(8))
+    # by hand: run r goes to r & (r - 1) once all that come to r have arrived
+    held = {}
+    for r in runs:
+        held.setdefault(r.run, {})[r.digest, bytes(r.sha)] = (r.minus, r.keep_id, r.group_size)
+    for k in (3, 2, 1):
+        for r in [x for x in held if bin(x).count("1") == k]:
+            for key, (minus, keep, size) in held.pop(r).items():
+                old = held[r & (r - 1)].get(key)
+                best = min((minus, keep), old[:2]) if old else (minus, keep)
+                held[r & (r - 1)][key] = (*best, size + (old[2] if old else 0))
+    got = {(r.digest, bytes(r.sha)): (r.minus, r.keep_id, r.group_size) for r in exact_dedup.tree_merge(frame, 3).collect()}
+    assert list(held) == [0] and got == held[0]
+
+
+def test_a_digest_that_clashes_is_verified(odd, documents):
+    for frame in (documents, odd):
+        fair = Counter(map(tuple, exact_dedup.exact_groups(frame).collect()))
+        assert Counter(map(tuple, exact_dedup.exact_groups(frame, digest=lambda bare: F.length(bare) % 3).collect())) == fair
+
+
 def test_exact_groups_of_odd_rows(odd, empty):
     rows = exact_dedup.exact_groups(odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ODD)
@@ -418,6 +444,9 @@ def test_exact_groups_of_odd_rows(odd, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     kept = exact_dedup.keep_first(odd)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 6, 8, 9, 10, 11] and kept.columns == odd.columns
+    other = odd.withColumnRenamed("doc_id", "id").withColumn("__id", F.lit("clash")).withColumn("__sha", F.lit(0)).withColumn("doc_id", F.lit(1)).withColumn("digest", F.lit(1))
+    again = exact_dedup.keep_first(other, "id")
+    assert Counter(r.id for r in again.collect()) == Counter(r.doc_id for r in kept.collect()) and again.columns == other.columns
 
 
 # ---- 8: chat formatting

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfare.plans.storage import materialize
 
-__all__ = ["bounded_sample", "id_fold", "join_groups", "map_texts", "materialize", "table"]
+__all__ = ["bounded_sample", "coded", "id_fold", "join_groups", "map_texts", "materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     met = rows.join(F.broadcast(hot), keys, "left")
     rest = met.filter(F.col("__hot").isNull()).select(*rows.columns).join(groups, keys, how)
     return met.filter("__hot").select(*rest.columns).unionByName(rest)
+
+
+def coded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns called __c0, __c1, ..., and what gives such a frame their names back.
+
+    So columns that an operator adds on the way never clash with the user's.
+    """
+    names = docs.columns
+    back = lambda df: df.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(names)])
+    return docs.select(*[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)]), back

@@ -1,18 +1,25 @@
-"""Exact duplicates by a tree-merge of digest runs.
+"""Exact duplicates by a tree-merge of sorted digest runs.
 
-Every row is reduced to a digest of its text without white space.  The rows are dealt into runs by a hash of their
-id; a run holds one entry for each digest in it.  In each round, runs whose numbers agree but for the lowest bits are
-merged: entries of one digest meet, are verified against a second digest and the length, and the better identifier
-stays.  After the last round one run is left.  A text with any number of copies gives a merge at most as many
-entries as runs meet in it, so no task ever holds a whole group of copies.
+Every row is reduced to a digest of its text without white space.  The rows are dealt into 2**k runs by a hash of their
+id; a run is sorted by digest, dealt over the partitions by ranges, and holds one entry for each text in it.  The runs
+are the nodes of a binomial tree, in which the parent of a run is its number without the lowest bit: in round k, k - 1,
+..., 1 the runs of so many bits go to their parents, and each parent merges all that arrives with its own run.  In a
+merge, entries of one digest become neighbours; each is verified against the one before it by SHA-256 and length, and
+of verified ones the better identifier stays.  Entries that only share the digest stay apart.  Run 0 is left at last.
+
+A text with any number of copies has one entry in a run, so a merge meets at most k + 1 of them, and no task ever holds
+a whole group of copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialize
+from wayfare.llm.common import coded, join_groups, materialize
 
 #: White space that does not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,10 +30,10 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, "")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row for each row of docs: doc_id, n_chars of the original text, and what identifies the stripped text.
 
-    text_sha256 is its SHA-256; check and length are an independent hash and its code points.
+    digest is what runs are sorted by; sha (SHA-256) and length (in code points) are what equal digests are verified by.
     """
     text = F.col(f"`{text_col}`")
     return docs.select(
@@ -35,83 +42,90 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         stripped(text).alias("__bare"),
     ).select(
         "doc_id", "n_chars",
-        F.sha2(F.col("__bare").cast("binary"), 256).alias("text_sha256"),
-        F.xxhash64("__bare").alias("check"),
+        digest(F.col("__bare")).cast("long").alias("digest"),
+        F.unhex(F.sha2(F.col("__bare").cast("binary"), 256)).alias("sha"),
         F.length("__bare").cast("long").alias("length"),
     )
 
 
-#: What must agree for two texts to be equal.
-IDENTITY = ["text_sha256", "check", "length"]
-
+#: What must agree for two texts to be equal: the digest, and what verifies it.
+IDENTITY = ["digest", "sha", "length"]
+#: An entry's order among those of its text: as -n_chars, a smaller (minus, keep_id) is better; null ids come last.
+BETTER = ["minus", "none", "keep_id"]
 
-def merge(entries: DataFrame, run: Column) -> DataFrame:
-    """Merge the entries of each run: of one digest the longest original text, then the smallest id, stays.
 
-    As -n_chars, a smaller pair (minus, keep_id) is better.  Null ids come last.
-    """
-    return entries.groupBy(run.alias("run"), *IDENTITY).agg(
-        F.min(F.struct("minus", F.col("keep_id").isNull().alias("none"), "keep_id")).alias("best"),
-        F.sum("group_size").alias("group_size"),
-    ).select("run", *IDENTITY, F.col("best.minus").alias("minus"), F.col("best.keep_id").alias("keep_id"), "group_size")
+def first_runs(rows: DataFrame, runs: int) -> DataFrame:
+    """The entries of all runs: run, IDENTITY, BETTER and group_size, one for each text of a run."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"))).alias("best")
+    run = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run")
+    return rows.groupBy(run, *IDENTITY).agg(best, F.count("*").alias("group_size")).select("run", *IDENTITY, *[f"best.{c}" for c in BETTER], "group_size")
 
 
-def tree_merge(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """One entry for each distinct text of rows (from digests): IDENTITY, minus, keep_id, group_size.
+def merge(entries: DataFrame) -> DataFrame:
+    """Merge the entries of each run: sorted ranges of (run, digest), in which each entry is compared with the one before.
 
-    runs and fan_in are powers of two; log(runs) / log(fan_in) rounds follow the first one.
+    Of entries that are verified to be equal the best stays, with the sum of their sizes.
     """
-    entries = rows.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), *IDENTITY,
-        (-F.col("n_chars")).alias("minus"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-    )
-    entries = merge(entries, F.col("run"))
-    left = runs
-    while left > 1:
-        entries = merge(entries, F.floor(F.col("run") / F.lit(fan_in)).cast("long"))
-        left = -(-left // fan_in)
-    return entries.drop("run")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1000) -> DataFrame:
+    order = [*IDENTITY, *BETTER]
+    ranges = entries.repartitionByRange("run", "digest").sortWithinPartitions("run", *order)
+    before = W.partitionBy("run", "digest").orderBy(*order[1:])
+    verified = F.col("sha").eqNullSafe(F.lag("sha").over(before)) & F.col("length").eqNullSafe(F.lag("length").over(before))
+    size = F.sum("group_size").over(W.partitionBy("run", *IDENTITY))
+    return ranges.withColumn("__again", verified).withColumn("group_size", size).filter("not __again").drop("__again")
+
+
+def tree_merge(rows: DataFrame, bits: int = 4) -> DataFrame:
+    """One entry for each distinct text of rows (from digests), after `bits` rounds over 2**bits runs: IDENTITY, BETTER, group_size."""
+    entries = materialize(first_runs(rows, 1 << bits), "runs")
+    waiting = [entries.filter(F.bit_count("run") == k) for k in range(bits + 1)]
+    arrived = waiting[bits]
+    for k in range(bits, 0, -1):
+        parent = F.col("run").bitwiseAND(F.col("run") - 1)
+        arrived = merge(arrived.withColumn("run", parent).unionByName(waiting[k - 1]))
+    return arrived.drop("run")
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1000, digest: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars (of the original text).
 
     Texts are equal when they are identical without white space; null counts as empty.  Of equal texts the one with
     the most code points stays, then the one of the smallest id; null ids come last.  kept is true for the row
-    that stays; of rows that repeat both id and text, exactly one.  An empty table gives no rows; other columns of
-    docs are not read.
+    that stays; of rows that repeat both id and text, exactly one.  Texts of any length are read whole.  An empty table
+    gives no rows; other columns of docs are not read, whatever they are called.
 
-    The digests of the `common` largest groups are broadcast, as their number is fixed; the rows of such groups
-    need no shuffle, so however many copies a text has, they stay where they are.
+    Rows of the `common` largest groups are not shuffled, so however many copies a text has, they stay where they are.
     """
-    rows = materialize(digests(docs, id_col, text_col), "digests")
+    rows = materialize(digests(docs, id_col, text_col, digest), "digests")
     groups = materialize(tree_merge(rows), "digest-groups").select(*IDENTITY, "keep_id", "group_size", (-F.col("minus")).alias("most"))
-    hot = groups.filter("group_size > 1").orderBy(F.desc("group_size"), *IDENTITY).limit(common)
-    of_hot = rows.join(F.broadcast(hot), IDENTITY, "left")
-    found = of_hot.filter(F.col("group_size").isNotNull())
-    rest = of_hot.filter(F.col("group_size").isNull()).drop("keep_id", "group_size", "most").join(groups, IDENTITY)
-    both = found.select(rest.columns).unionByName(rest)
+    both = join_groups(rows, groups, IDENTITY, "group_size", common=common).withColumn("text_sha256", F.lower(F.hex("sha")))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
     # only rows that may stay are numbered, so that a group's many copies never meet
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars"]
     kept = both.filter(stays).groupBy("doc_id", "keep_id", "group_size", "text_sha256", "n_chars").agg(F.count("*").alias("times"))
     kept = kept.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
-    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars"]
     return kept.withColumn("kept", F.col("k") == 1).select(names).unionByName(both.filter(~stays).withColumn("kept", F.lit(False)).select(names))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, all columns; of rows that repeat both id and text, one."""
+    """The rows of docs that exact_groups keeps, all columns, whatever they are called; of rows that repeat both id and text, one.
+
+    Null and empty texts are equal, so one row of them stays; rows without id go where an equal text has one.  Texts
+    are compared whole.  Of rows that repeat id and text but differ in other columns any one stays.  An empty table
+    gives no rows.
+    """
+    plain, restore = coded(docs)
+    key, text = plain[f"__c{docs.columns.index(id_col)}"], plain[f"__c{docs.columns.index(text_col)}"]
     groups = exact_groups(docs, id_col, text_col)
     kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
-    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
-    same = docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.sha2(stripped(text).cast("binary"), 256) == F.col("__sha")) & (F.length(text) == F.col("__n"))
-    chosen = docs.join(kept, same, "left_semi")
+    sha, chars = F.sha2(stripped(text).cast("binary"), 256), F.length(F.coalesce(text.cast("string"), F.lit(""))).cast("long")
+    chosen = plain.join(kept, key.eqNullSafe(F.col("__id")) & (sha == F.col("__sha")) & (chars == F.col("__n")), "left_semi")
     # rows that repeat are rare, and only then are texts compared for them
     repeats = groups.filter("kept = false and doc_id <=> keep_id").limit(1).count()
-    if not repeats:
-        return chosen
-    digest = F.sha2(stripped(F.col(f"`{text_col}`")).cast("binary"), 256)
-    return chosen.withColumn("__sha", digest).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    if repeats:
+        chosen = chosen.withColumn("__sha", sha).dropDuplicates([f"__c{docs.columns.index(id_col)}", "__sha"]).drop("__sha")
+    return restore(chosen)
 
 
 def exact_sql() -> str:
