@@ -206,6 +206,55 @@ def test_precision_ties_and_filling(spark):
     assert metrics.precision_at_k(frame({15: 0.5}), frame(truth), 20, 4).first().precision == 0.75
 
 
+def test_where_the_greatest_error_is(spark):
+    frame = lambda x: spark.createDataFrame([(0, k, p) for k, p in x.items()], "query_id long, node long, p double")
+    most = lambda a, t: tuple(metrics.max_additive_error(frame(a), frame(t)).first())[1:]
+    assert most({1: 0.5}, {1: 0.5, 5: 0.2, 3: 0.2}) == (0.2, 3, 0.0, 0.2)
+    assert most({1: 0.4, 2: 0.4, 7: 0.1}, {1: 0.2, 2: 0.2, 0: 0.2}) == (0.2, 2, 0.4, 0.2)
+    assert most({1: 0.4}, {1: 0.4}) == (0.0, None, None, None)
+
+
+def test_hubs_are_numbered_in_ranges(edges, monkeypatch):
+    monkeypatch.setattr(indexes, "RANGE_BITS", 2)
+    rng = random.Random(12)
+    rows = [(s, rng.randint(0, 60), rng.choice([1, 2, 4, 9])) for s in range(3) for _ in range(50)]
+    want, at = {}, defaultdict(lambda: [0, 0.0])
+    for s, d, w in sorted(rows):
+        want[s, at[s][0]] = (d, at[s][1], at[s][1] + w)
+        at[s] = [at[s][0] + 1, at[s][1] + w]
+    got = indexes.prefix_index(edges(rows)).collect()
+    assert {(r.src, r.pos): (r.dst, r.lo, r.hi) for r in got} == want and {(r.src, r.deg, r.total) for r in got} == {(s, 50, t) for s, (_, t) in at.items()}
+    by_bucket = Counter((r.src, r.bucket) for r in indexes.bucket_index(edges(rows)).collect())
+    assert {(r.src, r.bucket): r.cnt for r in indexes.bucket_totals(edges(rows)).collect()} == by_bucket
+    # no window goes over a whole source's edges, only over what its ranges come to
+    plan = indexes.prefix_index(edges(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__fine" in line or "sum(__sum_" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_push_meets_few_edges_of_a_hub(edges, spark):
+    n, samples = 20_000, 50
+    hub = edges([(0, d, 1 + d % 2) for d in range(1, n)])
+    totals, index = indexes.bucket_totals(hub), indexes.bucket_index(hub)
+    state = push.start(spark.createDataFrame([(0, 0)], "query_id long, u long"), samples)
+    unit = F.col("p") / F.col("total")
+    met = state.join(totals, F.col("node") == F.col("src")).select("query_id", "sample", "src", "bucket", "cnt", unit.alias("unit"), (unit * F.col("maxw")).alias("q"))
+    found = push.hits(met, "push", 1)
+    # one edge is handed on for each sample on average, and the bounds are the weights here
+    assert abs(found.count() - samples) < 6 * math.sqrt(samples)
+    assert found.groupBy("sample", "bucket", "bpos").count().filter("count > 1").count() == 0
+    assert push.offers(state, totals, index, "push", 1).filter("mass <> 1").count() == 0
+
+
+def test_written_tables_are_removed(spark, edges, asked):
+    from wayfare.plans import storage
+
+    walks.alias_walk(edges(LOOP), asked(0), 5, 2).collect()
+    assert any(t.name.startswith("alias_index") for t in spark.catalog.listTables())
+    storage.clear(spark)
+    assert not any(t.name.startswith("alias_index") for t in spark.catalog.listTables())
+    storage.clear(spark)
+
+
 def test_answers(spark):
     a = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (0, 3, 0.1)], "query_id long, node long, p double")
     b = spark.createDataFrame([(0, 2, 0.5), (0, 9, 0.6)], "query_id long, node long, p double")
@@ -226,6 +275,8 @@ def test_updates(edges):
     rows = [(r.src, r.dst, r.w) for r in ops.collect()]
     assert len(set(rows)) == 4 and set(rows) <= {(a, b, float(w)) for a, b, w in MIXED4}
     assert updates.generate_ops(edges(MIXED4), 100).count() == 7
+    # parallel edges are one operation
+    assert sorted((r.src, r.dst, r.w) for r in updates.generate_ops(edges(PARALLEL), 100).collect()) == [(0, 1, 2.0), (0, 2, 1.0)]
     # of parallel edges one goes
     gone = updates.delete(edges(PARALLEL), edges([(0, 1, 9)]))
     assert as_edges(gone) == Counter({(0, 1, 1.0): 1, (0, 2, 1.0): 1, (1, 0, 1.0): 1, (2, 0, 1.0): 1})
@@ -281,14 +332,36 @@ def test_files(spark, edges, tmp_path):
     answer = spark.createDataFrame([("a", "g", 2, "0.1", 3, 1, 0.5), ("a", "g", 2, "0.1", 3, 2, 1e-16)], "algo string, label string, L int, eps string, u long, node long, p double")
     files.write_answers(answer, str(tmp_path / "answers"))
     assert [(r.u, r.node, r.p) for r in files.read_answers(spark, str(tmp_path / "answers")).collect()] == [(3, 1, 0.5)]
-    (tmp_path / "u.log").write_text("mean time for delete is: 0.25 s\nmean time for insert is: 0.75 s\nuse of memory: x 1.5 GB\n")
-    assert {(r.kind, r.value) for r in files.parse_log(spark, str(tmp_path / "u.log")).collect()} == {("delete", 0.25), ("insert", 0.75), ("memory", 1.5)}
+    log = "0.1 0.2\nmy-add-delete-memory new del update time: 0.25\nx new add update time: 7.5e-1\nTotal graph: peak memory: 1.5 G\nnew del update time: none\n"
+    (tmp_path / "u.log").write_text(log)
+    assert [(r.line, r.kind, r.value) for r in files.parse_log(spark, str(tmp_path / "u.log")).orderBy("line").collect()] == [(1, "delete", 0.25), (2, "insert", 0.75), (3, "memory", 1.5)]
+    (tmp_path / "g.op").write_text("5 1 2.5\n4 2 1\n\n3 3 0.5\n")
+    assert [tuple(r) for r in files.read_ops(spark, str(tmp_path / "g.op")).orderBy("seq").collect()] == [(0, 5, 1, 2.5), (1, 4, 2, 1.0), (2, 3, 3, 0.5)]
+    files.write_answer_text(answer, str(tmp_path / "text"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).orderBy("value").collect()] == ["1 0.500000000000000", "2 0.000000000000000"]
+    assert [(r.u, r.node, r.p) for r in files.read_answer_text(spark, str(tmp_path / "text")).collect()] == [(3, 1, 0.5)]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "long.query").write_text("".join(f"{k}\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = files.read_queries(spark, str(tmp_path / "long.query")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == [(k, k) for k in range(3000)]
 
 
 def test_reports(spark):
     runs = spark.createDataFrame([("a", "g", 2, k, k / 10) for k in range(7)], "algo string, label string, L int, eps_idx int, avg_sec double")
-    errors = spark.createDataFrame([("a", "g", 2, k, k / 5) for k in range(7)], "algo string, label string, L int, eps_idx int, l1 double")
-    assert updates.metric_series(runs, errors).count() == 5
+    errors = spark.createDataFrame([("a", "g", 2, k, k / 5, 0.5, 0.25) for k in range(7)], "algo string, label string, L int, eps_idx int, precision double, conductance double, max_ae double")
+    assert updates.metric_series(runs, errors).count() == 15
+    assert {r.value for r in updates.metric_series(runs, errors, metrics=("conductance",)).collect()} == {0.5}
+    values = [("g", a, k, v) for a, k, v in (("base", "delete", 1.0), ("base", "insert", 3.0), ("base", "memory", 2.0), ("a", "delete", 6.0), ("a", "insert", 8.0), ("a", "memory", 5.0))]
+    over = updates.update_overhead(spark.createDataFrame(values, "label string, algo string, kind string, value double"), "base")
+    assert {r.algo: (r.seconds, r.overhead, r.memory, r.memory_overhead) for r in over.collect()} == {"base": (2.0, 0.0, 2.0, 0.0), "a": (7.0, 5.0, 5.0, 3.0)}
+    points = updates.precision_points(runs, errors, over, spark.createDataFrame([("g", 3)], "label string, eps_idx int"))
+    assert [tuple(r) for r in points.collect()] == [("a", "g", 0.3, 5.0, 0.6)]
 
 
 def test_stream(spark, edges, tmp_path):

@@ -23,7 +23,7 @@ _oracles: dict[str, str] = {}
 #: Decimals of compared numbers.
 DECIMALS = 9
 #: Parameters of the walks and pushes.
-WALKS, STEPS, ATTEMPTS = 400, 5, 64
+WALKS, STEPS = 400, 5
 PUSH_EPS, PUSH_LEVELS = 0.01, 3
 SAMPLES = columns.push_samples(PUSH_EPS, PUSH_LEVELS)
 
@@ -95,12 +95,20 @@ for _name, _make, _sql in (
 
 @query(
     "sample_sizes",
-    """SELECT eps, CAST(trunc(1 / eps / CAST(0.25 AS DOUBLE)) AS BIGINT) AS walks, CAST(trunc(CAST(0.1 AS DOUBLE) * 10 / eps * 4) AS BIGINT) AS samples_10, CAST(trunc(CAST(0.1 AS DOUBLE) * 5 / eps * 4) AS BIGINT) AS samples_5
-      FROM (SELECT CAST(unnest([0.1, 0.01, 0.001, 0.0001, 0.00001]) AS DOUBLE) AS eps)""",
+    """SELECT r_regionkey, CAST(trunc(1 / eps / CAST(0.25 AS DOUBLE)) AS BIGINT) AS walks, CAST(trunc(CAST(0.1 AS DOUBLE) * 10 / eps * 4) AS BIGINT) AS samples_10, CAST(trunc(CAST(0.1 AS DOUBLE) * 5 / eps * 4) AS BIGINT) AS samples_5
+      FROM (SELECT r_regionkey, CAST([0.1, 0.01, 0.001, 0.0001, 0.00001][r_regionkey + 1] AS DOUBLE) AS eps FROM region)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(e, columns.walk_count(e), columns.push_samples(e, 10), columns.push_samples(e, 5)) for e in (0.1, 0.01, 0.001, 0.0001, 0.00001)]
-    return spark.createDataFrame(rows, "eps double, walks long, samples_10 long, samples_5 long")
+    eps = F.element_at(F.array(*map(F.lit, (0.1, 0.01, 0.001, 0.0001, 0.00001))), F.col("r_regionkey") + 1)
+    return derived.table(spark, d, "region").select("r_regionkey", columns.walk_count_of(eps).alias("walks"), columns.push_samples_of(eps, 10).alias("samples_10"), columns.push_samples_of(eps, 5).alias("samples_5"))
+
+
+@query("attribute_scan", sql.graph("nation_trade") + " SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) AS n, count(*) AS m FROM g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "attribute")
+    found = stats.attribute(derived.nation_trade(spark, d)).select(F.explode(F.array(F.concat(F.lit("n "), F.col("n")), F.concat(F.lit("m "), F.col("m")))).alias("value"))
+    found.write.text(path)
+    return files.read_attribute(spark, path)
 
 
 # ---- compressed sparse rows
@@ -158,19 +166,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _answer(walks.alias_walk(derived.nation_trade(spark, d), sources(spark, [1, 3]), WALKS, 3))
 
 
-@query("rejection_walk", f"{sql.graph('transitions', 'positions')},\n{sql.rejection_walk([0, 3], WALKS, 3, ATTEMPTS)} {_ANSWER}")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return _answer(walks.rejection_walk(derived.transitions(spark, d), sources(spark, [0, 3]), WALKS, 3, attempts=ATTEMPTS))
-
-
-@query("reject_accept_step", f"{sql.graph('transitions', 'positions')},\n{sql.rejection_walk([0, 1, 2, 3], WALKS, 1, ATTEMPTS)} {_ANSWER}")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return _answer(walks.rejection_walk(derived.transitions(spark, d), sources(spark, [0, 1, 2, 3]), WALKS, 1, attempts=ATTEMPTS))
-
+for _name, _graph, _us, _length in (("rejection_walk", "transitions", [0, 3], 3), ("reject_accept_step", "transitions", [0, 1, 2, 3], 1), ("rejection_walk_skewed", "skewed", [0, 3], 2)):
+    query(_name, f"{sql.graph(_graph, 'positions')},\n{sql.rejection_walk(_us, WALKS, _length)} {_ANSWER}")(
+        lambda spark, d, graph=_graph, us=_us, length=_length: _answer(walks.rejection_walk(getattr(derived, graph)(spark, d), sources(spark, us), WALKS, length))
+    )
 
 for _policy in ("drop", "stay"):
-    query(f"walk_dangling_{_policy}", f"{sql.graph('cust_supp', 'positions', 'prefix')},\n{sql.prefix_walk([1, 2], WALKS, 2, stay=_policy == 'stay')} {_ANSWER}")(
-        lambda spark, d, policy=_policy: _answer(walks.prefix_walk(derived.cust_supp(spark, d), sources(spark, [1, 2]), WALKS, 2, dangling=policy))
+    query(f"walk_dangling_{_policy}", f"{sql.graph('trade', 'positions', 'prefix')},\n{sql.prefix_walk([1, 2], WALKS, 3, stay=_policy == 'stay')} {_ANSWER}")(
+        lambda spark, d, policy=_policy: _answer(walks.prefix_walk(derived.trade(spark, d), sources(spark, [1, 2]), WALKS, 3, dangling=policy))
     )
 
 
@@ -179,7 +182,7 @@ def _push(graph: str, us: list[int], samples: int, levels: int) -> Query:
 
 
 for _name, _graph, _us, _samples, _length in (("sampled_push_step", "copurchase", [1, 2], SAMPLES, 1), ("sampled_push_walk", "copurchase", [1], SAMPLES, PUSH_LEVELS), ("sampled_push_skewed", "skewed", [0, 1], 200, 4)):
-    query(_name, f"{sql.graph(_graph, 'buckets')},\n{sql.sampled_push(_us, _samples, _length)} SELECT query_id, node, round(p, 9) AS p FROM answer")(_push(_graph, _us, _samples, _length))
+    query(_name, f"{sql.graph(_graph, 'buckets', 'totals')},\n{sql.sampled_push(_us, _samples, _length)} SELECT query_id, node, round(p, 9) AS p FROM answer")(_push(_graph, _us, _samples, _length))
 
 
 # ---- answers and metrics: prefix walks against the exact distribution
@@ -202,7 +205,7 @@ def _size(edges: DataFrame) -> int:
 _METRICS = f"{_EVALUATED},\n{sql.METRICS}"
 for _name, _sql, _make in (
     ("metric_l1", "SELECT query_id, round(l1, 9) AS l1 FROM l1", lambda a, t, e: metrics.l1_error(a, t).select("query_id", rounded("l1"))),
-    ("metric_max_ae", "SELECT query_id, round(max_ae, 9) AS max_ae FROM ae", lambda a, t, e: metrics.max_additive_error(a, t).select("query_id", rounded("max_ae"))),
+    ("metric_max_ae", "SELECT query_id, round(max_ae, 9) AS max_ae, node, round(a, 9) AS a, round(t, 9) AS t FROM ae", lambda a, t, e: metrics.max_additive_error(a, t).select("query_id", rounded("max_ae"), "node", rounded("a"), rounded("t"))),
     ("metric_precision", "SELECT query_id, round(precision, 9) AS precision FROM precise", lambda a, t, e: metrics.precision_at_k(a, t, _size(e)).select("query_id", rounded("precision"))),
     ("metric_conductance", "SELECT query_id, round(conductance, 9) AS conductance FROM conduct", lambda a, t, e: metrics.conductance(a, e).select("query_id", rounded("conductance"))),
     (
@@ -235,16 +238,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return files.read_answers(spark, path).select("algo", "label", F.col("L").cast("int").alias("L"), F.col("u").cast("long").alias("query_id"), "node", rounded("p"))
 
 
-@query("gt_scan", f"{sql.graph('nation_trade', 'matrix')},\n{sql.power([1, 3], 2)} SELECT query_id, node, round(p, 9) AS p FROM truth WHERE round(p, 15) > 0")
+def _as_text(found: DataFrame, path: str) -> None:
+    files.write_answer_text(found.select(F.lit("exact").alias("algo"), F.lit("nation_trade").alias("label"), F.lit(2).alias("L"), F.lit("0").alias("eps"), F.col("query_id").alias("u"), "node", "p"), path)
+
+
+@query("result_text", f"{sql.graph('nation_trade', 'matrix')},\n{sql.power([1, 3], 2)} SELECT query_id, node, round(p, 9) AS p FROM truth")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "answer-text")
+    _as_text(exact.power_method(derived.nation_trade(spark, d), sources(spark, [1, 3]), 2), path)
+    return files.read_answer_text(spark, path).select(F.col("u").cast("long").alias("query_id"), "node", rounded("p"))
+
+
+@query("gt_scan", f"{sql.graph('nation_trade', 'matrix')},\n{sql.power([1, 3], 2)} SELECT query_id, node FROM truth WHERE p * CAST(1e-14 AS DOUBLE) >= CAST(5e-16 AS DOUBLE)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _queries["result_sink"](spark, d).select("query_id", "node", "p")
+    """Probabilities so small that some vanish in the fifteen decimals of the text."""
+    path = new_path(spark, "tiny-answers")
+    found = exact.power_method(derived.nation_trade(spark, d), sources(spark, [1, 3]), 2)
+    _as_text(found.withColumn("p", F.col("p") * F.lit(1e-14)), path)
+    return files.read_answer_text(spark, path).select(F.col("u").cast("long").alias("query_id"), "node")
 
 
-@query("query_scan", "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(u AS BIGINT) AS u FROM (VALUES (0, 1), (1, 3)) v(query_id, u)")
+@query("query_scan", sql.graph("transitions") + ", d AS (SELECT src, count(*) AS deg FROM g GROUP BY src) SELECT row_number() OVER (ORDER BY deg DESC, src) - 1 AS query_id, src AS u FROM d QUALIFY query_id < 4")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "queries")
-    files.write_queries(sources(spark, [1, 3, 5]), path)
-    return files.read_queries(spark, path, 2)
+    files.write_queries(updates.max_queries(derived.transitions(spark, d), 9), path)
+    return files.read_queries(spark, path, 4)
 
 
 @query("query_generate", f"{sql.graph('nation_trade')}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS idx, src FROM g), n AS (SELECT CAST(range AS BIGINT) AS query_id FROM range(50)) SELECT query_id, src AS u FROM n JOIN e ON e.idx = CAST(floor({sql.rng(repr('queries'), 'query_id')} * (SELECT count(*) FROM g)) AS BIGINT)")
@@ -281,7 +299,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _workload(spark, d)[1]
 
 
-@query("oplog_scan", f"{_OPS} SELECT src, dst, w FROM ops")
+@query("oplog_scan", f"{_OPS} SELECT CAST(seq AS BIGINT) AS seq, src, dst, w FROM ops")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "op-log")
     files.write_ops(_workload(spark, d)[1], path)
@@ -330,24 +348,74 @@ for _name, _build, _sql in (
     query(_name, f"{_UPDATED} {_sql}")(_refreshed(_build))
 
 
-@query("update_overhead", "SELECT 'a' AS label, algo, seconds, seconds - 2 AS overhead FROM (VALUES ('plain', CAST(2 AS DOUBLE)), ('alias', CAST(7 AS DOUBLE))) v(algo, seconds)")
+# ---- logs and reports: their numbers are made of the tables
+
+
+@query(
+    "log_parse",
+    """WITH k AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)
+      SELECT CAST(4 * r + j AS BIGINT) AS line, kind, CASE kind WHEN 'delete' THEN k / CAST(8 AS DOUBLE) WHEN 'insert' THEN k / CAST(4 AS DOUBLE) ELSE k + CAST(0.5 AS DOUBLE) END AS value
+      FROM k JOIN (VALUES (0, 'delete'), (1, 'insert'), (3, 'memory')) v(j, kind) ON true""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path, k = new_path(spark, "log"), F.col("n_nationkey")
+    label = F.concat(F.lit("add-memory-"), k)
+    lines = F.array(
+        F.concat(label, F.lit(" new del update time: "), k / F.lit(8.0)), F.concat(label, F.lit(" new add update time: "), k / F.lit(4.0)),
+        F.lit("no new del update time here"), F.concat(F.lit("Total graph: peak memory: "), k + F.lit(0.5), F.lit(" G")),
+    )
+    text = derived.table(spark, d, "nation").select(k, F.posexplode(lines).alias("j", "value"))
+    text.coalesce(1).sortWithinPartitions("n_nationkey", "j").select("value").write.text(path)
+    return files.parse_log(spark, path).select("line", "kind", "value")
+
+
+@query(
+    "update_overhead",
+    """WITH v AS (SELECT CAST(s_nationkey AS VARCHAR) AS label, ['plain', 'alias', 'push'][s_suppkey % 3 + 1] AS algo, ['delete', 'insert', 'memory'][(s_suppkey // 3) % 3 + 1] AS kind, CAST(s_suppkey AS DOUBLE) AS value FROM supplier),
+      m AS (SELECT label, algo, avg(value) FILTER (kind <> 'memory') AS seconds, avg(value) FILTER (kind = 'memory') AS memory FROM v GROUP BY label, algo)
+      SELECT m.label, m.algo, round(m.seconds, 9) AS seconds, round(m.seconds - b.seconds, 9) AS overhead, round(m.memory, 9) AS memory, round(m.memory - b.memory, 9) AS memory_overhead FROM m JOIN m b ON m.label = b.label AND b.algo = 'plain'""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % 3 + 1).cast("int"))
+    k = F.col("s_suppkey")
+    values = derived.table(spark, d, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("label"), pick(("plain", "alias", "push"), k).alias("algo"),
+        pick(("delete", "insert", "memory"), F.floor(k / 3)).alias("kind"), k.cast("double").alias("value"),
+    )
+    return updates.update_overhead(values, "plain").select("label", "algo", *map(rounded, ("seconds", "overhead", "memory", "memory_overhead")))
+
+
+_REPORTS = """WITH r AS (SELECT event_type AS algo, 'events' AS label, 5 AS "L", CAST(user_id % 8 AS INTEGER) AS eps_idx, CAST(count(*) AS DOUBLE) AS avg_sec,
+    CAST(min(user_id) AS DOUBLE) AS precision, CAST(max(user_id) AS DOUBLE) AS conductance, CAST(count(DISTINCT user_id) AS DOUBLE) AS max_ae FROM events GROUP BY ALL)"""
+
+
+def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Run times and errors of made-up runs."""
+    key = [F.col("event_type").alias("algo"), F.lit("events").alias("label"), F.lit(5).alias("L"), (F.col("user_id") % 8).cast("int").alias("eps_idx")]
+    values = {"avg_sec": F.count("*"), "precision": F.min("user_id"), "conductance": F.max("user_id"), "max_ae": F.countDistinct("user_id")}
+    found = derived.table(spark, d, "events").groupBy(*key).agg(*[v.cast("double").alias(c) for c, v in values.items()])
+    at = ["algo", "label", "L", "eps_idx"]
+    return found.select(*at, "avg_sec"), found.select(*at, "precision", "conductance", "max_ae")
+
+
+@query("report_append", f"{_REPORTS} SELECT algo, eps_idx, precision, conductance, max_ae FROM r")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", "plain", "delete", 1.0), ("a", "plain", "insert", 3.0), ("a", "alias", "delete", 6.0), ("a", "alias", "insert", 8.0), ("a", "alias", "memory", 1.0)]
-    return updates.update_overhead(spark.createDataFrame(rows, "label string, algo string, kind string, value double"), "plain")
+    path, errors = new_path(spark, "reports"), _reports(spark, d)[1].select("algo", "eps_idx", "precision", "conductance", "max_ae")
+    for even in (0, 1):
+        files.append_report(errors.filter(F.col("eps_idx") % 2 == even), path)
+    return files.read_report(spark, path, errors.schema)
 
 
-@query("log_parse", "SELECT CAST(line AS INTEGER) AS line, kind, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 'delete', 0.25), (1, 'insert', 0.75), (3, 'memory', 1.5)) v(line, kind, value)")
+@query("metric_series", f"{_REPORTS} SELECT algo, label, \"L\", eps_idx, avg_sec, metric, value FROM r UNPIVOT (value FOR metric IN (precision, conductance, max_ae)) WHERE eps_idx < 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = new_path(spark, "log")
-    text = "mean time for delete is: 0.25 s\nmean time for insert is: 0.75 s\nno numbers here\nuse of memory: x 1.5 GB"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return files.parse_log(spark, path)
+    return updates.metric_series(*_reports(spark, d))
 
 
-@query("metric_series", "SELECT 'push' AS algo, 'g' AS label, 5 AS \"L\", CAST(range AS INTEGER) AS eps_idx, range * CAST(2 AS DOUBLE) AS avg_sec, range * CAST(3 AS DOUBLE) AS l1 FROM range(5)")
+@query("precision_points", f"{_REPORTS}, o AS (SELECT algo, max(avg_sec) AS overhead FROM r GROUP BY algo) SELECT algo, label, avg_sec AS query_sec, overhead AS update_overhead, precision FROM r JOIN o USING (algo) WHERE eps_idx = 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    key = [F.lit("push").alias("algo"), F.lit("g").alias("label"), F.lit(5).alias("L"), F.col("id").cast("int").alias("eps_idx")]
-    return updates.metric_series(spark.range(8).select(*key, (F.col("id") * 2.0).alias("avg_sec")), spark.range(8).select(*key, (F.col("id") * 3.0).alias("l1")))
+    runtimes, errors = _reports(spark, d)
+    overheads = runtimes.groupBy("algo", "label").agg(F.max("avg_sec").alias("overhead"))
+    return updates.precision_points(runtimes, errors, overheads, runtimes.select("label", F.lit(2).alias("eps_idx")).distinct())
 
 
 @query("update_stream", f"{_UPDATED} SELECT src, dst, w FROM h")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def rng(*parts: Column | int | str) -> Column:
     return (draw % LATTICE) / F.lit(float(LATTICE))
 
 
+def draw(*parts: int | str) -> float:
+    """The number that rng gives for these parts, inside a task."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % LATTICE / LATTICE
+
+
 def affinity_rescale(w: Column) -> Column:
     return F.greatest(w * AFFINITY_FACTOR, F.lit(AFFINITY_LEAST))
 
@@ -36,3 +43,13 @@ def walk_count(eps: float) -> int:
 def push_samples(eps: float, length: int) -> int:
     """How many samples a sampled push takes."""
     return int(0.1 * length / eps * 4.0)
+
+
+def walk_count_of(eps: Column) -> Column:
+    """walk_count of a column."""
+    return (F.lit(1.0) / eps / F.lit(0.25)).cast("long")
+
+
+def push_samples_of(eps: Column, length: int) -> Column:
+    """push_samples of a column."""
+    return (F.lit(0.1 * length) / eps * F.lit(4.0)).cast("long")

@@ -1,6 +1,8 @@
 """Indexes for sampling: transition probabilities, guided prefix sums, alias slots and weight buckets.
 
-All are windows over each source's adjacency, so a rebuild for some sources is a rebuild of their rows alone.
+All go by each source's adjacency, so a rebuild for some sources is a rebuild of their rows alone.  Positions and
+running sums of a source come from ranges of its neighbours, so a hub is no single task's work; alias slots alone sort
+a source's edges in one.
 """
 
 from __future__ import annotations
@@ -10,9 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import weight_bucket
+from wayfare.plans.ordered import running, spread
 
 #: The adjacency's order; parallel edges follow each other by weight.
-ORDER = ("dst", "w")
+ORDER = ["dst", "w"]
+#: Neighbours of so many consecutive ids are numbered together.
+RANGE_BITS = 16
 UP_TO_HERE = (W.unboundedPreceding, 0)
 
 
@@ -31,20 +36,24 @@ def transition_matrix(edges: DataFrame) -> DataFrame:
     return with_totals(merged).select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
+def by_range() -> Column:
+    return F.shiftright("dst", RANGE_BITS)
+
+
+def _placed(edges: DataFrame) -> DataFrame:
+    """edges with nth (from 1), hi (the running weight), deg and total of their source."""
+    one = F.lit(1).cast("long")
+    return running(edges.select("src", "dst", "w"), ["src"], by_range(), ORDER, {"nth": one, "hi": F.col("w")}, {"nth": "deg", "hi": "total"})
+
+
 def positions(edges: DataFrame) -> DataFrame:
     """edges with pos (from 0), deg and total of their source."""
-    source = W.partitionBy("src")
-    return edges.select(
-        "src", "dst", "w", (F.row_number().over(source.orderBy(*ORDER)) - 1).alias("pos"),
-        F.count("*").over(source).alias("deg"), F.sum("w").over(source).alias("total"),
-    )
+    return _placed(edges).select("src", "dst", "w", (F.col("nth") - 1).cast("int").alias("pos"), "deg", "total")
 
 
 def prefix_index(edges: DataFrame) -> DataFrame:
     """src, pos, dst, lo, hi, total, deg: an edge owns [lo, hi) of [0, total)."""
-    placed = positions(edges)
-    hi = F.sum("w").over(W.partitionBy("src").orderBy("pos").rowsBetween(*UP_TO_HERE))
-    return placed.withColumn("hi", hi).select("src", "pos", "dst", (F.col("hi") - F.col("w")).alias("lo"), "hi", "total", "deg")
+    return _placed(edges).select("src", (F.col("nth") - 1).cast("int").alias("pos"), "dst", (F.col("hi") - F.col("w")).alias("lo"), "hi", "total", "deg")
 
 
 def cell(x: Column, total: Column, deg: Column) -> Column:
@@ -60,7 +69,7 @@ def guided_prefix_index(edges: DataFrame) -> DataFrame:
     """
     index = prefix_index(edges)
     first, last = cell(F.col("lo"), F.col("total"), F.col("deg")), cell(F.col("hi"), F.col("total"), F.col("deg"))
-    return index.withColumn("cell", F.explode(F.sequence(first, last)))
+    return spread(index, first, last, "cell")
 
 
 def alias_index(edges: DataFrame) -> DataFrame:
@@ -102,17 +111,19 @@ def alias_distribution(index: DataFrame) -> DataFrame:
 
 def bucket_index(edges: DataFrame) -> DataFrame:
     """src, bucket, bpos, dst, w, maxw: edges by weight bucket, numbered within it; maxw bounds a bucket's weights."""
-    marked = edges.withColumn("bucket", weight_bucket(F.col("w")))
-    bpos = F.row_number().over(W.partitionBy("src", "bucket").orderBy(*ORDER)) - 1
-    return marked.select("src", "bucket", bpos.alias("bpos"), "dst", "w", F.pow(F.lit(2.0), "bucket").alias("maxw"))
+    marked = edges.select("src", "dst", "w", weight_bucket(F.col("w")).alias("bucket"))
+    placed = running(marked, ["src", "bucket"], by_range(), ORDER, {"nth": F.lit(1).cast("long")})
+    return placed.select("src", "bucket", (F.col("nth") - 1).cast("int").alias("bpos"), "dst", "w", F.pow(F.lit(2.0), "bucket").alias("maxw"))
 
 
-def push_index(edges: DataFrame) -> DataFrame:
-    """src, dst, w, maxw, total: what a sampled push needs of an edge."""
-    return with_totals(edges).select("src", "dst", "w", F.pow(F.lit(2.0), weight_bucket(F.col("w"))).alias("maxw"), "total")
+def bucket_totals(edges: DataFrame) -> DataFrame:
+    """src, bucket, cnt, maxw, total: how many edges each bucket has, the bound of their weights, the source's weight."""
+    counted = edges.groupBy("src", weight_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("cnt"), F.sum("w").alias("__w"))
+    whole = counted.groupBy("src").agg(F.sum("__w").alias("total"))
+    return counted.join(whole, "src").select("src", "bucket", "cnt", F.pow(F.lit(2.0), "bucket").alias("maxw"), "total")
 
 
 def rejection_index(edges: DataFrame) -> DataFrame:
     """src, pos, dst, accept (the chance to accept the neighbour once drawn), deg."""
-    bound = F.pow(F.lit(2.0), F.max(weight_bucket(F.col("w"))).over(W.partitionBy("src")))
-    return positions(edges).select("src", "pos", "dst", (F.col("w") / bound).alias("accept"), "deg")
+    bound = edges.groupBy("src").agg(F.pow(F.lit(2.0), F.max(weight_bucket(F.col("w")))).alias("bound"))
+    return positions(edges).join(bound, "src").select("src", "pos", "dst", (F.col("w") / F.col("bound")).alias("accept"), "deg")

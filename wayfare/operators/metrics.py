@@ -23,10 +23,19 @@ def l1_error(answer: DataFrame, truth: DataFrame) -> DataFrame:
     return _matched(answer, truth).groupBy("query_id").agg(F.sum("off").alias("l1"))
 
 
-def max_additive_error(answer: DataFrame, truth: DataFrame) -> DataFrame:
-    """query_id, max_ae, node, a, t: the greatest difference and where it is; of ties the greatest (a, node)."""
-    best = F.max(F.struct("off", "a", "node", "t")).alias("m")
-    return _matched(answer, truth).groupBy("query_id").agg(best).select("query_id", F.col("m.off").alias("max_ae"), "m.node", "m.a", "m.t")
+def max_additive_error(answer: DataFrame, truth: DataFrame, decimals: int = 12) -> DataFrame:
+    """query_id, max_ae, node, a, t: the greatest difference, to some decimals, and where it is.
+
+    Of ties the first counts, in the order: answered nodes by (p, node) falling, then nodes of the truth alone by node
+    rising.  Without any difference there is no node.
+    """
+    mine = answer.select("query_id", "node", F.col("p").alias("a"), F.lit(True).alias("answered"))
+    both = mine.join(truth.select("query_id", "node", F.col("p").alias("t")), ["query_id", "node"], "full").fillna(0.0, ["a", "t"]).fillna(False, ["answered"])
+    off = F.round(F.abs(F.col("a") - F.col("t")), decimals).alias("off")
+    order = F.when(F.col("answered"), F.col("node")).otherwise(-F.col("node")).alias("order")
+    best = both.groupBy("query_id").agg(F.max(F.struct(off, "answered", "a", order, "node", "t")).alias("m"))
+    of_most = lambda c: F.when(F.col("m.off") > 0, F.col(f"m.{c}")).alias(c)
+    return best.select("query_id", F.col("m.off").alias("max_ae"), *map(of_most, ("node", "a", "t")))
 
 
 def precision_at_k(answer: DataFrame, truth: DataFrame, n: int, k: int = 50) -> DataFrame:

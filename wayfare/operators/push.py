@@ -1,18 +1,24 @@
 """Sampled push: the flagship approximate query.
 
 A sample starts with mass 1 at the source.  At each level a node of mass p offers p * w / total to every out-edge.  In a
-weight bucket with p * 2**bucket / total >= 1 that mass is handed on as it is; in the others each edge flips a coin
-of that chance, and hands on a mass of 1.  So a sample's mass stays on few nodes, and the mean over samples is the exact
-distribution.
+weight bucket with p * 2**bucket / total >= 1 that mass is handed on as it is, to at most 2p edges.  In the others each
+edge gets a mass of 1 with that chance: positions in the bucket are met by geometric skips with the chance of the
+bucket's bound, and a position that is met is accepted with the chance w / 2**bucket.  So a level looks at the buckets
+of its nodes and at the edges it meets, about twice as many as it hands mass to, and never at all edges of a hub.  A
+sample's mass stays on few nodes, and the mean over samples is the exact distribution.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.columns import rng
-from wayfare.operators.indexes import push_index
+from wayfare.functions.columns import draw, rng
+from wayfare.operators.indexes import bucket_index, bucket_totals
 from wayfare.plans.storage import bucketed, materialize
 
 #: Decimals that masses keep between levels, so that coins fall alike whatever the order of summation.
@@ -25,34 +31,62 @@ def start(queries: DataFrame, samples: int) -> DataFrame:
     return queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("sample"), F.col("u").alias("node"), F.lit(1.0).alias("p"))
 
 
-def offers(state: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
+def hits(met: DataFrame, seed: str, level: int) -> DataFrame:
+    """The positions that each row of met (query_id, sample, src, bucket, cnt, unit, q) meets in its bucket.
+
+    query_id, sample, src, bucket, bpos and unit, the mass for each unit of weight: all positions where q is 1 or more;
+    else those that geometric skips of chance q come by, and unit is null.
+    """
+    names = ["query_id", "sample", "src", "bucket", "bpos", "unit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for query, sample, src, bucket, cnt, unit, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if q >= 1:
+                    out += [(query, sample, src, bucket, k, unit) for k in range(cnt)]
+                    continue
+                scale, at, i = math.log1p(-q), -1, 0
+                while (at := at + 1 + math.floor(math.log(1 - draw(seed, query, sample, level, src, bucket, i)) / scale)) < cnt:
+                    out.append((query, sample, src, bucket, at, None))
+                    i += 1
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return met.mapInArrow(run, "query_id long, sample long, src long, bucket int, bpos int, unit double")
+
+
+def offers(state: DataFrame, totals: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
     """What state (query_id, sample, node, p) hands on at a level: query_id, sample, dst, mass.
 
-    The coins are a filter on the joined rows, inside code generation and before any shuffle.
+    totals are the bucket totals, index the bucket index; positions that are met move to where the index has them.
     """
-    met = state.join(index, F.col("node") == F.col("src"))
-    share = F.col("p") / F.col("total")
-    coin = rng(seed, F.col("query_id"), F.col("sample"), level, F.col("src"), F.col("dst"))
-    sure = share * F.col("maxw") >= 1
-    mass = F.when(sure, share * F.col("w")).when(coin < share * F.col("w"), F.lit(1.0))
-    return met.select("query_id", "sample", "dst", mass.alias("mass")).filter("mass is not null")
+    unit = F.col("p") / F.col("total")
+    buckets = state.join(totals, F.col("node") == F.col("src"))
+    met = buckets.select("query_id", "sample", "src", "bucket", "cnt", unit.alias("unit"), (unit * F.col("maxw")).alias("q")).filter("q > 0")
+    found = hits(met, seed, level).join(index, ["src", "bucket", "bpos"])
+    coin = rng(seed, F.col("query_id"), F.col("sample"), level, "accept", F.col("src"), F.col("bucket"), F.col("bpos"))
+    mass = F.when(F.col("unit").isNotNull(), F.col("unit") * F.col("w")).when(coin < F.col("w") / F.col("maxw"), F.lit(1.0))
+    return found.select("query_id", "sample", "dst", mass.alias("mass")).filter("mass is not null")
 
 
-def push_step(state: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
-    return offers(state, index, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node")).agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
+def push_step(state: DataFrame, totals: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
+    return offers(state, totals, index, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node")).agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
 
 
 def sampled_push(edges: DataFrame, queries: DataFrame, samples: int, length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
     """answer (query_id, node, p): the mean over samples of the mass at each node after `length` levels.
 
-    The index is written once, in buckets by src, so that a level moves the state alone.  The last level is not summed
-    by sample first: its masses go straight into the mean.
+    Totals and index are written once, in buckets by what they are joined on, so that a level moves the state and the
+    positions it meets alone.  The last level is not summed by sample first: its masses go straight into the mean.
     """
-    index = bucketed(push_index(edges), ["src"], "push-index")
+    totals = bucketed(bucket_totals(edges), ["src"], "bucket-totals")
+    index = bucketed(bucket_index(edges), ["src", "bucket", "bpos"], "bucket-index")
     state = start(queries, samples)
     for level in range(1, length):
-        state = push_step(state, index, seed, level)
+        state = push_step(state, totals, index, seed, level)
         if level % cut_every == 0:
             state = materialize(state, "push")
-    last = offers(state, index, seed, length) if length else state.select("query_id", F.col("node").alias("dst"), F.col("p").alias("mass"))
+    last = offers(state, totals, index, seed, length) if length else state.select("query_id", F.col("node").alias("dst"), F.col("p").alias("mass"))
     return last.groupBy("query_id", F.col("dst").alias("node")).agg((F.sum("mass") / F.lit(float(max(samples, 1)))).alias("p"))

@@ -27,11 +27,15 @@ def missing_keys(edges: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def delete(edges: DataFrame, deletes: DataFrame) -> DataFrame:
-    """edges without one edge for each row of deletes (src, dst); of parallel edges the heaviest go first."""
+    """edges without one edge for each row of deletes (src, dst); of parallel edges the heaviest go first.
+
+    Only edges that deletes name are numbered; the others stay where they are.
+    """
     asked = deletes.groupBy("src", "dst").agg(F.count("*").alias("__asked"))
+    named = edges.join(asked, ["src", "dst"])
     nth = F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("w")))
-    marked = edges.withColumn("__nth", nth).join(asked, ["src", "dst"], "left")
-    return marked.filter(F.col("__asked").isNull() | (F.col("__nth") > F.col("__asked"))).select(*edges.columns)
+    left = named.withColumn("__nth", nth).filter(F.col("__nth") > F.col("__asked")).select(*edges.columns)
+    return edges.join(asked, ["src", "dst"], "left_anti").unionByName(left)
 
 
 def insert(edges: DataFrame, inserts: DataFrame) -> DataFrame:
@@ -61,14 +65,15 @@ def refresh(index: DataFrame, edges: DataFrame, sources: DataFrame, build: Calla
 
 
 def generate_ops(edges: DataFrame, num: int, seed: str = "ops") -> DataFrame:
-    """seq, src, dst, w: num different edges of sources with more than one.
+    """seq, src, dst, w: num edges, different by (src, dst), of sources with more than one edge.
 
     A source drawn by degree and a uniform neighbour of it are a uniform edge; so the first num edges in a random
-    order are what drawing and leaving out repetitions gives.  With fewer eligible edges, all of them.
+    order are what drawing and leaving out repetitions gives.  Of parallel edges the heaviest stands for all, which is
+    the one that delete takes.  With fewer eligible edges, all of them.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("deg")).filter("deg > 1").select("src")
-    eligible = edges.join(degree, "src", "left_semi").withColumn("r", rng(seed, F.col("src"), F.col("dst")))
-    chosen = eligible.orderBy("r", "src", "dst").limit(num)
+    once = edges.join(degree, "src", "left_semi").groupBy("src", "dst").agg(F.max("w").alias("w"))
+    chosen = once.withColumn("r", rng(seed, F.col("src"), F.col("dst"))).orderBy("r", "src", "dst").limit(num)
     return chosen.select((F.row_number().over(W.orderBy("r", "src", "dst")) - 1).cast("long").alias("seq"), "src", "dst", "w")
 
 
@@ -88,13 +93,37 @@ def max_queries(edges: DataFrame, num: int) -> DataFrame:
     return degree.select((F.row_number().over(W.orderBy(F.desc("deg"), "src")) - 1).cast("long").alias("query_id"), F.col("src").alias("u"), "deg")
 
 
-def update_overhead(times: DataFrame, baseline: str) -> DataFrame:
-    """label, algo, seconds, overhead: the mean of delete and insert times of (label, algo, kind, value), less baseline's."""
-    mean = times.filter("kind in ('delete', 'insert')").groupBy("label", "algo").agg(F.avg("value").alias("seconds"))
-    base = mean.filter(F.col("algo") == baseline).select("label", F.col("seconds").alias("base"))
-    return mean.join(base, "label").select("label", "algo", "seconds", (F.col("seconds") - F.col("base")).alias("overhead"))
+def update_overhead(values: DataFrame, baseline: str) -> DataFrame:
+    """label, algo, seconds, overhead, memory, memory_overhead of (label, algo, kind, value).
 
-
-def metric_series(runtimes: DataFrame, errors: DataFrame, first: int = 5) -> DataFrame:
-    """Metrics against run times: (algo, label, L, eps_idx) joined, for the first few values of eps."""
-    return runtimes.join(errors, ["algo", "label", "L", "eps_idx"]).filter(F.col("eps_idx") < first)
+    seconds is the mean of the delete and insert times, memory that of the memory lines; overheads are what they have
+    over those of the algorithm `baseline` on the same label.
+    """
+    mean = values.groupBy("label", "algo").agg(
+        F.avg(F.when(F.col("kind").isin("delete", "insert"), F.col("value"))).alias("seconds"),
+        F.avg(F.when(F.col("kind") == "memory", F.col("value"))).alias("memory"),
+    )
+    base = mean.filter(F.col("algo") == baseline).select("label", F.col("seconds").alias("__s"), F.col("memory").alias("__m"))
+    return mean.join(base, "label").select(
+        "label", "algo", "seconds", (F.col("seconds") - F.col("__s")).alias("overhead"), "memory", (F.col("memory") - F.col("__m")).alias("memory_overhead")
+    )
+
+
+#: The metrics that a series can show.
+METRICS = ("precision", "conductance", "max_ae")
+
+
+def metric_series(runtimes: DataFrame, errors: DataFrame, first: int = 5, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """algo, label, L, eps_idx, avg_sec, metric, value: each metric against run time, for the first few values of eps."""
+    key = ["algo", "label", "L", "eps_idx"]
+    joined = runtimes.join(errors, key).filter(F.col("eps_idx") < first)
+    pairs = F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value")
+    return joined.select(*key, "avg_sec", pairs)
+
+
+def precision_points(runtimes: DataFrame, errors: DataFrame, overheads: DataFrame, eps: DataFrame) -> DataFrame:
+    """algo, label, query_sec, update_overhead, precision at the eps_idx that eps (label, eps_idx) chooses for each label."""
+    chosen = runtimes.join(errors, ["algo", "label", "L", "eps_idx"]).join(eps, ["label", "eps_idx"])
+    return chosen.join(overheads.select("algo", "label", "overhead"), ["algo", "label"]).select(
+        "algo", "label", F.col("avg_sec").alias("query_sec"), F.col("overhead").alias("update_overhead"), "precision"
+    )

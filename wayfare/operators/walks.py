@@ -135,7 +135,7 @@ def least_acceptance(edges: DataFrame) -> DataFrame:
     return mean.agg(F.min("a").alias("acceptance"))
 
 
-def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "reject", dangling: str = "drop", attempts: int = 64) -> DataFrame:
+def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "reject", dangling: str = "drop", attempts: int = 8) -> DataFrame:
     """Walks that draw uniform neighbours and accept them by weight, each step until one is accepted.
 
     `attempts` is how many neighbours the first round of a step tries for each walk; the answer doesn't depend on it.

@@ -24,20 +24,24 @@ def rng(*parts: str | int) -> str:
 _U = f"({rng(repr('sk'), 'src', 'dst')} + CAST(0.0001 AS DOUBLE))"
 GRAPHS["skewed"] = f"SELECT src, dst, w * CAST(ceil(CAST(1.0 AS DOUBLE) / ({_U} * {_U})) AS DOUBLE) AS w FROM ({GRAPHS['transitions']})"
 
+#: cust_supp, and back again from every second supplier; the others are dangling.
+GRAPHS["trade"] = f"SELECT * FROM ({GRAPHS['cust_supp']}) UNION ALL SELECT dst AS src, src AS dst, w FROM ({GRAPHS['cust_supp']}) WHERE dst % 2 = 0"
+
 BUCKET = "CAST(ceil(log2(w)) AS INTEGER)"
 
 INDEXES = {
     "positions": """SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos,
       count(*) OVER (PARTITION BY src) AS deg, sum(w) OVER (PARTITION BY src) AS total FROM g""",
     "prefix": "SELECT src, pos, dst, hi - w AS lo, hi, total, deg FROM (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY pos) AS hi FROM positions)",
-    "buckets": f"SELECT src, dst, w, {BUCKET} AS bucket, pow(CAST(2 AS DOUBLE), {BUCKET}) AS maxw, sum(w) OVER (PARTITION BY src) AS total FROM g",
+    "buckets": f"SELECT src, dst, w, {BUCKET} AS bucket, pow(CAST(2 AS DOUBLE), {BUCKET}) AS maxw, row_number() OVER (PARTITION BY src, {BUCKET} ORDER BY dst) - 1 AS bpos FROM g",
+    "totals": "SELECT b.src, b.bucket, count(*) AS cnt, any_value(b.maxw) AS maxw, any_value(t.total) AS total FROM buckets b JOIN (SELECT src, sum(w) AS total FROM g GROUP BY src) t ON b.src = t.src GROUP BY b.src, b.bucket",
     "matrix": "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM g",
 }
 
 
 def graph(name: str, *indexes: str) -> str:
     """WITH clauses of a graph and of indexes over it."""
-    return f"WITH g AS ({GRAPHS[name]})" + "".join(f",\n{k} AS ({INDEXES[k]})" for k in indexes)
+    return f"WITH RECURSIVE g AS ({GRAPHS[name]})" + "".join(f",\n{k} AS ({INDEXES[k]})" for k in indexes)
 
 
 def queries(sources: list[int]) -> str:
@@ -91,31 +95,43 @@ def alias_walk(sources: list[int], walks: int, length: int, seed: str = "alias")
     return _walk(sources, walks, [step(k) for k in range(1, length + 1)], True)
 
 
-def rejection_walk(sources: list[int], walks: int, length: int, attempts: int, seed: str = "reject") -> str:
+def rejection_walk(sources: list[int], walks: int, length: int, seed: str = "reject") -> str:
+    """Each step tries neighbours until one is accepted."""
     index = "accepts AS (SELECT p.src, p.pos, p.dst, p.deg, p.w / pow(CAST(2 AS DOUBLE), max(CAST(ceil(log2(p.w)) AS INTEGER)) OVER (PARTITION BY p.src)) AS accept FROM positions p)"
-
-    def step(k: int) -> str:
-        draw = lambda d: rng(repr(seed), "s.query_id", "s.walk", k, f"CAST(a.range * 2 + {d} AS VARCHAR)")
-        return f"""SELECT s.query_id, s.walk, arg_min(i.dst, a.range) AS node FROM w{k - 1} s JOIN range({attempts}) a ON true
-          JOIN accepts i ON s.node = i.src AND i.pos = CAST(floor({draw(0)} * i.deg) AS BIGINT) WHERE {draw(1)} < i.accept GROUP BY s.query_id, s.walk"""
-
-    return index + ",\n" + _walk(sources, walks, [step(k) for k in range(1, length + 1)], True)
+    out = [index, queries(sources), f"w0 AS (SELECT query_id, range AS walk, u AS node FROM q, range({walks}))"]
+    for k in range(1, length + 1):
+        number = lambda d: rng(repr(seed), "t.query_id", "t.walk", k, f"CAST(t.attempt * 2 + {d} AS VARCHAR)")  # noqa: B023, E731
+        out.append(f"""t{k} AS (SELECT query_id, walk, node, 0 AS attempt, CAST(NULL AS BIGINT) AS dst FROM w{k - 1} WHERE node IN (SELECT src FROM g)
+          UNION ALL SELECT t.query_id, t.walk, t.node, t.attempt + 1, CASE WHEN {number(1)} < i.accept THEN i.dst END
+          FROM t{k} t JOIN accepts i ON t.node = i.src AND i.pos = CAST(floor({number(0)} * i.deg) AS BIGINT) WHERE t.dst IS NULL)""")
+        out.append(f"w{k} AS (SELECT query_id, walk, dst AS node FROM t{k} WHERE dst IS NOT NULL)")
+    return ",\n".join([*out, f"answer AS (SELECT query_id, node, count(*) AS cnt, count(*) / CAST({walks} AS DOUBLE) AS p FROM w{length} GROUP BY query_id, node)"])
 
 
 def sampled_push(sources: list[int], samples: int, length: int, seed: str = "push") -> str:
-    """CTEs over buckets; the last one, answer, is (query_id, node, p)."""
+    """CTEs over buckets and totals; the last one, answer, is (query_id, node, p)."""
     out = [queries(sources), f"p0 AS (SELECT query_id, range AS sample, u AS node, CAST(1 AS DOUBLE) AS p FROM q, range({samples}))"]
+    one = "CAST(1 AS DOUBLE)"
     for k in range(1, length + 1):
-        mass = f"CASE WHEN s.p / b.total * b.maxw >= 1 THEN s.p / b.total * b.w WHEN {rng(repr(seed), 's.query_id', 's.sample', k, 'b.src', 'b.dst')} < s.p / b.total * b.w THEN CAST(1 AS DOUBLE) END"
-        out.append(f"p{k} AS (SELECT query_id, sample, dst AS node, round(sum(mass), 12) AS p FROM (SELECT s.query_id, s.sample, b.dst, {mass} AS mass FROM p{k - 1} s JOIN buckets b ON s.node = b.src) WHERE mass IS NOT NULL GROUP BY query_id, sample, dst)")
+        skip = lambda i: f"CAST(floor(ln({one} - {rng(repr(seed), 'query_id', 'sample', k, 'src', 'bucket', i)}) / ln({one} - q)) AS BIGINT)"  # noqa: B023, E731
+        coin = rng(repr(seed), "h.query_id", "h.sample", k, "'accept'", "h.src", "h.bucket", "h.pos")
+        out.append(f"m{k} AS (SELECT s.query_id, s.sample, b.src, b.bucket, b.cnt, s.p / b.total AS unit, s.p / b.total * b.maxw AS q FROM p{k - 1} s JOIN totals b ON s.node = b.src)")
+        out.append(f"""h{k} AS (SELECT query_id, sample, src, bucket, cnt, q, 0 AS i, {skip("'0'")} AS pos FROM m{k} WHERE q < 1
+          UNION ALL SELECT query_id, sample, src, bucket, cnt, q, i + 1, pos + 1 + {skip("i + 1")} FROM h{k} WHERE pos < cnt)""")
+        out.append(f"""p{k} AS (SELECT query_id, sample, dst AS node, round(sum(mass), 12) AS p FROM (
+            SELECT m.query_id, m.sample, b.dst, m.unit * b.w AS mass FROM m{k} m JOIN buckets b ON m.src = b.src AND m.bucket = b.bucket WHERE m.q >= 1
+            UNION ALL SELECT h.query_id, h.sample, b.dst, {one} FROM h{k} h JOIN buckets b ON h.src = b.src AND h.bucket = b.bucket AND h.pos = b.bpos
+              WHERE h.pos < h.cnt AND {coin} < b.w / b.maxw) GROUP BY query_id, sample, dst)""")
     return ",\n".join([*out, f"answer AS (SELECT query_id, node, sum(p) / CAST({samples} AS DOUBLE) AS p FROM p{length} GROUP BY query_id, node)"])
 
 
 #: Metrics of answer against truth, over g; n is one more than the greatest id, k is 50.
-METRICS = """both_sides AS (SELECT coalesce(a.query_id, t.query_id) AS query_id, coalesce(a.node, t.node) AS node, coalesce(a.p, 0) AS a, coalesce(t.p, 0) AS t
+METRICS = """both_sides AS (SELECT coalesce(a.query_id, t.query_id) AS query_id, coalesce(a.node, t.node) AS node, coalesce(a.p, 0) AS a, coalesce(t.p, 0) AS t, a.node IS NOT NULL AS answered
   FROM answer a FULL JOIN truth t ON a.query_id = t.query_id AND a.node = t.node),
 l1 AS (SELECT query_id, sum(abs(a - t)) AS l1 FROM both_sides GROUP BY query_id),
-ae AS (SELECT query_id, max(abs(a - t)) AS max_ae FROM both_sides GROUP BY query_id),
+ae AS (SELECT query_id, off AS max_ae, CASE WHEN off > 0 THEN node END AS node, CASE WHEN off > 0 THEN a END AS a, CASE WHEN off > 0 THEN t END AS t FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY off DESC, answered DESC, CASE WHEN answered THEN a END DESC, CASE WHEN answered THEN -node ELSE node END) AS r FROM (
+    SELECT *, round(abs(a - t), 12) AS off FROM both_sides)) WHERE r = 1),
 best AS (SELECT query_id, node FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY p DESC) AS r FROM truth) WHERE r <= 50),
 sizes AS (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id),
 mine AS (SELECT query_id, node, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, node DESC) AS r FROM answer) WHERE r <= 50),

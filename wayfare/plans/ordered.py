@@ -35,3 +35,30 @@ def with_next(df: DataFrame, bucket: Column, order: list[str], value: str, name:
     inside = W.partitionBy("__bucket").orderBy(*order)
     numbered = marked.withColumn("__next", F.lead(value).over(inside)).withColumn("__last", F.lead(F.lit(True)).over(inside).isNull())
     return numbered.join(following, "__bucket").withColumn(name, F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__next"))).drop("__bucket", "__next", "__last", "__after")
+
+
+def running(df: DataFrame, keys: list[str], fine: Column, order: list[str], sums: dict[str, Column], wholes: dict[str, str] | None = None) -> DataFrame:
+    """df with running sums inside each group of keys, in the order by `order`, up to and including each row.
+
+    sums gives what is added up, by the new columns' names; wholes names, for some of these, a column of the group's
+    whole sum.  fine must not fall along the order: rows that agree in keys and fine are summed by one task, and a
+    group by what its parts come to, so no task needs a whole group.
+    """
+    marked = df.withColumn("__fine", fine)
+    parts = marked.groupBy(*keys, "__fine").agg(*[F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()])
+    group = W.partitionBy(*keys)
+    before = group.orderBy("__fine").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(
+        *keys, "__fine",
+        *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums],
+        *[F.sum(f"__sum_{c}").over(group).alias(whole) for c, whole in (wholes or {}).items()],
+    )
+    inside = W.partitionBy(*keys, "__fine").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    own = marked.select("*", *[F.sum(v).over(inside).alias(f"__own_{c}") for c, v in sums.items()]).join(offsets, [*keys, "__fine"])
+    return own.select(*df.columns, *[(F.col(f"__own_{c}") + F.col(f"__before_{c}")).alias(c) for c in sums], *(wholes or {}).values())
+
+
+def spread(df: DataFrame, first: Column, last: Column, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with a row for each number from first to last; made block by block, so no row holds a long array."""
+    begun = df.withColumn("__last", last).withColumn("__begin", F.explode(F.sequence(first, last, F.lit(block).cast("long"))))
+    return begun.withColumn(name, F.explode(F.sequence(F.col("__begin"), F.least(F.col("__begin") + F.lit(block - 1), F.col("__last"))))).drop("__begin", "__last")

@@ -8,17 +8,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What has been written, by application: paths of tables, and names of those in the catalog.
+_written: dict[str, list[tuple[str, str | None]]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir of the session; only where that is unset and Spark is local, as in tests, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append((path, None))
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that new_path, materialize and bucketed have written for this application.
+
+    Frames that read it are of no use afterwards, so results must have been written elsewhere before.
+    """
+    context = spark.sparkContext
+    for path, name in _written.pop(context.applicationId, []):
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -40,5 +61,6 @@ def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one task for each bucket, so that a bucket is one file
     dealt = df.repartition(buckets, *keys)
+    _written[spark.sparkContext.applicationId].append((path, name))
     dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)

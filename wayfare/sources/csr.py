@@ -12,11 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from wayfare.plans.ordered import running_total
+from wayfare.plans.ordered import running, running_total, spread
 
 #: Vertices of one bucket of the running total.
 BUCKET = 1 << 16
@@ -32,7 +31,8 @@ def out_ptr(edges: DataFrame, n: int) -> DataFrame:
 
 def csr_edges(edges: DataFrame) -> DataFrame:
     """edges with pos, their place in the adjacency of src in order of dst."""
-    return edges.withColumn("pos", F.row_number().over(W.partitionBy("src").orderBy("dst", "w")) - 1)
+    placed = running(edges, ["src"], F.shiftright("dst", 16), ["dst", "w"], {"pos": F.lit(1).cast("long")})
+    return placed.withColumn("pos", (F.col("pos") - 1).cast("int"))
 
 
 def placed_edges(edges: DataFrame, n: int) -> DataFrame:
@@ -49,7 +49,7 @@ def from_flat(flat: DataFrame, ptr: DataFrame) -> DataFrame:
     # ptr has one row for each vertex and one more; the next pointer is that of src + 1
     upper = ptr.select((F.col("src") - 1).alias("src"), F.col("ptr").alias("upper"))
     owned = ptr.join(upper, "src").filter("upper > ptr")
-    places = owned.select("src", "ptr", F.explode(F.sequence(F.col("ptr"), F.col("upper") - 1)).alias("idx"))
+    places = spread(owned.select("src", "ptr", "upper"), F.col("ptr"), F.col("upper") - 1, "idx").drop("upper")
     return flat.join(places, "idx").select("src", (F.col("idx") - F.col("ptr")).cast("int").alias("pos"), "dst", "w")
 
 

@@ -38,6 +38,13 @@ def cust_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.sum("l_quantity").cast("double").alias("w"))
 
 
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cust_supp, and back again from every second supplier; the others are dangling."""
+    there = cust_supp(spark, sf_dir)
+    back = there.filter("dst % 2 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return there.unionByName(back)
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User of one event to user of the next one, weighted by how often; hours are the buckets of the global order."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id")

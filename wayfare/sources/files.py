@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import affinity_rescale
 
 
-def _numbers(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
-    """White-space separated columns of text lines; blank lines are dropped."""
+def numbered_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """file, line (from 0 in each file) and value of text files; with or without blank lines, which then do not count.
+
+    Lines are numbered inside the blocks in which files are read, and blocks by what the ones before hold, so no task
+    numbers more than a block.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
+    )
+    lines = lines if blank else lines.filter(F.trim("value") != "")
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("own", F.row_number().over(W.partitionBy("file", "block").orderBy("id")) - 1)
+    return placed.join(sizes.select("file", "block", before.alias("before")), ["file", "block"]).select("file", (F.col("own") + F.col("before")).cast("long").alias("line"), "value")
+
+
+def _fields(names: dict[str, str]) -> list[Column]:
+    """White-space separated columns of a text line."""
     fields = F.split(F.trim(F.col("value")), r"\s+")
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(*[fields[k].cast(kind).alias(name) for k, (name, kind) in enumerate(names.items())])
+    return [fields[k].cast(kind).alias(name) for k, (name, kind) in enumerate(names.items())]
+
+
+EDGE = {"src": "long", "dst": "long", "w": "double"}
 
 
 def read_edges(spark: SparkSession, path: str, rescale: str = "none") -> DataFrame:
     """edges(src, dst, w) of a file of lines `from to weight`; rescale is none or affinity."""
     if rescale not in ("none", "affinity"):
         raise ValueError(f"unknown rescale {rescale}")
-    edges = _numbers(spark, path, {"src": "long", "dst": "long", "w": "double"})
+    edges = spark.read.text(path).filter(F.trim("value") != "").select(*_fields(EDGE))
     return edges.withColumn("w", affinity_rescale(F.col("w"))) if rescale == "affinity" else edges
 
 
@@ -35,10 +54,8 @@ def read_attribute(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """queries(query_id, u) of a file with one node a line; the first `most` ones. Query lists are a few lines long."""
-    lines = spark.read.text(path, wholetext=True)
-    each = lines.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("k", "u"))
-    found = each.select(F.col("k").cast("long").alias("query_id"), F.col("u").cast("long").alias("u"))
+    """queries(query_id, u) of a file with one node a line; blank lines don't count; the first `most` ones."""
+    found = numbered_lines(spark, path).select(F.col("line").alias("query_id"), F.trim("value").cast("long").alias("u"))
     return found if most is None else found.filter(F.col("query_id") < most)
 
 
@@ -47,12 +64,13 @@ def write_queries(queries: DataFrame, path: str) -> None:
 
 
 def read_ops(spark: SparkSession, path: str) -> DataFrame:
-    """ops(src, dst, w) of an op-log; its edges are deleted first and inserted again afterwards."""
-    return _numbers(spark, path, {"src": "long", "dst": "long", "w": "double"})
+    """ops(seq, src, dst, w) of an op-log file; its edges are deleted first, in order of seq, and inserted again afterwards."""
+    return numbered_lines(spark, path).select(F.col("line").alias("seq"), *_fields(EDGE))
 
 
 def write_ops(ops: DataFrame, path: str) -> None:
-    write_edges(ops, path)
+    """An op-log of ops(seq, src, dst, w): one file, in order of seq."""
+    ops.coalesce(1).sortWithinPartitions("seq").select(F.concat_ws(" ", "src", "dst", "w").alias("value")).write.text(path)
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
@@ -66,19 +84,36 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter("p > 0")
 
 
+def write_answer_text(answers: DataFrame, path: str) -> None:
+    """answers(algo, label, L, eps, u, node, p) as lines `node prob` of fifteen decimals, one folder for each query."""
+    line = F.concat_ws(" ", F.col("node").cast("string"), F.format_string("%.15f", "p")).alias("value")
+    answers.select("algo", "label", "L", "eps", "u", line).write.mode("append").partitionBy("algo", "label", "L", "eps", "u").text(path)
+
+
+def read_answer_text(spark: SparkSession, path: str) -> DataFrame:
+    """What write_answer_text wrote, positive probabilities only; those that vanish in fifteen decimals are gone."""
+    found = spark.read.text(path).select("algo", "label", "L", "eps", "u", *_fields({"node": "long", "p": "double"}))
+    return found.filter("p > 0")
+
+
 def append_report(report: DataFrame, path: str) -> None:
     """Append rows of metrics or run times to a CSV folder."""
     report.write.mode("append").option("header", True).csv(path)
 
 
-def parse_log(spark: SparkSession, path: str) -> DataFrame:
-    """update_seconds (lines that end in `... : <s> s`-like text) of an update log: line, kind, value.
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What append_report wrote."""
+    return spark.read.schema(schema).option("header", True).csv(path)
 
-    The number of seconds is the sixth word of the delete and insert lines, the number of GB the fifth of the
-    memory line.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    words = lines.withColumn("f", F.split(F.trim("text"), r"\s+"))
-    kind = F.when(F.lower("text").contains("memory"), "memory").when(F.lower("text").contains("delet"), "delete").when(F.lower("text").rlike("insert|add"), "insert")
-    value = F.when(kind == "memory", F.try_element_at("f", F.lit(5))).otherwise(F.try_element_at("f", F.lit(6)))
-    return words.select("line", kind.alias("kind"), value.try_cast("double").alias("value")).filter("kind is not null and value is not null")
+
+#: What the lines of an update log say before the number of seconds of a deletion, of an insertion, or the GB.
+LOG_LINES = {"delete": r" new del update time:\s*(\S+)", "insert": r" new add update time:\s*(\S+)", "memory": r"^Total \w+: peak memory:\s*(\S+)"}
+
+
+def parse_log(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, kind (delete, insert or memory) and value (seconds or GB) of update logs; other lines are left out."""
+    lines = numbered_lines(spark, path, blank=True)
+    cases = [(kind, F.regexp_extract("value", pattern, 1)) for kind, pattern in LOG_LINES.items()]
+    kind = F.coalesce(*[F.when(found != "", kind) for kind, found in cases])
+    value = F.coalesce(*[F.when(found != "", found) for _, found in cases])
+    return lines.select("file", "line", kind.alias("kind"), value.try_cast("double").alias("value")).filter("kind is not null and value is not null")
