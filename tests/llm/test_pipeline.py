@@ -1,14 +1,19 @@
 """The pipeline and the registered text queries on the smallest tables."""
 
 import glob
+import hashlib
 import os
+import re
+import struct
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfare.llm import bpe, exact_dedup, near_dedup, queries
+from tests.llm.test_text_operators import plain_groups
+from wayfare.llm import bpe, exact_dedup, near_dedup, queries, toxicity
 from wayfare.llm.common import materialize, table
 
 DATA = "/root/testdata/sf0.001"
@@ -42,6 +47,59 @@ def test_stages(spark):
     assert {tuple(r) for r in docs.collect()} <= want
 
 
+def test_stages_against_brute_force(spark):
+    """All stages on real documents and odd rows, with columns of clashing names, against plain Python."""
+    from tokenizers import Tokenizer
+
+    odd = [(9001, None), (9002, ""), (9003, " \n"), (9004, "one two three four five six seven"), (9005, "One  two three four five six seven"),
+           (9006, "onetwo three four five six seven"), (9007, "again and again"), (9007, "again and again"), (None, "a row without id"), (9008, "long " * 30_000)]
+    base = table(spark, DATA, "documents").filter("doc_id < 120")
+    rows = spark.createDataFrame(odd, "doc_id long, text string").select(*[(F.col(c) if c in ("doc_id", "text") else F.lit(None)).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    docs = base.unionByName(rows)
+    for k in ("__id", "__sha", "p", "rate", "digest", "node"):
+        docs = docs.withColumn(k, F.lit("clash"))
+    columns = docs.columns
+    pairs = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    now = pairs(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, DATA), name)
+        if name == "toxicity":
+            model = toxicity.train(materialize(base.unionByName(rows), "same"), table(spark, DATA, "labels"))
+            weights, bias = model.weights[:-1], model.weights[-1]
+            want = Counter((i, x) for i, x in now if sum(w * f for w, f in zip(weights, model.voters.features((x or "").encode()), strict=True)) + bias < 0)
+            assert 0.8 * len(now) < sum(want.values()) < len(now)
+        elif name == "exact_dedup":
+            groups = {}
+            for i, x in now:
+                groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", x or ""), []).append((-len(x or ""), i is None, i or 0, i, x))
+            want = Counter((min(g)[3], min(g)[4]) for g in groups.values())
+        elif name == "near_dedup":
+            groups = plain_groups({i: x or "" for i, x in now if i is not None}, 5, 80)
+            want = Counter((i, x) for i, x in now if i is None or groups[i][1] == i)
+        elif name == "mixing":
+            copies = Counter(pairs(docs))
+            assert set(copies) == set(now) and min(copies.values()) >= 1
+            want = copies
+        else:
+            library, want = Tokenizer.from_file(queries.BYTE_BPE), Counter()
+            for i, x in now:
+                ids = library.encode(x or "", add_special_tokens=False).ids
+                text = library.decode(ids, skip_special_tokens=False)
+                want[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
+            assert Counter(map(tuple, docs.collect())) == want
+            continue
+        now = pairs(docs)
+        assert docs.columns == columns and Counter(now) == want
+        assert {tuple(r) for r in docs.select("__id", "__sha", "p", "rate", "digest", "node").distinct().collect()} == {("clash",) * 6}
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = table(spark, DATA, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, DATA), name)
+        assert docs.count() == 0
+
+
 def test_oracles(spark):
     duck = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):

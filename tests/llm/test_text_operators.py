@@ -423,13 +423,62 @@ def test_languages_held_out(documents):
 
 
 def test_word_first_then_shorter_n_grams():
-    counts = {"w": {"a": Counter(zebra=9), "b": Counter(apfel=9)}, "2": {"a": Counter({"<q": 5}), "b": Counter({"ü>": 5})}, "1": {"b": Counter(k=4)}}
-    model = language_id.LanguageModel(["a", "b"], counts)
+    counts = {0: {"a": Counter(zebra=9), "b": Counter(apfel=9)}, 2: {"a": Counter({"<q": 5}), "b": Counter({"ü>": 5})}, 1: {"b": Counter(k=4)}}
+    model = language_id.LanguageModel.of_counts(["a", "b"], counts)
     assert model.predict(b"zebra zebra apfel")[0] == "a" and model.predict(b"quuu")[0] == "a" and model.predict("tü".encode())[0] == "b" and model.predict(b"k")[0] == "b"
     assert model.predict(None) == model.predict(b"12 --") == ("und", 0.0)
     assert model.predict(b"zebra " * 150_000)[0] == "a"
 
 
+def plain_languages(rows):
+    """What (id, text, lang) teach, in dictionaries; a function from text to language and posterior."""
+    word, lengths = re.compile(r"[^\W\d_]+"), (5, 4, 3, 2, 1)
+    grams = lambda w, n: list(w) if n == 1 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]
+    counts = {k: {} for k in (0, *lengths)}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in word.findall((text or "").lower()):
+                for k in counts:
+                    for g in [w] if k == 0 else grams(w, k):
+                        counts[k].setdefault(g, Counter())[lang] += 1
+    langs = sorted({x for c in counts[0].values() for x in c})
+    whole = {k: {x: sum(c[x] for c in found.values()) + 0.5 * (len(found) + 1) for x in langs} for k, found in counts.items()}
+    logs = lambda k, g, x: math.log((counts[k][g][x] + 0.5) / whole[k][x])
+
+    def score(w, x):
+        if w in counts[0]:
+            return logs(0, w, x)
+        for n in lengths:
+            if known := [g for g in grams(w, n) if g in counts[n]]:
+                return sum(logs(n, g, x) for g in known) / len(known)
+        return 0.0
+
+    def predict(text):
+        words = word.findall((text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            return "und", 0.0
+        total = {x: sum(score(w, x) for w in words) for x in langs}
+        most = max(total.values())
+        return min((-v, x) for x, v in total.items())[1], 1 / sum(math.exp(v - most) for v in total.values())
+
+    return predict
+
+
+def test_languages_against_dictionaries(documents, odd):
+    # every second text unknown to the model, so that words fall back to n-grams
+    model = language_id.train(documents.filter("doc_id % 2 = 0"))
+    predict = plain_languages([r for r in documents.select("doc_id", "text", "lang").collect() if r.doc_id % 2 == 0])
+    for frame in (documents, odd):
+        texts = Counter((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect())
+        want = sorted((repr(i), *predict(x)) for (i, x), n in texts.items() for _ in range(n))
+        got = sorted((repr(r.doc_id), r.lang_pred, r.score) for r in language_id.identify(frame, model).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-9)
+    # an id that repeats teaches nothing
+    one = next(r.doc_id for r in documents.filter("lang is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text)
+    twice = documents.unionByName(documents.filter(F.col("doc_id") == one))
+    assert language_id.train(twice).tables[0].n.sum() < language_id.train(documents).tables[0].n.sum()
+
+
 def test_languages_of_odd_rows(odd, empty, documents):
     model = language_id.train(documents)
     rows = language_id.identify(odd, model).collect()
@@ -597,10 +646,98 @@ def test_label_model_discounts_copies():
     vote = lambda hit, false: np.where(y, rng.random(4000) < hit, rng.random(4000) < false).astype(float)
     one, other = vote(0.6, 0.02), vote(0.6, 0.02)
     labels = np.where(rng.random(4000) < 0.05, ~y, y).astype(float)
-    post, rate, own = toxicity.label_posteriors(np.column_stack([one, one, one, other]), labels)
+    post, rate, own, share = toxicity.label_posteriors(np.column_stack([one, one, one, other]), labels)
     # three copies of one voter share what one of them would have; accuracies come out in the right order
     assert own[0] == own[1] == own[2] and own[0] < 0.65 * own[3]
     assert (rate[1, :4] > 10 * rate[0, :4]).all() and ((post > 0.5) == y).mean() > 0.93
+    # of independent voters, the class share and the label's accuracy are estimated, also where a quarter of labels are wrong
+    voters = np.column_stack([one, other, vote(0.7, 0.02), vote(0.8, 0.05)])
+    for wrong in (0.05, 0.25):
+        labels = np.where(rng.random(4000) < wrong, ~y, y).astype(float)
+        post, rate, own, share = toxicity.label_posteriors(voters, labels)
+        assert abs(share - y.mean()) < 0.02 and abs(rate[1, -1] - (1 - wrong)) < 0.04 and abs(rate[0, -1] - wrong) < 0.04
+        assert own.min() > 0.9 and ((post > 0.5) == y).mean() > 0.95
+
+
+def plain_label_model(votes, labels, noise=0.05, trust=50.0):
+    """The label model in loops."""
+    rows = [[*map(float, v), float(x)] for v, x in zip(votes, labels, strict=True)]
+    m, n = len(rows[0]), len(rows)
+    post = [1 - noise if x else noise for x in labels]
+    for _ in range(200):
+        size = [n - sum(post), sum(post)]
+        share = (size[1] + 0.5) / (n + 1)
+        rate = [[(sum((q if c else 1 - q) * r[j] for q, r in zip(post, rows, strict=True)) + 0.5) / (size[c] + 1) for j in range(m)] for c in (0, 1)]
+        for c, expected in ((0, min(noise, noise * share / (1 - share))), (1, 1 - noise)):
+            rate[c][-1] = (sum((q if c else 1 - q) * r[-1] for q, r in zip(post, rows, strict=True)) + trust * expected) / (size[c] + trust)
+        within = [[sum(r[a] * r[b] for r in rows) - sum(size[c] * rate[c][a] * rate[c][b] for c in (0, 1)) for b in range(m)] for a in range(m)]
+        own = []
+        for a in range(m):
+            shared = [min(1.0, within[a][b] / math.sqrt(max(within[a][a], 1e-9) * max(within[b][b], 1e-9))) for b in range(m - 1) if b != a]
+            own.append(1 / (1 + sum(x for x in shared if x >= 3 / math.sqrt(n)) * (a < m - 1)))
+        new = []
+        for r in rows:
+            z = math.log(share / (1 - share))
+            for j in range(m):
+                p, q = (rate[1][j], rate[0][j]) if r[j] else (1 - rate[1][j], 1 - rate[0][j])
+                z += own[j] * math.log(p / q)
+            new.append(min(1 - 1e-6, max(1e-6, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))))
+        moved, post = max(abs(a - b) for a, b in zip(new, post, strict=True)), new
+        if moved < 1e-6:
+            break
+    return post
+
+
+def test_label_model_and_fit_against_loops():
+    rng = np.random.default_rng(5)
+    y = rng.random(150) < 0.25
+    votes = np.stack([np.where(y, rng.random(150) < 0.5 + 0.1 * k, rng.random(150) < 0.03 * (k + 1)) for k in range(4)], axis=1).astype(float)
+    labels = np.where(rng.random(150) < 0.06, ~y, y).astype(float)
+    post, *_ = toxicity.label_posteriors(votes, labels)
+    assert post == pytest.approx(plain_label_model(votes.astype(int).tolist(), labels.astype(int).tolist()), abs=1e-6)
+    # the linear classifier is where the penalised likelihood is flat
+    w = toxicity.fit_linear(votes, post)
+    p = 1 / (1 + np.exp(-(votes @ w[:-1] + w[-1])))
+    assert votes.T @ (post - p) == pytest.approx(w[:-1], abs=1e-5) and (post - p).sum() == pytest.approx(0, abs=1e-5)
+
+
+def test_lexicon_and_votes_against_counting(documents, labels):
+    sample = documents.join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").select("text", "toxic")
+    rows = [(r.text or "", r.toxic) for r in sample.collect()]
+    seen = {0: Counter(), 1: Counter()}
+    for text, toxic in rows:
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        seen[toxic].update({w for w in words} | {w[:n] + "*" for w in words for n in range(4, 9) if n < len(w)})
+    n0, n1 = (sum(x == k for _, x in rows) for k in (0, 1))
+    scored = []
+    for f, b in seen[1].items():
+        a = seen[0][f]
+        p0, p1, p = (a + 0.5) / (n0 + 1), (b + 0.5) / (n1 + 1), (a + b) / (n0 + n1)
+        if b >= 3 and p1 > 5 * p0:
+            scored.append((-2 * (b * math.log(p1 / p) + a * math.log(p0 / p)), f))
+    found = toxicity.induce(sample, 30, 3)
+    gain = {f: g for g, f in scored}
+    assert [round(gain[f], 6) for f in found] == [round(g, 6) for g, _ in sorted(scored)[:30]]
+    voters = toxicity.Voters(found)
+    for text, _ in rows[:40]:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        hit = lambda w, f: w == f or f[-1] == "*" and w.startswith(f[:-1]) and len(w) > len(f) - 1
+        want = [float(any(hit(w, f) for w in words)) for f in found] + [float(re.search(x, text) is not None) for x in toxicity.PATTERNS.values()]
+        hits = sum(any(hit(w, f) for f in found) for w in words)
+        assert voters.features(text.encode()).tolist() == pytest.approx([*want, math.log1p(hits), hits / (len(words) + 20.0)])
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_toxic_documents_held_out(spark, folder):
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    # null labels teach nothing, of two labels of one id the greater counts
+    strange = spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int").select(*[F.col(c).cast(marks.schema[c].dataType) for c in ("doc_id", "toxic")])
+    model = toxicity.train(docs, marks.select("doc_id", "toxic").unionByName(strange))
+    rows = toxicity.score_documents(docs, model).filter("held_out").join(marks, "doc_id").collect()
+    clean, toxic = ([r.predicted for r in rows if r.toxic == k] for k in (0, 1))
+    assert len(toxic) >= 5 and np.mean(clean) < 0.02 and np.mean(toxic) > 0.7
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])

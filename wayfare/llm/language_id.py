@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import bounded_sample, id_fold, map_texts
+from wayfare.llm.common import bounded_sample, id_fold, map_texts, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of n-grams, in the order in which they are tried.
@@ -43,23 +43,62 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[k : k + n] for k in range(len(marked) - n + 1)]
 
 
+class Frequencies:
+    """How often each word (or n-gram) was seen in each language, found by its hash.
+
+    A word's entries, its languages and numbers, lie together, in order of hashes; what it lacks there counts as 0.
+    """
+
+    def __init__(self, hashes: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int, smoothing: float):
+        order = np.lexsort((lang, hashes))
+        self.hashes, self.begin = np.unique(hashes[order], return_index=True)
+        self.begin = np.append(self.begin, len(order))
+        self.lang, self.n, self.smoothing = lang[order].astype(np.uint16), n[order].astype(np.float64), smoothing
+        total = np.bincount(self.lang, weights=self.n, minlength=langs) if len(order) else np.zeros(langs)
+        self.whole = np.log(total + smoothing * (len(self.hashes) + 1))
+
+    def logs(self, wanted: list[str]) -> list[np.ndarray]:
+        """The log frequencies by language of those of wanted that were seen."""
+        if not len(self.hashes):
+            return []
+        h = np.array([hash_of(x) for x in wanted], dtype=np.uint64)
+        at = np.searchsorted(self.hashes, h)
+        at = at[self.hashes[np.minimum(at, len(self.hashes) - 1)] == h]
+        out = []
+        for k in at:
+            seen = np.full(len(self.whole), self.smoothing)
+            own = slice(self.begin[k], self.begin[k + 1])
+            seen[self.lang[own]] += self.n[own]
+            out.append(np.log(seen) - self.whole)
+        return out
+
+
+def hash_of(x: str) -> int:
+    """The hash that Spark's xxhash64 gives for a string, without sign."""
+    return xxhash.xxh64_intdigest(x.encode(), 42)
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams by language."""
 
     #: Words whose scores are remembered; beyond that the memory starts anew.
     MEMORY = 300_000
 
-    def __init__(self, langs: list[str], counts: dict[str, dict[str, Counter]], smoothing: float = 0.5):
-        """counts: by kind ("w" for words, else an n-gram's length as text), then by language."""
-        self.langs = sorted(langs)
-        #: By kind: the row of each word or n-gram, and the log frequencies by row and language.
-        self.tables: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-        for kind, by_lang in counts.items():
-            known = sorted(set().union(*by_lang.values()))
-            n = np.array([[by_lang.get(x, {}).get(g, 0) for x in self.langs] for g in known], dtype=np.float64) + smoothing
-            self.tables[kind] = {g: k for k, g in enumerate(known)}, np.log(n / (n.sum(axis=0) + smoothing)).astype(np.float32)
+    def __init__(self, langs: list[str], tables: dict[int, Frequencies]):
+        """tables: by kind, 0 for words, else an n-gram's length."""
+        self.langs, self.tables = langs, tables
         self._begin()
 
+    @classmethod
+    def of_counts(cls, langs: list[str], counts: dict[int, dict[str, Counter]], smoothing: float = 0.5) -> LanguageModel:
+        """A model of counts by kind and language."""
+        langs, tables = sorted(langs), {}
+        for kind, by_lang in counts.items():
+            rows = [(hash_of(g), langs.index(x), n) for x, c in by_lang.items() for g, n in c.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            tables[kind] = Frequencies(np.array(columns[0], dtype=np.uint64), np.array(columns[1], dtype=np.int64), np.array(columns[2], dtype=np.float64), len(langs), smoothing)
+        return cls(langs, tables)
+
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "tables": self.tables}
 
@@ -69,19 +108,16 @@ class LanguageModel:
 
     def _begin(self) -> None:
         self._index: dict[str, int] = {}
-        self._rows = np.zeros((1024, max(1, len(self.langs))), dtype=np.float32)
+        self._rows = np.zeros((1024, max(1, len(self.langs))))
 
     def word_score(self, word: str) -> np.ndarray:
         """The log frequency of a word in each language; zeros if not even its letters are known."""
-        rows, logs = self.tables.get("w", ({}, None))
-        if word in rows:
-            return logs[rows[word]]
+        if 0 in self.tables and (found := self.tables[0].logs([word])):
+            return found[0]
         for n in LENGTHS:
-            rows, logs = self.tables.get(str(n), ({}, None))
-            known = [rows[g] for g in grams_of(word, n) if g in rows]
-            if known:
-                return logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+            if n in self.tables and (found := self.tables[n].logs(grams_of(word, n))):
+                return np.mean(found, axis=0)
+        return np.zeros(len(self.langs))
 
     def _row_of(self, word: str) -> int:
         if (k := self._index.get(word)) is None:
@@ -98,30 +134,22 @@ class LanguageModel:
             return UNKNOWN, 0.0
         if len(self._index) > self.MEMORY:
             self._begin()
-        if len(words) < 100_000:
-            rows = np.fromiter(map(self._row_of, words), dtype=np.int64, count=len(words))
-            total = self._rows[rows].sum(axis=0, dtype=np.float64)
-        else:
-            total = self._long(words)
+        which, times = np.unique(np.fromiter(map(self._row_of, words), dtype=np.int64, count=len(words)), return_counts=True)
+        total = times @ self._rows[which]
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(odds[best] / odds.sum())
 
-    def _long(self, words: list[str]) -> np.ndarray:
-        """As predict's total, without remembering the words of a very long text."""
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(words).items():
-            total += n * self.word_score(word)
-        return total
-
 
-def train(docs: DataFrame, sample: int = 20_000, words: int = 150_000, grams: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
     """A model of the labelled rows whose id's crc32 modulo 3 is not 1.
 
-    Fitted on at most `sample` of those rows, those of the smallest id hashes.  It keeps at most `words` words
-    and `grams` n-grams, shared evenly among languages, the most frequent ones first.
+    Fitted on at most `sample` of those rows, those of the smallest id hashes; rows without id or language, and rows of
+    an id that repeats, are not taken.  All words of the sample's whole texts and all their n-grams count; null and
+    empty texts have none.  What reaches the driver and the tasks is a hash, a language and a number for each, and is
+    bounded by the sample.  Without labelled rows every prediction is `und`; other columns are not read.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chosen = bounded_sample(rows.filter(F.col("lang").isNotNull() & (id_fold(F.col("doc_id"), 3) != 1)), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,31 +160,23 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 150_000, grams: in
             flat = [(x, w, n) for x, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True) if flat else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
 
-    by_word = chosen.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        langs = [r.lang for r in by_word.select("lang").distinct().collect()]
-        share = max(1, len(langs))
-        marked = F.concat(F.lit("<"), "gram", F.lit(">"))
-
-        def of_length(n: int) -> DataFrame:
-            text = F.col("gram") if n == 1 else marked
-            pieces = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, F.lit(n)))
-            long_enough = by_word.filter(F.length(text) >= n)
-            return long_enough.select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("kind", F.lit(str(n)))
-
-        def most(df: DataFrame, bound: int) -> DataFrame:
-            best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-            return df.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= bound // share).select("kind", "lang", "gram", "n")
-
-        kept = most(by_word.withColumn("kind", F.lit("w")), words)
-        for n in LENGTHS:
-            kept = kept.unionByName(most(of_length(n), grams // len(LENGTHS)))
-        counts: dict[str, dict[str, Counter]] = {}
-        for r in kept.collect():
-            counts.setdefault(r.kind, {}).setdefault(r.lang, Counter())[r.gram] = r.n
-    finally:
-        by_word.unpersist()
-    return LanguageModel(langs, counts)
+    counted = chosen.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_word = materialize(counted, "words")
+    langs = sorted(r.lang for r in by_word.select("lang").distinct().collect())
+    if not langs:
+        return LanguageModel([], {})
+    marked = F.concat(F.lit("<"), "gram", F.lit(">"))
+    parts = by_word.select(F.lit(0).cast("byte").alias("kind"), "lang", "gram", "n")
+    for length in LENGTHS:
+        text = F.col("gram") if length == 1 else marked
+        pieces = F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda k: F.substring(text, k, F.lit(length)))  # noqa: B023
+        parts = parts.unionByName(by_word.filter(F.length(text) >= length).select(F.lit(length).cast("byte").alias("kind"), "lang", F.explode(pieces).alias("gram"), "n"))
+    number = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("lang")
+    summed = parts.groupBy("kind", F.xxhash64("gram").alias("h"), number).agg(F.sum("n").cast("double").alias("n"))
+    table = summed.toArrow()
+    kind, h, lang, n = (table[c].to_numpy() for c in ("kind", "h", "lang", "n"))
+    tables = {k: Frequencies(h[kind == k].view(np.uint64), lang[kind == k], n[kind == k], len(langs), smoothing) for k in (0, *LENGTHS)}
+    return LanguageModel(langs, tables)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import bounded_sample, id_fold, map_texts
+from wayfare.llm.common import bounded_sample, id_fold, map_texts, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that may become voters.
@@ -114,45 +114,45 @@ class Voters:
         return out
 
 
-def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 50, noise: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The generative label model: posterior of the toxic class for each row, accuracies, shares of own evidence.
+def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 200, noise: float = 0.05, trust: float = 50.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The generative label model: posterior of the toxic class for each row, accuracies, shares of own evidence, class share.
 
-    votes is 0 or 1 by row and voter, labels 0 or 1 by row.  A voter that is silent abstains and gives no evidence of
-    its own; that all are silent is a vote of one more voter.  The label votes either way.  Accuracies are the chances
-    to vote in the clean and the toxic class, of the silence and the label last.  A voter's own share is 1 over 1 plus
-    its correlations with other voters within the classes, where these are positive, and with the silence, where the
-    sign doesn't matter; the label's is 1.
+    votes is 0 or 1 by row and voter, labels 0 or 1 by row; the label is one voter more.  Expectation maximisation
+    estimates how often each voter, and the label, votes toxic in the clean and in the toxic class (the accuracies), and
+    how many rows are toxic.  What the voters' votes have in common within the classes is their correlation; where it is
+    positive, and more than three standard errors of none, a voter's own share of its evidence is 1 over 1 plus the sum
+    of its correlations.  The label's own share is 1.
 
-    What keeps the hidden classes the clean and the toxic one, also with few rows: their shares are those of the
-    labels, and half of the label's accuracy is what `noise`, the share of wrong labels, lets expect.
+    So that the hidden classes stay the clean and the toxic one with few rows, the label's accuracy has a prior: what
+    `noise`, a share of wrong labels, lets expect of `trust` rows of each class.  With many rows the data outweigh it.
     """
-    silent = 1 - votes.max(axis=1, initial=0)
-    seen = np.column_stack([votes, silent, labels]).astype(np.float64)
+    seen = np.column_stack([votes, labels]).astype(np.float64)
+    chance = 3 / math.sqrt(max(1, len(labels)))
     post = np.where(labels > 0, 1 - noise, noise)
-    share = (labels.sum() + 0.5) / (len(labels) + 1.0)
-    own, rate = np.ones(seen.shape[1]), np.full((2, seen.shape[1]), 0.5)
+    own, rate, share = np.ones(seen.shape[1]), np.full((2, seen.shape[1]), 0.5), 0.5
     for _ in range(rounds):
         weight = np.stack([1 - post, post])
         size = weight.sum(axis=1, keepdims=True)
+        share = float((size[1, 0] + 0.5) / (size.sum() + 1.0))
         rate = (weight @ seen + 0.5) / (size + 1.0)
-        rate[:, -1] = (rate[:, -1] + np.array([noise * share, 1 - noise])) / 2
+        # clean rows are labelled wrongly as often as toxic ones, in numbers
+        expected = np.array([min(noise, noise * share / (1 - share)), 1 - noise])
+        rate[:, -1] = (weight @ seen[:, -1] + trust * expected) / (size[:, 0] + trust)
         # the covariance that is left when the classes' means are taken off
         within = (seen.T @ seen) - (rate * size).T @ rate
         scale = np.sqrt(np.maximum(np.diag(within), 1e-9))
-        correlation = np.clip(within / np.outer(scale, scale), -1.0, 1.0)
-        correlation[-2], correlation[:, -2] = np.abs(correlation[-2]), np.abs(correlation[:, -2])
-        correlation = np.maximum(correlation, 0.0)
+        correlation = np.minimum(within / np.outer(scale, scale), 1.0)
+        correlation[correlation < chance] = 0.0
         np.fill_diagonal(correlation, 0.0)
         correlation[-1] = correlation[:, -1] = 0.0
         own = 1.0 / (1.0 + correlation.sum(axis=1))
-        spoken = seen @ (own * np.log(rate[1] / rate[0]))
-        unlabelled = (1 - seen[:, -1]) * math.log((1 - rate[1, -1]) / (1 - rate[0, -1]))
-        logit = np.clip(math.log(share / (1 - share)) + spoken + unlabelled, -30, 30)
+        spoken, silent = own * np.log(rate[1] / rate[0]), own * np.log((1 - rate[1]) / (1 - rate[0]))
+        logit = np.clip(math.log(share / (1 - share)) + seen @ spoken + (1 - seen) @ silent, -30, 30)
         new = np.clip(1 / (1 + np.exp(-logit)), 1e-6, 1 - 1e-6)
         moved, post = np.abs(new - post).max(), new
         if moved < 1e-6:
             break
-    return post, rate, own
+    return post, rate, own, share
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -199,29 +199,26 @@ def train(
 
     Fitted on at most `sample` of those rows, those of the smallest id hashes; their features, bounded by sample
     times voters, are what reaches the driver.  Rows whose label is null are left out; of several labels of an id
-    the greatest counts, of several texts the one of the smallest hash.  Without labelled rows of both
-    classes every text scores 0.
+    the greatest counts, of several texts the one of the smallest hash.  Null and empty texts are texts without votes;
+    texts are read whole.  Without labelled rows of both classes every text scores about 0.  Other columns are not read.
     """
     key = F.col(f"`{id_col}`")
     own = labels.filter(F.col(label_col).isNotNull() & (id_fold(key, 5) != 0)).groupBy(key.alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     chosen = bounded_sample(own, sample)
     texts = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = one_text(texts.join(F.broadcast(chosen), "doc_id")).persist()
-    try:
-        model = Voters(induce(rows, voters, least))
-        size = model.n_votes + 2
-        if not model.lexicon:
-            return ToxicityModel(model, np.concatenate([np.zeros(size), [-30.0]]))
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-
-        def make() -> Callable[[bytes | None], tuple]:
-            return lambda text: (sent.value.features(text).tolist(),)
-
-        found = map_texts(rows, ["doc_id", "toxic"], "text", make, "x array<double>").orderBy("doc_id").toArrow()
-    finally:
-        rows.unpersist()
+    rows = materialize(one_text(texts.join(F.broadcast(chosen), "doc_id")), "labelled")
+    model = Voters(induce(rows, voters, least))
+    size = model.n_votes + 2
+    if not model.lexicon:
+        return ToxicityModel(model, np.concatenate([np.zeros(size), [-30.0]]))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make() -> Callable[[bytes | None], tuple]:
+        return lambda text: (sent.value.features(text).tolist(),)
+
+    found = map_texts(rows, ["doc_id", "toxic"], "text", make, "x array<double>").orderBy("doc_id").toArrow()
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, size)
-    post, _, _ = label_posteriors(x[:, : model.n_votes] > 0, found["toxic"].to_numpy())
+    post, *_ = label_posteriors(x[:, : model.n_votes] > 0, found["toxic"].to_numpy())
     return ToxicityModel(model, fit_linear(x, post))
 
 
@@ -242,7 +239,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model does not call toxic, all columns."""
+    """The rows of docs that the model does not call toxic, all columns, whatever they are called.
+
+    Null and empty texts are scored as texts without votes; whole texts of any length count; repeated rows and rows
+    without id are judged each for itself; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
