@@ -314,8 +314,17 @@ def test_csr(spark, edges, tmp_path):
     g = edges(MIXED4)
     assert [r.ptr for r in csr.out_ptr(g, 4).orderBy("src").collect()] == [0, 3, 5, 7, 7]
     assert as_edges(csr.from_flat(csr.placed_edges(g, 4), csr.out_ptr(g, 4))) == as_edges(g)
-    csr.write_binary(g, 4, str(tmp_path), "m4")
+    csr.write_binary(g, 4, str(tmp_path), "m4", vertices=2)
     back = csr.read_binary(spark, str(tmp_path), "m4")
+    # the parts, one after the other, are the files as others have them
+    for ending, kind in (("outPtr", "<u4"), ("outEdges", "<u4"), ("outWEdges", "<f8")):
+        parts = sorted((tmp_path / f"m4.{ending}").glob("part-*"))
+        (tmp_path / f"one.{ending}").write_bytes(b"".join(x.read_bytes() for x in parts))
+    (tmp_path / "one.attribute").write_text("n 4\nm 7\n")
+    assert (tmp_path / "one.outPtr").stat().st_size == 20
+    assert sorted(map(tuple, csr.read_binary(spark, str(tmp_path), "one").collect())) == sorted(map(tuple, back.collect()))
+    with pytest.raises(ValueError, match="shared file system"):
+        csr.write_binary(g, 4, "hdfs://there/x", "m4")
     assert as_edges(back) == as_edges(g)
     assert sorted((r.src, r.pos) for r in back.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1)]
     assert files.read_attribute(spark, str(tmp_path / "m4.attribute")).first() == (4, 7)

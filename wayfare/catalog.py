@@ -139,6 +139,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return csr.from_flat(csr.placed_edges(edges, n), csr.out_ptr(edges, n))
 
 
+@query("csr_binary", _POS)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """To binary files and back."""
+    edges, n = _nations(spark, d)
+    folder = new_path(spark, "csr")
+    csr.write_binary(edges, n, folder, "nations", vertices=4)
+    return csr.read_binary(spark, folder, "nations")
+
+
 # ---- exact and sampled distributions
 
 

@@ -1,12 +1,15 @@
 """Compressed sparse rows: as tables, and as a data source over raw binary files.
 
 The binary layout is four files: `<label>.attribute` with the lines `n <n>` and `m <m>`, `.outPtr` with n + 1 unsigned
-32-bit numbers, `.outEdges` with m of them and `.outWEdges` with m doubles, all little-endian.
+32-bit numbers, `.outEdges` with m of them and `.outWEdges` with m doubles, all little-endian.  Each of the last three
+may be a folder of parts instead, named by their first vertex; one after the other they are the file.  Parts are written
+and read by tasks, so the folder must be one that all executors share.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,51 +56,101 @@ def from_flat(flat: DataFrame, ptr: DataFrame) -> DataFrame:
     return flat.join(places, "idx").select("src", (F.col("idx") - F.col("ptr")).cast("int").alias("pos"), "dst", "w")
 
 
-def write_binary(edges: DataFrame, n: int, folder: str, label: str) -> None:
-    """Export a small graph to the binary layout; meant for exchange with tools that need it, as one file is one writer.
+def local_path(folder: str) -> str:
+    """The path of a folder that tasks can open: one without a scheme, or with file:."""
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"{folder} is not a folder of a shared file system")
+    return folder.removeprefix("file://").removeprefix("file:")
 
-    The rows arrive one partition at a time, in order.
+
+def _write_parts(rows: DataFrame, at: str, columns: dict[str, tuple[str, str]], order: list[str]) -> None:
+    """Write rows (first, ...), dealt by `first` and sorted: for each of columns (name: file ending, type) one file a part.
+
+    A part is written under a name of its own and then renamed, so a task that is tried again changes nothing.
     """
+    for ending, _ in columns.values():
+        os.makedirs(f"{at}.{ending}", exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, files, mark = None, {}, uuid.uuid4().hex
+
+        def close() -> None:
+            for name, f in files.items():
+                f.close()
+                os.replace(f.name, f"{at}.{columns[name][0]}/part-{first:012d}")
+
+        for batch in batches:
+            firsts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(firsts)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo and firsts[lo] != first:
+                    close()
+                    first = int(firsts[lo])
+                    files = {name: open(f"{at}.{ending}/.{first:012d}-{mark}", "wb") for name, (ending, _) in columns.items()}
+                for k, (name, (_, kind)) in enumerate(columns.items(), 1):
+                    if hi > lo:
+                        files[name].write(batch.column(k).to_numpy()[lo:hi].astype(kind).tobytes())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["done"])
+
+    dealt = rows.repartition("first").sortWithinPartitions("first", *order).select("first", *columns)
+    dealt.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+
+
+def write_binary(edges: DataFrame, n: int, folder: str, label: str, vertices: int = 1 << 20) -> None:
+    """Write the binary layout in parts of so many vertices, each by one task; folder is one that all executors share."""
+    folder = local_path(folder)
     os.makedirs(folder, exist_ok=True)
     at = os.path.join(folder, label)
-    m = 0
-    with open(f"{at}.outEdges", "wb") as targets, open(f"{at}.outWEdges", "wb") as weights:
-        for row in csr_edges(edges).orderBy("src", "pos").select("dst", "w").toLocalIterator():
-            targets.write(np.uint32(row.dst).tobytes())
-            weights.write(np.float64(row.w).tobytes())
-            m += 1
-    with open(f"{at}.outPtr", "wb") as pointers:
-        for row in out_ptr(edges, n).orderBy("src").select("ptr").toLocalIterator():
-            pointers.write(np.uint32(row.ptr).tobytes())
+    first = lambda c: (F.floor(c / F.lit(vertices)) * vertices).cast("long").alias("first")
+    # the last of the n + 1 pointers goes to the last vertex's part
+    pointers = out_ptr(edges, n).select(first(F.least(F.col("src"), F.lit(max(n - 1, 0)))), "src", "ptr")
+    _write_parts(pointers, at, {"ptr": ("outPtr", "<u4")}, ["src"])
+    placed = csr_edges(edges).select(first(F.col("src")), "src", "pos", "dst", "w")
+    _write_parts(placed, at, {"dst": ("outEdges", "<u4"), "w": ("outWEdges", "<f8")}, ["src", "pos"])
     with open(f"{at}.attribute", "w", encoding="ascii") as f:
-        f.write(f"n {n}\nm {m}\n")
+        f.write(f"n {n}\nm {edges.count()}\n")
 
 
 class CsrRange(InputPartition):
-    def __init__(self, begin: int, end: int):
-        self.begin, self.end = begin, end
+    """Vertices from begin to end; part is the part that they are, if there are parts."""
+
+    def __init__(self, begin: int, end: int, part: str = ""):
+        self.begin, self.end, self.part = begin, end, part
 
 
 class CsrReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.at = os.path.join(options["path"], options["label"])
+        self.at = os.path.join(local_path(options["path"]), options["label"])
         self.step = int(options.get("vertices", 1 << 20))
 
     def partitions(self) -> list[InputPartition]:
         with open(f"{self.at}.attribute", encoding="ascii") as f:
             n = int(dict(line.split() for line in f if line.strip())["n"])
+        if os.path.isdir(f"{self.at}.outPtr"):
+            parts = sorted(p for p in os.listdir(f"{self.at}.outPtr") if p.startswith("part-"))
+            ends = [int(p[5:]) for p in parts[1:]] + [n]
+            return [CsrRange(int(p[5:]), end, p) for p, end in zip(parts, ends, strict=True)] or [CsrRange(0, 0)]
         return [CsrRange(k, min(k + self.step, n)) for k in range(0, n, self.step)] or [CsrRange(0, 0)]
 
     def read(self, partition: CsrRange) -> Iterator[pa.RecordBatch]:
-        with open(f"{self.at}.outPtr", "rb") as f:
-            f.seek(4 * partition.begin)
-            ptr = np.frombuffer(f.read(4 * (partition.end - partition.begin + 1)), dtype="<u4").astype(np.int64)
-        if len(ptr) < 2:
+        many = partition.end - partition.begin
+        if many <= 0:
+            return
+        path = lambda ending: os.path.join(f"{self.at}.{ending}", partition.part) if partition.part else f"{self.at}.{ending}"
+        with open(path("outPtr"), "rb") as f:
+            f.seek(0 if partition.part else 4 * partition.begin)
+            ptr = np.frombuffer(f.read(4 * (many + 1)), dtype="<u4").astype(np.int64)
+        if partition.part and not os.path.exists(path("outEdges")):
             return
-        with open(f"{self.at}.outEdges", "rb") as f, open(f"{self.at}.outWEdges", "rb") as g:
-            f.seek(4 * int(ptr[0]))
-            g.seek(8 * int(ptr[0]))
-            for k in range(0, len(ptr) - 1, 4096):
+        if len(ptr) == many:
+            # a part ends where its edges end
+            ptr = np.append(ptr, ptr[0] + os.path.getsize(path("outEdges")) // 4)
+        skip = 0 if partition.part else int(ptr[0])
+        with open(path("outEdges"), "rb") as f, open(path("outWEdges"), "rb") as g:
+            f.seek(4 * skip)
+            g.seek(8 * skip)
+            for k in range(0, many, 4096):
                 own = ptr[k : k + 4097]
                 m = int(own[-1] - own[0])
                 if not m:
