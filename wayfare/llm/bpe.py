@@ -154,7 +154,11 @@ def load(path: str) -> BytePairs:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: its id and ids, the token ids as array<int>.  Null texts count as empty: no ids."""
+    """One row for each row of docs: its id and ids, the token ids as array<int>.
+
+    Null texts count as empty: no ids.  Whole texts of any length are encoded; repeated rows and null ids stay; an empty
+    table gives no rows; other columns are not read.
+    """
 
     def make() -> Callable[[bytes | None], tuple]:
         vocab = load(path)

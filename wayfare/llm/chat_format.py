@@ -119,7 +119,8 @@ ARROW = pa.schema([
 def grouped_turns(conversations: DataFrame) -> DataFrame:
     """One row for each conversation: conv_id and its turns in order, as an array of structs (turn, role, text)."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    named = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return named.unionByName(conversations.filter(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns")))
 
 
 def format_conversations(conversations: DataFrame, path: str, template: ChatTemplate = ChatTemplate()) -> DataFrame:  # noqa: B008
@@ -128,8 +129,8 @@ def format_conversations(conversations: DataFrame, path: str, template: ChatTemp
     conversations has conv_id, turn, role and text; other columns are not read.  formatted is the rendered text, ids
     its tokens by the vocabulary file at path, loss_mask which of them are learned, loss_spans the [begin, end) code
     points under the mask.  Null texts and roles count as empty; turns of one number are ordered by role and
-    text; repeated rows are turns of their own; rows without conv_id make up one conversation; an empty table gives
-    no rows.  A conversation is one text and so must fit a task, as a document must.
+    text; repeated rows are turns of their own; each row without conv_id is a conversation of its own; an empty table
+    gives no rows.  A conversation is one text and so must fit a task, as a document must.
     """
     grouped = grouped_turns(conversations)
 
@@ -153,7 +154,9 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
     """Digests of what format_conversations made, from its output alone.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (the
-    texts under the mask, unescaped, one after the other), formatted_chars, n_tokens, loss_tokens.
+    texts under the mask, unescaped, one after the other), formatted_chars, n_tokens, loss_tokens.  One row for each row
+    of formatted, null conv_ids and repeated rows too; empty conversations and texts give digests of nothing; texts are
+    read whole; an empty table gives no rows; other columns are not read.
     """
     chosen = formatted.select("conv_id", "formatted", "loss_spans", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("loss_mask", lambda x: x)).cast("long").alias("loss_tokens"))
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
