@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.operators.indexes import transition_matrix
 from wayfare.plans.storage import bucketed, materialize
 
 
-def power_step(state: DataFrame, matrix: DataFrame) -> DataFrame:
-    """One step of state (query_id, node, p): all mass moves along matrix (src, dst, p); at dangling nodes it is lost."""
-    moved = state.join(matrix.select("src", "dst", F.col("p").alias("__step")), F.col("node") == F.col("src"))
-    return moved.groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("__step")).alias("p"))
+def power_step(state: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """One step of state (query_id, node, p): all mass moves along edges (src, dst, w); at dangling nodes it is lost.
+
+    totals (src, total) has the weight that leaves each source.  Parallel edges need no merging, as masses add up.
+    """
+    shared = state.join(totals, F.col("node") == F.col("src")).select("query_id", "src", (F.col("p") / F.col("total")).alias("__unit"))
+    moved = shared.join(edges.select("src", "dst", "w"), "src")
+    return moved.groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("__unit") * F.col("w")).alias("p"))
 
 
 def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: int = 8) -> DataFrame:
     """answer (query_id, node, p) of queries (query_id, u) after exactly `length` steps; all queries in one plan.
 
-    The matrix is written once, in buckets by src, so that a step moves the state alone.  The lineage is cut every
-    cut_every steps by a written table.
+    For more than one step the edges are written once, in buckets by src, so that a step moves the state alone: totals
+    and edges are where it moves to.  The lineage is cut every cut_every steps by a written table.
     """
-    matrix = transition_matrix(edges)
+    edges = edges.select("src", "dst", "w")
+    if length > 1:
+        edges = bucketed(edges, ["src"], "edges")
+    totals = edges.groupBy("src").agg(F.sum("w").alias("total"))
     if length > 1:
-        matrix = bucketed(matrix, ["src"], "transitions")
+        totals = bucketed(totals, ["src"], "totals")
     state = queries.select("query_id", F.col("u").alias("node"), F.lit(1.0).alias("p"))
     for k in range(1, length + 1):
-        state = power_step(state, matrix)
+        state = power_step(state, edges, totals)
         if k % cut_every == 0 and k < length:
             state = materialize(state, "power")
     return state.filter("p > 0")

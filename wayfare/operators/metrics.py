@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfare.operators.answers import ranked
+from wayfare.operators.answers import ranked, top_k
+from wayfare.plans.ordered import running
+
+
+#: Ranks that one task sums up.
+RANKS = 1 << 16
 
 
 def _matched(answer: DataFrame, truth: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def precision_at_k(answer: DataFrame, truth: DataFrame, n: int, k: int = 50) ->
     positive = truth.filter("p > 0")
     size = positive.groupBy("query_id").agg(F.count("*").alias("n"))
     best = positive.withColumn("r", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("p")))).filter(F.col("r") <= k).select("query_id", "node")
-    mine = ranked(answer.filter("p > 0")).filter(F.col("rank") <= k).select("query_id", "node")
+    mine = top_k(answer.filter("p > 0"), k).select("query_id", "node")
     have = mine.groupBy("query_id").agg(F.count("*").alias("have"))
     # where an answer needs filling it has fewer than k nodes, so the first 2k ids suffice
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(min(2 * k, n), 1) - 1).cast("long"))).alias("node")
@@ -74,9 +79,11 @@ def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
     inside = swept.select("query_id", F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
     signed = out.join(inside, ["query_id", "dst"], "left").withColumn("signed", F.when(F.col("dst_rank") <= F.col("rank"), -F.col("w")).otherwise(F.col("w")))
     step = signed.groupBy("query_id", "rank").agg(F.sum("signed").alias("delta"))
-    so_far = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    sums = swept.join(step, ["query_id", "rank"]).select("query_id", "rank", F.sum("delta").over(so_far).alias("s"), F.sum("vol").over(so_far).alias("v"))
-    cut = F.col("s") - F.least(F.lit(0.0), F.min("s").over(so_far))
+    # ranks in steps of RANKS are summed together
+    fine = F.floor(F.col("rank") / RANKS)
+    sums = running(swept.join(step, ["query_id", "rank"]).select("query_id", "rank", "delta", "vol"), ["query_id"], fine, ["rank"], {"s": F.col("delta"), "v": F.col("vol")})
+    sums = running(sums, ["query_id"], fine, ["rank"], {}, least={"low": F.col("s")})
+    cut = F.col("s") - F.least(F.lit(0.0), F.col("low"))
     cuts = sums.select("query_id", "v", cut.alias("cut")).join(F.broadcast(whole)).withColumn("small", F.least("v", F.col("whole") - F.col("v")))
     phi = cuts.filter("cut > 0 and small > 0").groupBy("query_id").agg(F.min(F.col("cut") / F.col("small")).alias("phi"))
     return answer.select("query_id").distinct().join(phi, "query_id", "left").select("query_id", F.least(F.lit(1.0), F.coalesce("phi", F.lit(1.0))).alias("conductance"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfare.plans.storage import materialize
+
 
 def running_total(df: DataFrame, bucket: Column, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of value over all rows up to and including each one, in the order of the distinct column `order`.
@@ -37,25 +39,38 @@ def with_next(df: DataFrame, bucket: Column, order: list[str], value: str, name:
     return numbered.join(following, "__bucket").withColumn(name, F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__next"))).drop("__bucket", "__next", "__last", "__after")
 
 
-def running(df: DataFrame, keys: list[str], fine: Column, order: list[str], sums: dict[str, Column], wholes: dict[str, str] | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """df written down in ranges of the order, with the number of each row's range as __range, which does not fall along it."""
+    return materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), label)
+
+
+def running(
+    df: DataFrame, keys: list[str], fine: Column, order: list[str | Column], sums: dict[str, Column],
+    wholes: dict[str, str] | None = None, least: dict[str, Column] | None = None,
+) -> DataFrame:
     """df with running sums inside each group of keys, in the order by `order`, up to and including each row.
 
-    sums gives what is added up, by the new columns' names; wholes names, for some of these, a column of the group's
-    whole sum.  fine must not fall along the order: rows that agree in keys and fine are summed by one task, and a
-    group by what its parts come to, so no task needs a whole group.
+    sums gives what is added up, by the new columns' names, least what the least value so far is wanted of; wholes
+    names, for some of sums, a column of the group's whole sum.  fine must not fall along the order: rows that agree in
+    keys and fine are summed by one task, and a group by what its parts come to, so no task needs a whole group.
     """
+    least = least or {}
     marked = df.withColumn("__fine", fine)
-    parts = marked.groupBy(*keys, "__fine").agg(*[F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()])
+    totals = [F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()] + [F.min(v).alias(f"__min_{c}") for c, v in least.items()]
+    parts = marked.groupBy(*keys, "__fine").agg(*totals)
     group = W.partitionBy(*keys)
     before = group.orderBy("__fine").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.select(
         *keys, "__fine",
         *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums],
+        *[F.min(f"__min_{c}").over(before).alias(f"__before_{c}") for c in least],
         *[F.sum(f"__sum_{c}").over(group).alias(whole) for c, whole in (wholes or {}).items()],
     )
     inside = W.partitionBy(*keys, "__fine").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    own = marked.select("*", *[F.sum(v).over(inside).alias(f"__own_{c}") for c, v in sums.items()]).join(offsets, [*keys, "__fine"])
-    return own.select(*df.columns, *[(F.col(f"__own_{c}") + F.col(f"__before_{c}")).alias(c) for c in sums], *(wholes or {}).values())
+    own = [F.sum(v).over(inside).alias(f"__own_{c}") for c, v in sums.items()] + [F.min(v).over(inside).alias(f"__own_{c}") for c, v in least.items()]
+    met = marked.select("*", *own).join(offsets, [*keys, "__fine"])
+    added = [(F.col(f"__own_{c}") + F.col(f"__before_{c}")).alias(c) for c in sums] + [F.least(f"__own_{c}", f"__before_{c}").alias(c) for c in least]
+    return met.select(*df.columns, *added, *(wholes or {}).values())
 
 
 def spread(df: DataFrame, first: Column, last: Column, name: str, block: int = 1 << 16) -> DataFrame:
