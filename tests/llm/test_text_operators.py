@@ -255,6 +255,19 @@ def test_collision_rate_with_weights(spark):
     assert abs(rate - want) < 4 * math.sqrt(want * (1 - want) / 200)
 
 
+def test_fingerprints_of_hot_ids(spark):
+    # an id and null that hold most rows are divided, and every row still has its next
+    rows = [(7, f"text {k % 40} of one id") for k in range(120)] + [(None, f"no id {k}") for k in range(80)] + [(k, f"other {k}") for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprints.with_next(frame, 16, "doc_id", "text").collect()
+    sizes = Counter(r.bucket for r in placed if not r.tail)
+    assert max(sizes.values()) < 50 and len(sizes) > 10 and sum(sizes.values()) == len(rows)
+    hashed = {r.text: r.h for r in frame.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = Counter((i, x, order[(k + 1) % len(order)][1]) for k, (i, x) in enumerate(order))
+    assert Counter((r.doc_id, r.text, r.next) for r in placed if not r.tail) == want
+
+
 def test_fingerprints_of_odd_rows(odd, empty, spark):
     rows = fingerprints.fingerprints(odd, buckets=3).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ODD)

@@ -10,9 +10,12 @@ least value itself serves as the sample.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of other characters than white space are words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,32 +61,41 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
 
 
 def with_next(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """docs in buckets of neighbouring ids: bucket, seq, doc_id, text, tail, next (the next row's text).
+    """docs in buckets of neighbouring rows: bucket, seq, doc_id, text, tail, next (the next row's text).
 
-    In each bucket, rows are numbered by seq in order of id and text.  The row that follows a bucket's last one is
-    in it too, as its tail; after the last row of all comes the first.  Null texts become empty.
+    Rows are in order of id, null ids first, then of a hash of the text, then of the text.  Buckets begin at quantiles
+    of the ids; an id (or null) that fills several of them is divided by ranges of the hash, so that only rows equal in
+    both stay together.  In each bucket, rows are numbered by seq.  The row that follows a bucket's last one is in it
+    too, as its tail; after the last row of all comes the first.  Null texts become empty.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
     shares = [k / buckets for k in range(1, buckets)]
-    ends = docs.agg(F.min(f"`{id_col}`").alias("lo"), F.count("*").alias("n"), F.percentile_approx(f"`{id_col}`", shares, 10_000).alias("at") if shares else F.array().alias("at")).first()
-    if not ends.n:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(1).alias("seq"), "doc_id", "text", F.lit(False).alias("tail"), F.col("text").alias("next"))
-    # null ids come first; so with any, the first row of all is one of them
-    nulls = docs.filter(F.col(f"`{id_col}`").isNull()).limit(1).count() > 0
-    starts = sorted({x for x in (ends.at or []) if x is not None and (nulls or x > ends.lo)})
-    bucket = F.lit(0)
-    if starts:
-        bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("doc_id"))), F.lit(0))
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)
-    placed = rows.withColumn("bucket", bucket)
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(ends.lo)
-    before = F.when(first, F.lit(len(starts)))
+    ends = docs.agg(
+        F.count("*").alias("n"), F.count_if(F.col(f"`{id_col}`").isNull()).alias("nulls"),
+        F.percentile_approx(f"`{id_col}`", shares, 10_000).alias("at") if shares else F.array().alias("at"),
+    ).first()
+    times = Counter(x for x in (ends.at or []) if x is not None)
+    starts, null = sorted(times), F.col("doc_id").isNull()
+    # null ids, ids below the first start, and from each start on: the start itself, in parts, then the ids behind it
+    which, parts = F.when(null, F.lit(0)), F.when(null, F.lit(max(1, round(buckets * ends.nulls / max(1, ends.n)))))
     if starts:
-        before = before.when(F.col("doc_id").isin(starts), F.col("bucket") - 1)
+        which = which.otherwise(F.lit(1) + F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("doc_id"))))
+        several = F.create_map(*[F.lit(y) for x in starts for y in (x, times[x])])
+        parts = parts.otherwise(several[F.col("doc_id")])
+    which = F.coalesce(which, F.lit(1))
+    part = F.least(F.floor(F.col("h") / F.lit(float(1 << 63)) * parts), parts - 1)
+    placed = rows.withColumn("bucket", (which * F.lit(buckets + 2) + F.coalesce(part, F.lit(buckets + 1))).cast("int"))
+    # the first row of each bucket is the tail of the one before; there are few buckets, so this is a small table
+    first = placed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")).alias("first")).orderBy("bucket").collect()
+    before = [(r.first["doc_id"], r.first["h"], first[k - 1].bucket) for k, r in enumerate(first)]
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("before", T.IntegerType())])
+    tails = docs.sparkSession.createDataFrame(before, schema).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "before")
+    placed = placed.join(F.broadcast(tails), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
-    twice = F.array(own, F.struct(before.alias("bucket"), F.lit(True).alias("tail")))
-    placed = placed.withColumn("place", F.explode(F.when(before.isNull(), F.array(own)).otherwise(twice))).select("place.bucket", "place.tail", "doc_id", "text")
-    order = W.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first(), "text")
+    twice = F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail")))
+    placed = placed.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(twice))).select("place.bucket", "place.tail", "doc_id", "h", "text")
+    order = W.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first(), "h", "text")
     return placed.select("bucket", F.row_number().over(order).alias("seq"), "doc_id", "text", "tail", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
 
 
@@ -91,7 +103,7 @@ def fingerprints(docs: DataFrame, samples: int = 32, buckets: int | None = None,
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next greater id, for the last one the first; rows of one id follow each
-    other in order of their texts, null ids come first.  The edited text is the text with its last
+    other in order of a hash of their texts, null ids come first.  The edited text is the text with its last
     floor(n_chars / 2) code points replaced by the first as many of the next one.  Null texts count as empty; texts
     without words have an empty fingerprint, like each other (1) and unlike all others (0).  An empty table gives no
     rows; other columns of docs are not read.
