@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, toxicity
+from wayfare.llm import (
+    bpe, chat_format, collocations, exact_dedup, fingerprints, importance, language_id, license_scan, mixing, near_dedup, token_counts, toxicity, vector_search,
+)
 from wayfare.llm.common import table
 
 #: Where the vocabulary file of a byte-level tokenizer lies.
@@ -69,6 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -81,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_toxicity": op10_toxicity,
+        "op11_collocations": op11_collocations,
+        "op12_importance": op12_importance,
+        "op13_vector_search": op13_vector_search,
     }
 
 
@@ -90,4 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_dedup": near_dedup.near_sql(words=4, percent=80),
         "op7_exact_dedup": exact_dedup.exact_sql(),
         "op8_chat_format": chat_format.chat_sql(TRICKY),
+        "op11_collocations": collocations.collocations_sql(),
+        "op12_importance": importance.importance_sql(),
+        "op13_vector_search": vector_search.search_sql(),
     }
