@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfare import catalog
 from wayfare.functions import columns
 from wayfare.operators import answers, exact, indexes, metrics, push, stats, updates, walks
+from wayfare.plans import ordered
 from wayfare.plans.storage import materialize
 from wayfare.sources import csr, derived, files
 from wayfare.streaming.ops import apply_stream
@@ -215,20 +216,36 @@ def test_where_the_greatest_error_is(spark):
 
 
 def test_hubs_are_numbered_in_ranges(edges, monkeypatch):
-    monkeypatch.setattr(indexes, "RANGE_BITS", 2)
+    monkeypatch.setattr(ordered, "GROUP", 20)
     rng = random.Random(12)
-    rows = [(s, rng.randint(0, 60), rng.choice([1, 2, 4, 9])) for s in range(3) for _ in range(50)]
+    # neighbours as far apart as hashes are; sources of 50 edges are hubs here, those of 5 are not
+    ids = [rng.getrandbits(62) for _ in range(60)]
+    rows = [(s, rng.choice(ids), rng.choice([1, 2, 4, 9])) for s in range(4) for _ in range(50 if s < 3 else 5)]
     want, at = {}, defaultdict(lambda: [0, 0.0])
     for s, d, w in sorted(rows):
         want[s, at[s][0]] = (d, at[s][1], at[s][1] + w)
         at[s] = [at[s][0] + 1, at[s][1] + w]
     got = indexes.prefix_index(edges(rows)).collect()
-    assert {(r.src, r.pos): (r.dst, r.lo, r.hi) for r in got} == want and {(r.src, r.deg, r.total) for r in got} == {(s, 50, t) for s, (_, t) in at.items()}
+    assert {(r.src, r.pos): (r.dst, r.lo, r.hi) for r in got} == want and {(r.src, r.deg, r.total) for r in got} == {(s, n, t) for s, (n, t) in at.items()}
     by_bucket = Counter((r.src, r.bucket) for r in indexes.bucket_index(edges(rows)).collect())
     assert {(r.src, r.bucket): r.cnt for r in indexes.bucket_totals(edges(rows)).collect()} == by_bucket
-    # no window goes over a whole source's edges, only over what its ranges come to
-    plan = indexes.prefix_index(edges(rows))._jdf.queryExecution().optimizedPlan().toString()
-    assert all("__fine" in line or "sum(__sum_" in line for line in plan.splitlines() if "Window" in line)
+    total = {s: t for s, (_, t) in at.items()}
+    implied = {(r.src, r.dst): r.p for r in indexes.alias_distribution(indexes.alias_index(edges(rows))).collect()}
+    weight = Counter()
+    for s, d, w in rows:
+        weight[s, d] += w / total[s]
+    assert {k: p for k, p in implied.items() if p > 1e-12} == pytest.approx(weight)
+
+
+@pytest.mark.parametrize("build", [indexes.prefix_index, indexes.alias_index, csr.csr_edges])
+def test_no_window_goes_over_a_hub(edges, monkeypatch, build):
+    monkeypatch.setattr(ordered, "GROUP", 100)
+    rng = random.Random(13)
+    plan = build(edges([(0, rng.getrandbits(62), rng.randint(1, 9)) for _ in range(2000)]))._jdf.queryExecution().optimizedPlan().toString()
+    # windows of hubs go over a range, or over what the ranges come to; others have no row of a hub
+    hub = [line for line in plan.splitlines() if "Window" in line and "__range" not in line and "__fine" not in line and "__sum_" not in line and "__min_" not in line]
+    assert all("Window" in line for line in hub) and plan.count("__fine") > 0
+    assert plan.count("LeftAnti") >= 1
 
 
 def test_push_meets_few_edges_of_a_hub(edges, spark):

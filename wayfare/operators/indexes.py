@@ -1,24 +1,20 @@
 """Indexes for sampling: transition probabilities, guided prefix sums, alias slots and weight buckets.
 
-All go by each source's adjacency, so a rebuild for some sources is a rebuild of their rows alone.  Positions and
-running sums of a source come from ranges of its neighbours, so a hub is no single task's work; alias slots alone sort
-a source's edges in one.
+All go by each source's adjacency, so a rebuild for some sources is a rebuild of their rows alone.  Positions, running
+sums and alias slots of a source with few edges come from windows over them; those of a hub from ranges of its edges,
+cut where these lie, and from what the ranges before come to, so a hub is no single task's work.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import weight_bucket
-from wayfare.plans.ordered import running, spread
+from wayfare.plans.ordered import Running, by_size, spread
 
 #: The adjacency's order; parallel edges follow each other by weight.
 ORDER = ["dst", "w"]
-#: Neighbours of so many consecutive ids are numbered together.
-RANGE_BITS = 16
-UP_TO_HERE = (W.unboundedPreceding, 0)
 
 
 def with_totals(edges: DataFrame) -> DataFrame:
@@ -36,14 +32,14 @@ def transition_matrix(edges: DataFrame) -> DataFrame:
     return with_totals(merged).select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
-def by_range() -> Column:
-    return F.shiftright("dst", RANGE_BITS)
+def numbered(edges: DataFrame, keys: list[str], running: Running) -> DataFrame:
+    """edges with nth (from 1), hi (the running weight), deg and total of their group of keys."""
+    return running(edges, keys, ORDER, {"nth": F.lit(1).cast("long"), "hi": F.col("w")}, {"nth": "deg", "hi": "total"})
 
 
 def _placed(edges: DataFrame) -> DataFrame:
-    """edges with nth (from 1), hi (the running weight), deg and total of their source."""
-    one = F.lit(1).cast("long")
-    return running(edges.select("src", "dst", "w"), ["src"], by_range(), ORDER, {"nth": one, "hi": F.col("w")}, {"nth": "deg", "hi": "total"})
+    """edges with nth, hi, deg and total of their source."""
+    return by_size(edges.select("src", "dst", "w"), ["src"], lambda rows, running: numbered(rows, ["src"], running))
 
 
 def positions(edges: DataFrame) -> DataFrame:
@@ -72,34 +68,40 @@ def guided_prefix_index(edges: DataFrame) -> DataFrame:
     return spread(index, first, last, "cell")
 
 
-def alias_index(edges: DataFrame) -> DataFrame:
-    """src, slot, dst, p, alias_dst, deg: slot keeps its own neighbour with chance p, else it gives alias_dst.
+def alias_slots(edges: DataFrame, keys: list[str], running: Running) -> DataFrame:
+    """edges (keys, dst, w, ...) with slot, p, alias_dst and deg: the alias slots of each group of keys.
 
     Light neighbours (below the mean weight) lack something, heavy ones have a surplus.  In order of position, the
     heavy ones' surpluses fill up what the light ones lack, so whose alias is whose is decided by where running sums
-    of the two meet: a merge of two sorted sequences in each source, done by windows.  A heavy neighbour whose
-    surplus is used up within a light one's need becomes light itself and has the next heavy one as alias.  All
-    sums are in units of weight times degree, hence exact for integer weights.
+    of the two meet: a merge of two sorted sequences, done by running values.  A heavy neighbour whose surplus is used
+    up within a light one's need becomes light itself and has the next heavy one as alias.  All sums are in units of
+    weight times degree, hence exact for integer weights.
+
+    Going down the sums, the heavy neighbour met last is the one of least end so far; so what a range of them carries
+    on to the next is the giver that is open there, and a large group can be merged range by range.
     """
-    source = W.partitionBy("src")
     surplus = F.col("w") * F.col("deg") - F.col("total")
-    items = positions(edges).withColumn("surplus", surplus).withColumn("heavy", F.col("surplus") > 0)
-    running = F.sum(F.abs("surplus")).over(W.partitionBy("src", "heavy").orderBy("pos").rowsBetween(*UP_TO_HERE))
-    items = items.withColumn("end", running).withColumn("begin", F.col("end") - F.abs("surplus"))
-    items = items.withColumn("next_heavy", F.lead("dst").over(W.partitionBy("src", "heavy").orderBy("pos")))
+    items = numbered(edges, keys, running).withColumn("surplus", surplus).withColumn("heavy", F.col("surplus") > 0)
+    items = running(items, [*keys, "heavy"], ["nth"], {"end": F.abs("surplus")}).withColumn("begin", F.col("end") - F.abs("surplus"))
+    items = running(items, [*keys, "heavy"], [F.desc("nth")], {}, earlier={"next_heavy": F.struct("nth", "dst")})
     # light items look, from where their need begins, for the first heavy one whose surplus reaches that far
     reach = items.withColumn("at", F.when(F.col("heavy"), F.col("end")).otherwise(F.col("begin")))
-    falling = source.orderBy(F.desc("at"), F.desc("heavy"), F.desc("pos")).rowsBetween(*UP_TO_HERE)
-    found = reach.withColumn("giver", F.last(F.when(F.col("heavy"), F.col("dst")), ignorenulls=True).over(falling))
+    giver = F.when(F.col("heavy"), F.struct("end", "nth", "dst"))
+    found = running(reach, keys, [F.desc("at"), F.desc("heavy"), F.desc("nth")], {}, least={"giver": giver})
     # heavy items look for the first light one whose need ends behind their surplus
     need = F.when(~F.col("heavy") & (F.col("surplus") < 0), F.col("end"))
-    ending = source.orderBy(F.desc("end"), F.desc("heavy"), F.desc("pos")).rowsBetween(*UP_TO_HERE)
-    found = found.withColumn("used_by", F.last(need, ignorenulls=True).over(ending))
+    found = running(found, keys, [F.desc("end"), F.desc("heavy"), F.desc("nth")], {}, least={"used_by": need})
     light = ~F.col("heavy") & (F.col("surplus") < 0) & F.col("giver").isNotNull()
     spent = F.col("heavy") & F.col("used_by").isNotNull() & F.col("next_heavy").isNotNull()
     p = F.when(light, (F.col("total") + F.col("surplus")) / F.col("total")).when(spent, (F.col("total") + F.col("end") - F.col("used_by")) / F.col("total")).otherwise(F.lit(1.0))
-    alias = F.when(light, F.col("giver")).when(spent, F.col("next_heavy")).otherwise(F.col("dst"))
-    return found.select("src", F.col("pos").alias("slot"), "dst", p.alias("p"), alias.alias("alias_dst"), "deg")
+    alias = F.when(light, F.col("giver.dst")).when(spent, F.col("next_heavy.dst")).otherwise(F.col("dst"))
+    return found.select(*edges.columns, (F.col("nth") - 1).cast("int").alias("slot"), p.alias("p"), alias.alias("alias_dst"), "hi", "deg")
+
+
+def alias_index(edges: DataFrame) -> DataFrame:
+    """src, slot, dst, p, alias_dst, deg: slot keeps its own neighbour with chance p, else it gives alias_dst."""
+    built = by_size(edges.select("src", "dst", "w"), ["src"], lambda rows, running: alias_slots(rows, ["src"], running))
+    return built.select("src", "slot", "dst", "p", "alias_dst", "deg")
 
 
 def alias_distribution(index: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def alias_distribution(index: DataFrame) -> DataFrame:
 def bucket_index(edges: DataFrame) -> DataFrame:
     """src, bucket, bpos, dst, w, maxw: edges by weight bucket, numbered within it; maxw bounds a bucket's weights."""
     marked = edges.select("src", "dst", "w", weight_bucket(F.col("w")).alias("bucket"))
-    placed = running(marked, ["src", "bucket"], by_range(), ORDER, {"nth": F.lit(1).cast("long")})
+    placed = by_size(marked, ["src", "bucket"], lambda rows, running: running(rows, ["src", "bucket"], ORDER, {"nth": F.lit(1).cast("long")}))
     return placed.select("src", "bucket", (F.col("nth") - 1).cast("int").alias("bpos"), "dst", "w", F.pow(F.lit(2.0), "bucket").alias("maxw"))
 
 

@@ -6,6 +6,8 @@ window runs over one row for each bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,15 +48,17 @@ def in_ranges(df: DataFrame, order: list[Column], label: str) -> DataFrame:
 
 def running(
     df: DataFrame, keys: list[str], fine: Column, order: list[str | Column], sums: dict[str, Column],
-    wholes: dict[str, str] | None = None, least: dict[str, Column] | None = None,
+    wholes: dict[str, str] | None = None, least: dict[str, Column] | None = None, earlier: dict[str, Column] | None = None,
 ) -> DataFrame:
     """df with running sums inside each group of keys, in the order by `order`, up to and including each row.
 
-    sums gives what is added up, by the new columns' names, least what the least value so far is wanted of; wholes
-    names, for some of sums, a column of the group's whole sum.  fine must not fall along the order: rows that agree in
-    keys and fine are summed by one task, and a group by what its parts come to, so no task needs a whole group.
+    sums gives what is added up, by the new columns' names, least what the least value so far is wanted of, earlier
+    what the least value before the row is wanted of; wholes names, for some of sums, a column of the group's whole
+    sum.  fine must not fall along the order: rows that agree in keys and fine are summed by one task, and a group by
+    what its parts come to, so no task needs a whole group.
     """
-    least = least or {}
+    earlier = earlier or {}
+    least = (least or {}) | earlier
     marked = df.withColumn("__fine", fine)
     totals = [F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()] + [F.min(v).alias(f"__min_{c}") for c, v in least.items()]
     parts = marked.groupBy(*keys, "__fine").agg(*totals)
@@ -67,12 +71,50 @@ def running(
         *[F.sum(f"__sum_{c}").over(group).alias(whole) for c, whole in (wholes or {}).items()],
     )
     inside = W.partitionBy(*keys, "__fine").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    own = [F.sum(v).over(inside).alias(f"__own_{c}") for c, v in sums.items()] + [F.min(v).over(inside).alias(f"__own_{c}") for c, v in least.items()]
+    above = W.partitionBy(*keys, "__fine").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = [F.sum(v).over(inside).alias(f"__own_{c}") for c, v in sums.items()] + [F.min(v).over(above if c in earlier else inside).alias(f"__own_{c}") for c, v in least.items()]
     met = marked.select("*", *own).join(offsets, [*keys, "__fine"])
     added = [(F.col(f"__own_{c}") + F.col(f"__before_{c}")).alias(c) for c in sums] + [F.least(f"__own_{c}", f"__before_{c}").alias(c) for c in least]
     return met.select(*df.columns, *added, *(wholes or {}).values())
 
 
+#: Rows of a group that a single task sorts, at most.
+GROUP = 1 << 16
+
+#: Running values inside groups: (df, keys, order, sums, wholes, least, earlier), as in running.
+Running = Callable[..., DataFrame]
+
+
+def windowed(
+    df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column],
+    wholes: dict[str, str] | None = None, least: dict[str, Column] | None = None, earlier: dict[str, Column] | None = None,
+) -> DataFrame:
+    """What running gives, by windows over whole groups, for groups that are small."""
+    group = W.partitionBy(*keys)
+    ordered = group.orderBy(*order)
+    so_far, above = ordered.rowsBetween(W.unboundedPreceding, 0), ordered.rowsBetween(W.unboundedPreceding, -1)
+    found = [F.sum(v).over(so_far).alias(c) for c, v in sums.items()]
+    found += [F.min(v).over(so_far).alias(c) for c, v in (least or {}).items()] + [F.min(v).over(above).alias(c) for c, v in (earlier or {}).items()]
+    return df.select("*", *found, *[F.sum(sums[c]).over(group).alias(whole) for c, whole in (wholes or {}).items()])
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str | Column], *rest: object, **more: object) -> DataFrame:
+    """What running gives, over ranges that are cut where the rows themselves lie, whatever their values; for large groups."""
+    return running(in_ranges(df, [*keys, *order], "ranges"), keys, F.col("__range"), order, *rest, **more).drop("__range")
+
+
+def by_size(df: DataFrame, keys: list[str], build: Callable[[DataFrame, Running], DataFrame]) -> DataFrame:
+    """build of df's groups: with windows over whole groups of at most GROUP rows, with ranges for the larger ones.
+
+    build takes rows and how it is to find running values in them; no group may depend on another.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > GROUP).select(*keys)
+    if large.isEmpty():
+        return build(df, windowed)
+    large = materialize(large, "large-groups")
+    return build(df.join(large, keys, "left_anti"), windowed).unionByName(build(materialize(df.join(large, keys, "left_semi"), "large"), ranged))
+
+
 def spread(df: DataFrame, first: Column, last: Column, name: str, block: int = 1 << 16) -> DataFrame:
     """df with a row for each number from first to last; made block by block, so no row holds a long array."""
     begun = df.withColumn("__last", last).withColumn("__begin", F.explode(F.sequence(first, last, F.lit(block).cast("long"))))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from wayfare.plans.ordered import running, running_total, spread
+from wayfare.plans.ordered import by_size, running_total, spread
 
 #: Vertices of one bucket of the running total.
 BUCKET = 1 << 16
@@ -34,7 +34,7 @@ def out_ptr(edges: DataFrame, n: int) -> DataFrame:
 
 def csr_edges(edges: DataFrame) -> DataFrame:
     """edges with pos, their place in the adjacency of src in order of dst."""
-    placed = running(edges, ["src"], F.shiftright("dst", 16), ["dst", "w"], {"pos": F.lit(1).cast("long")})
+    placed = by_size(edges, ["src"], lambda rows, running: running(rows, ["src"], ["dst", "w"], {"pos": F.lit(1).cast("long")}))
     return placed.withColumn("pos", (F.col("pos") - 1).cast("int"))
 
 
