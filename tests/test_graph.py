@@ -254,12 +254,12 @@ def test_push_meets_few_edges_of_a_hub(edges, spark):
     totals, index = indexes.bucket_totals(hub), indexes.bucket_index(hub)
     state = push.start(spark.createDataFrame([(0, 0)], "query_id long, u long"), samples)
     unit = F.col("p") / F.col("total")
-    met = state.join(totals, F.col("node") == F.col("src")).select("query_id", "sample", "src", "bucket", "cnt", unit.alias("unit"), (unit * F.col("maxw")).alias("q"))
+    met = state.join(totals, F.col("node") == F.col("src")).select("query_id", "sample", "src", "bucket", F.col("cnt").cast("long").alias("cnt"), unit.alias("unit"), (unit * F.col("maxw")).alias("q"))
     found = push.hits(met, "push", 1)
     # one edge is handed on for each sample on average, and the bounds are the weights here
     assert abs(found.count() - samples) < 6 * math.sqrt(samples)
     assert found.groupBy("sample", "bucket", "bpos").count().filter("count > 1").count() == 0
-    assert push.offers(state, totals, index, "push", 1).filter("mass <> 1").count() == 0
+    assert push.offers(state, *push.lookups(totals, index), "push", 1).filter("mass <> 1").count() == 0
 
 
 def test_written_tables_are_removed(spark, edges, asked):

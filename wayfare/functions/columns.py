@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +18,6 @@ def rng(*parts: Column | int | str) -> Column:
     return (draw % LATTICE) / F.lit(float(LATTICE))
 
 
-def draw(*parts: int | str) -> float:
-    """The number that rng gives for these parts, inside a task."""
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % LATTICE / LATTICE
-
-
 def affinity_rescale(w: Column) -> Column:
     return F.greatest(w * AFFINITY_FACTOR, F.lit(AFFINITY_LEAST))
 

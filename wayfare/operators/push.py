@@ -10,14 +10,16 @@ sample's mass stays on few nodes, and the mean over samples is the exact distrib
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.columns import draw, rng
+from wayfare.functions.columns import LATTICE, rng
 from wayfare.operators.indexes import bucket_index, bucket_totals
 from wayfare.plans.storage import bucketed, materialize
 
@@ -35,58 +37,86 @@ def hits(met: DataFrame, seed: str, level: int) -> DataFrame:
     """The positions that each row of met (query_id, sample, src, bucket, cnt, unit, q) meets in its bucket.
 
     query_id, sample, src, bucket, bpos and unit, the mass for each unit of weight: all positions where q is 1 or more;
-    else those that geometric skips of chance q come by, and unit is null.
+    else those that geometric skips of chance q come by, and unit is null.  A batch's rows skip together, round by
+    round, until all have passed their last position.
     """
     names = ["query_id", "sample", "src", "bucket", "bpos", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for query, sample, src, bucket, cnt, unit, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if q >= 1:
-                    out += [(query, sample, src, bucket, k, unit) for k in range(cnt)]
-                    continue
-                scale, at, i = math.log1p(-q), -1, 0
-                while (at := at + 1 + math.floor(math.log(1 - draw(seed, query, sample, level, src, bucket, i)) / scale)) < cnt:
-                    out.append((query, sample, src, bucket, at, None))
-                    i += 1
-            columns = zip(*out, strict=True) if out else [()] * len(names)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            keys = [batch.column(k).to_numpy() for k in range(4)]
+            cnt, unit, q = (batch.column(k).to_numpy() for k in range(4, 7))
+            sure = np.flatnonzero(q >= 1)
+            which = np.repeat(sure, cnt[sure])
+            rows, places = [which], [np.arange(len(which)) - np.repeat(np.cumsum(cnt[sure]) - cnt[sure], cnt[sure])]
+            left = np.flatnonzero(q < 1)
+            # what is hashed of a row's draws but for their numbers
+            begun = {k: hashlib.md5("|".join(map(str, (seed, *(x[k] for x in keys[:2]), level, *(x[k] for x in keys[2:]), ""))).encode()) for k in left.tolist()}
+            scale, at, i = {k: math.log1p(-q[k]) for k in begun}, np.full(len(q), -1, dtype=np.int64), 0
+            while len(left):
+                number, skips = str(i).encode(), []
+                for k in left.tolist():
+                    digest = begun[k].copy()
+                    digest.update(number)
+                    skips.append(math.floor(math.log(1 - int(digest.hexdigest()[:8], 16) % LATTICE / LATTICE) / scale[k]))
+                at[left] += 1 + np.array(skips, dtype=np.int64)
+                left = left[at[left] < cnt[left]]
+                rows.append(left)
+                places.append(at[left])
+                i += 1
+            row, place = np.concatenate(rows), np.concatenate(places)
+            masses = pa.array(unit[row], mask=q[row] < 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[row]) for x in keys), pa.array(place.astype(np.int32)), masses], names=names)
 
     return met.mapInArrow(run, "query_id long, sample long, src long, bucket int, bpos int, unit double")
 
 
-def offers(state: DataFrame, totals: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
+#: Adds to rows what an index knows of them.
+Lookup = Callable[[DataFrame], DataFrame]
+
+
+def offers(state: DataFrame, buckets: Lookup, located: Lookup, seed: str, level: int) -> DataFrame:
     """What state (query_id, sample, node, p) hands on at a level: query_id, sample, dst, mass.
 
-    totals are the bucket totals, index the bucket index; positions that are met move to where the index has them.
+    buckets adds bucket, cnt, maxw and total for each bucket of a row's src, located adds dst, w and maxw of the edge at
+    (src, bucket, bpos); positions that are met move to where the index has them.
     """
     unit = F.col("p") / F.col("total")
-    buckets = state.join(totals, F.col("node") == F.col("src"))
-    met = buckets.select("query_id", "sample", "src", "bucket", "cnt", unit.alias("unit"), (unit * F.col("maxw")).alias("q")).filter("q > 0")
-    found = hits(met, seed, level).join(index, ["src", "bucket", "bpos"])
+    asked = buckets(state.select("query_id", "sample", F.col("node").alias("src"), "p"))
+    met = asked.select("query_id", "sample", "src", "bucket", F.col("cnt").cast("long").alias("cnt"), unit.alias("unit"), (unit * F.col("maxw")).alias("q")).filter("q > 0")
+    found = located(hits(met, seed, level))
     coin = rng(seed, F.col("query_id"), F.col("sample"), level, "accept", F.col("src"), F.col("bucket"), F.col("bpos"))
     mass = F.when(F.col("unit").isNotNull(), F.col("unit") * F.col("w")).when(coin < F.col("w") / F.col("maxw"), F.lit(1.0))
     return found.select("query_id", "sample", "dst", mass.alias("mass")).filter("mass is not null")
 
 
-def push_step(state: DataFrame, totals: DataFrame, index: DataFrame, seed: str, level: int) -> DataFrame:
-    return offers(state, totals, index, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node")).agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
-
-
-def sampled_push(edges: DataFrame, queries: DataFrame, samples: int, length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
+def levels(queries: DataFrame, samples: int, length: int, buckets: Lookup, located: Lookup, seed: str, cut_every: int) -> DataFrame:
     """answer (query_id, node, p): the mean over samples of the mass at each node after `length` levels.
 
-    Totals and index are written once, in buckets by what they are joined on, so that a level moves the state and the
-    positions it meets alone.  The last level is not summed by sample first: its masses go straight into the mean.
+    The last level is not summed by sample first: its masses go straight into the mean.
     """
-    totals = bucketed(bucket_totals(edges), ["src"], "bucket-totals")
-    index = bucketed(bucket_index(edges), ["src", "bucket", "bpos"], "bucket-index")
     state = start(queries, samples)
     for level in range(1, length):
-        state = push_step(state, totals, index, seed, level)
+        moved = offers(state, buckets, located, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node"))
+        state = moved.agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
         if level % cut_every == 0:
             state = materialize(state, "push")
-    last = offers(state, totals, index, seed, length) if length else state.select("query_id", F.col("node").alias("dst"), F.col("p").alias("mass"))
+    last = offers(state, buckets, located, seed, length) if length else state.select("query_id", F.col("node").alias("dst"), F.col("p").alias("mass"))
     return last.groupBy("query_id", F.col("dst").alias("node")).agg((F.sum("mass") / F.lit(float(max(samples, 1)))).alias("p"))
+
+
+def lookups(totals: DataFrame, index: DataFrame) -> tuple[Lookup, Lookup]:
+    """buckets and located of bucket totals and a bucket index."""
+    return lambda rows: rows.join(totals, "src"), lambda rows: rows.join(index, ["src", "bucket", "bpos"])
+
+
+def sampled_push(edges: DataFrame, queries: DataFrame, samples: int, length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
+    """answer (query_id, node, p) of a sampled push over edges.
+
+    Totals and index are written once, in buckets by what they are joined on, so that a level moves the state and the
+    positions it meets alone.
+    """
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
+    totals = bucketed(bucket_totals(edges), ["src"], "bucket-totals")
+    index = bucketed(bucket_index(edges), ["src", "bucket", "bpos"], "bucket-index")
+    return levels(queries, samples, length, *lookups(totals, index), seed, cut_every)

@@ -36,6 +36,12 @@ def carrying(index: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
     return index.join(facts, target, "left")
 
 
+def numbers(name: str, begin: int, many: int) -> Column:
+    """A row for each of so many numbers from begin on; none at all are no row."""
+    found = F.sequence(F.lit(begin).cast("long"), F.lit(begin + many - 1).cast("long")) if many > 0 else F.array().cast("array<bigint>")
+    return F.explode(found).alias(name)
+
+
 def start(queries: DataFrame, nodes: DataFrame, walks: int) -> DataFrame:
     """state (query_id, walk, node, deg, total): `walks` walks for each of queries (query_id, u)."""
     sources = queries.select("query_id", F.col("u").alias("node")).join(nodes, "node", "left")
@@ -79,6 +85,7 @@ def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFr
 
 def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "prefix", dangling: str = "drop") -> DataFrame:
     """Walks that draw by prefix sums of weights."""
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = materialize(about(edges), "nodes")
     index = guided_prefix_index(edges).select("src", "cell", "lo", "hi", F.col("dst").alias("to"))
     index = bucketed(carrying(index, nodes, "to"), ["src", "cell"], "prefix-index")
@@ -95,6 +102,7 @@ def alias_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFra
 
 def alias_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "alias", dangling: str = "drop") -> DataFrame:
     """Walks that draw by alias slots."""
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = materialize(about(edges), "nodes")
     index = alias_index(edges).select("src", F.col("slot").cast("long").alias("slot"), "p", F.col("dst").alias("own"), F.col("alias_dst").alias("other"))
     index = bucketed(carrying(carrying(index, nodes, "own"), nodes, "other"), ["src", "slot"], "alias-index")
@@ -111,24 +119,34 @@ def _attempted(pending: DataFrame, index: DataFrame, seed: str, k: int, begin: i
     return pending.join(first, ["query_id", "walk"], "left")
 
 
-def rejection_step(state: DataFrame, index: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
-    """Draw uniform neighbours until one is accepted, and take that one.
+def until_accepted(pending: DataFrame, attempted: Callable[[DataFrame, int, int], DataFrame], attempts: int, found: list[str]) -> DataFrame:
+    """query_id, walk and the columns `found` of the first attempt of each pending walk that is accepted.
 
-    Goes in rounds, each over the walks still pending and written down.  The first tries `attempts` neighbours for each
-    walk, a later one up to twice as many as the one before, as far as ROUND allows.  The greatest edge of a node is
-    accepted with a chance above one half, so no walk is pending forever; nodes without weight are left out.
+    attempted(pending, begin, size) adds `first`, what the first accepted of the attempts from begin on gives, or null.
+    Goes in rounds, each over the walks still pending and written down.  The first makes `attempts` attempts for each
+    walk, a later one up to twice as many as the one before, as far as ROUND allows.
     """
-    rounds, pending, begin, size = [], state.filter("total > 0"), 0, attempts
+    rounds, begin, size = [], 0, attempts
     while True:
-        tried = materialize(_attempted(pending, index, seed, k, begin, size), "rejection-round")
-        rounds.append(tried.filter("first is not null").select("query_id", "walk", "first.to", "first.to_deg", "first.to_total"))
-        pending = tried.filter("first is null").select(*state.columns)
+        tried = materialize(attempted(pending, begin, size), "rejection-round")
+        rounds.append(tried.filter("first is not null").select("query_id", "walk", *[f"first.{c}" for c in found]))
+        pending = tried.filter("first is null").select(*pending.columns)
         left = pending.count()
         if left == 0:
             return functools.reduce(DataFrame.unionByName, rounds)
         begin, size = begin + size, max(attempts, min(2 * size, ROUND // left))
 
 
+def rejection_step(state: DataFrame, index: DataFrame, seed: str, k: int, attempts: int) -> DataFrame:
+    """Draw uniform neighbours until one is accepted, and take that one.
+
+    The greatest edge of a node is accepted with a chance above one half, so no walk is pending forever; nodes without
+    weight are left out.
+    """
+    attempted = lambda pending, begin, size: _attempted(pending, index, seed, k, begin, size)
+    return until_accepted(state.filter("total > 0"), attempted, attempts, ["to", "to_deg", "to_total"])
+
+
 def least_acceptance(edges: DataFrame) -> DataFrame:
     """The least chance, over all sources, that one attempt of a rejection walk is accepted; one in it is the mean number of attempts."""
     mean = rejection_index(edges).groupBy("src").agg(F.avg("accept").alias("a"))
@@ -142,6 +160,7 @@ def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int
     """
     if attempts < 1:
         raise ValueError(f"attempts must be at least 1, not {attempts}")
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = materialize(about(edges), "nodes")
     index = rejection_index(edges).select("src", F.col("pos").cast("long").alias("pos"), F.col("dst").alias("to"), "accept")
     index = bucketed(carrying(index, nodes, "to"), ["src", "pos"], "rejection-index")

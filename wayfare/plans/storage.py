@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: What has been written, by application: paths of tables, and names of those in the catalog.
-_written: dict[str, list[tuple[str, str | None]]] = {}
+#: What has been written, by application: paths of tables (none if they are to stay), and names of those in the catalog.
+_written: dict[str, list[tuple[str | None, str | None]]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +38,8 @@ def clear(spark: SparkSession) -> None:
     for path, name in _written.pop(context.applicationId, []):
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not path:
+            continue
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -55,12 +57,34 @@ def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     A join on exactly these keys then moves the other side only, however often it is repeated.  There are as many
     buckets as shuffle partitions, so that the two fit each other.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    name = f"{label}-{path.rpartition('-')[2]}".replace("-", "_")
+    path = new_path(df.sparkSession, label)
+    return df.sparkSession.table(_write_buckets(df, keys, path, f"{label}-{path.rpartition('-')[2]}"))
+
+
+def _named(spark: SparkSession, name: str) -> str:
+    """name as a table of the catalog, which clear will drop."""
+    name = name.replace("-", "_")
+    _written.setdefault(spark.sparkContext.applicationId, []).append((None, name))
+    return name
+
+
+def _write_buckets(df: DataFrame, keys: list[str], path: str, name: str) -> str:
+    spark, name = df.sparkSession, _named(df.sparkSession, name)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one task for each bucket, so that a bucket is one file
     dealt = df.repartition(buckets, *keys)
-    _written[spark.sparkContext.applicationId].append((path, name))
     dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return name
+
+
+def write_buckets(df: DataFrame, keys: list[str], path: str) -> int:
+    """Write df at path, dealt into buckets by keys and sorted by them within; how many buckets there are."""
+    _write_buckets(df, keys, path, f"written-{uuid.uuid4().hex}")
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def open_buckets(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int) -> DataFrame:
+    """What write_buckets wrote, in this session or another; nothing is read or written by opening it."""
+    name, by = _named(spark, f"opened-{uuid.uuid4().hex}"), ", ".join(keys)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
