@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns
-from wayfare.operators import answers, exact, indexes, metrics, push, stats, updates, walks
+from wayfare.operators import answers, exact, indexes, metrics, push, stats, stored, updates, walks
 from wayfare.plans import oracle as sql
 from wayfare.plans.storage import materialize, new_path
 from wayfare.sources import csr, derived, files
+from wayfare.sources.store import Store
 from wayfare.streaming.ops import apply_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +358,68 @@ for _name, _build, _sql in (
     query(_name, f"{_UPDATED} {_sql}")(_refreshed(_build))
 
 
+# ---- stores: transitions with all indexes, written once, updated in part, opened again
+
+#: Edges of a block and places of a chunk; small, so that most sources have several.
+STORE_BLOCK, STORE_CHUNK = 8, 4
+_STORED = f"{_UPDATED}, n AS (SELECT src, CAST(pow(2, greatest(ceil(log2(count(*) / CAST({STORE_BLOCK} AS DOUBLE))), 0)) AS BIGINT) AS blocks FROM g GROUP BY src), cells AS (SELECT h.src, h.dst, h.w, CAST(floor({sql.rng(repr('block'), 'h.dst')} * n.blocks) AS BIGINT) AS block, {sql.BUCKET} AS bucket FROM h JOIN n ON h.src = n.src)"
+_STORED_PREFIX = f"{_STORED}, prefix AS (SELECT src, dst, hi - w AS lo, hi, total FROM (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY block, dst) AS hi, sum(w) OVER (PARTITION BY src) AS total FROM cells))"
+
+
+def _updated_store(spark: SparkSession, d: str) -> tuple[str, Store]:
+    """A store of transitions and what a batch has made of it, opened anew."""
+    edges, gone, new = _workload(spark, d)
+    folder = new_path(spark, "store")
+    stored.create(edges, folder, STORE_BLOCK, STORE_CHUNK)
+    stored.update(Store.open(spark, folder), gone, new)
+    return folder, Store.open(spark, folder)
+
+
+@query("store_prefix_walk", f"{_STORED_PREFIX},\n{sql.prefix_walk([0, 3], WALKS, STEPS, seed='stored')} {_ANSWER}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Build, update, open, walk."""
+    return _answer(stored.walk(_updated_store(spark, d)[1], sources(spark, [0, 3]), WALKS, STEPS))
+
+
+@query("store_push", f"{sql.graph('skewed', 'buckets', 'totals')},\n{sql.sampled_push([0, 1], 200, 4)} SELECT query_id, node, round(p, 9) AS p FROM answer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "store")
+    stored.create(derived.skewed(spark, d), folder, STORE_BLOCK, STORE_CHUNK)
+    return stored.sampled_push(Store.open(spark, folder), sources(spark, [0, 1]), 200, 4).select("query_id", "node", rounded("p"))
+
+
+@query("store_versions", f"{_UPDATED} SELECT 0 AS version, src, dst, w FROM g UNION ALL SELECT 1, src, dst, w FROM h UNION ALL SELECT 2, src, dst, w FROM h")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The graph before and after a batch, and after the store has been compacted."""
+    folder, store = _updated_store(spark, d)
+    stored.compact(store, 0.0)
+    graphs = [stored.edges_of(Store.open(spark, folder, k)).select(F.lit(k).alias("version"), "src", "dst", "w") for k in range(3)]
+    return graphs[0].unionByName(graphs[1]).unionByName(graphs[2])
+
+
+@query("store_alias_distribution", f"{_STORED} SELECT src, dst, round(sum(w) / any_value(total), 9) AS p FROM (SELECT *, sum(w) OVER (PARTITION BY src) AS total FROM h) GROUP BY src, dst")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What the alias slots of an updated store's blocks, and those over the blocks, imply."""
+    store = _updated_store(spark, d)[1]
+    blocks = store.table("blocks").whole().select("src", "block", "n", F.explode("cells").alias("c"))
+    inside = blocks.select("src", "block", F.explode(F.array(F.struct(F.col("c.dst").alias("dst"), (F.col("c.p") / F.col("n")).alias("p")), F.struct(F.col("c.other").alias("dst"), ((1 - F.col("c.p")) / F.col("n")).alias("p")))).alias("x"))
+    choice = store.table("choice").whole().join(store.table("nodes").whole().select("src", "slots"), "src")
+    over = choice.select("src", F.explode(F.array(F.struct("block", (F.col("p") / F.col("slots")).alias("q")), F.struct(F.col("other").alias("block"), ((1 - F.col("p")) / F.col("slots")).alias("q")))).alias("x"))
+    over = over.select("src", "x.block", "x.q").groupBy("src", "block").agg(F.sum("q").alias("q"))
+    both = inside.select("src", "block", "x.dst", "x.p").join(over, ["src", "block"], "left")
+    return both.groupBy("src", "dst").agg(F.sum(F.col("p") * F.coalesce("q", F.lit(1.0))).alias("p")).filter("p > 1e-12").select("src", "dst", rounded("p"))
+
+
+@query("store_bucket_places", f"{_STORED} SELECT src, bucket, count(*) AS cnt, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most, count(*) AS places, sum(w) AS total FROM cells GROUP BY src, bucket")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Places in buckets stay dense through deletes and inserts, in chunks as in what the sources say of them."""
+    store = _updated_store(spark, d)[1]
+    edges = store.table("chunks").whole().select("src", "bucket", F.explode("edges").alias("e")).select("src", "bucket", "e.bpos", "e.w")
+    about = edges.groupBy("src", "bucket").agg(F.min("bpos").cast("long").alias("least"), F.max("bpos").cast("long").alias("most"), F.countDistinct("bpos").alias("places"), F.sum("w").alias("total"))
+    counts = store.table("nodes").whole().select("src", F.explode("buckets").alias("b")).select("src", "b.bucket", "b.cnt")
+    return about.join(counts, ["src", "bucket"], "full").select("src", "bucket", "cnt", "least", "most", "places", "total")
+
+
 # ---- logs and reports: their numbers are made of the tables
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.plans.storage import open_buckets, write_buckets
+from wayfare.plans.storage import materialize, open_buckets, write_buckets
 
 VERSION = "version"
 
@@ -37,10 +37,12 @@ class Layered:
     def meet(self, rows: DataFrame, on: list[str]) -> DataFrame:
         """rows joined with the table on columns that both have, the key's among them.
 
-        The base stays in its buckets if they are by `on`; rows of dead keys meet the later rows alone.
+        The base stays in its buckets if they are by `on`; rows of dead keys meet the later rows alone.  Where there
+        are such, rows are written down first, as they are read for either part.
         """
         if self.live is None:
             return rows.join(self.base, on)
+        rows = materialize(rows, "asked")
         return rows.join(self.dead, self.keys, "left_anti").join(self.base, on).unionByName(rows.join(self.live, on))
 
 
