@@ -348,6 +348,31 @@ def test_csr(spark, edges, tmp_path):
     assert files.read_attribute(spark, str(tmp_path / "m4.attribute")).first() == (4, 7)
 
 
+def test_a_csr_write_counts_as_a_whole_or_not_at_all(spark, edges, tmp_path):
+    at, ten = str(tmp_path), [(k, (k + 1) % 10, 1) for k in range(10)]
+    read = lambda: as_edges(csr.read_binary(spark, at, "x"))
+    csr.write_binary(edges(ten), 10, at, "x", vertices=4)
+    assert read() == Counter((a, b, 1.0) for a, b, _ in ten) and len(list((tmp_path / "x.outPtr").iterdir())) == 3
+    # other cuts, other weights, fewer vertices: nothing of the first write is left
+    csr.write_binary(edges([(a, b, 7) for a, b, _ in ten[:6]]), 8, at, "x", vertices=100)
+    assert read() == Counter((a, b, 7.0) for a, b, _ in ten[:6])
+    assert all(len(list((tmp_path / f"x.{e}").iterdir())) == 1 for e in csr.ENDINGS)
+    # a task fails: what was there stays, and what the others have written is in no list
+    broken = edges(ten).withColumn("w", F.when(F.col("src") == 9, F.raise_error(F.lit("no weight"))).otherwise(F.lit(2.0)).cast("double"))
+    with pytest.raises(Exception, match="no weight"):
+        csr.write_binary(broken, 10, at, "x", vertices=1)
+    assert read() == Counter((a, b, 7.0) for a, b, _ in ten[:6])
+    # a task that is tried again leaves files of its first try, which don't count
+    (tmp_path / "x.outPtr" / csr.part_name(0, "0lost")).write_bytes(b"abc")
+    assert read() == Counter((a, b, 7.0) for a, b, _ in ten[:6])
+    csr.write_binary(edges(ten), 10, at, "x", vertices=3)
+    assert read() == Counter((a, b, 1.0) for a, b, _ in ten) and len(list((tmp_path / "x.outPtr").iterdir())) == 4
+    csr.write_binary(edges([]), 0, at, "x")
+    assert read() == Counter()
+    with pytest.raises(Exception, match="exists"):
+        edges([]).write.format("csr_graph").mode("append").option("label", "x").option("n", 0).save(at)
+
+
 def test_files(spark, edges, tmp_path):
     (tmp_path / "g.txt").write_text("0 1 2.5\n\n1\t0   1e-5\n")
     assert as_edges(files.read_edges(spark, str(tmp_path / "g.txt"))) == Counter({(0, 1, 2.5): 1, (1, 0, 1e-5): 1})
@@ -392,7 +417,7 @@ def test_reports(spark):
 
 
 def test_stream(spark, edges, tmp_path):
-    g = edges(MIXED4)
+    g = edges(MIXED4 + [(k, 0, 1) for k in range(10, 40)])
     incoming = str(tmp_path / "in")
     spark.createDataFrame([("delete", 0, 1, 1.0), ("insert", 3, 0, 4.0)], "op string, src long, dst long, w double").coalesce(1).write.parquet(incoming)
     stream = spark.readStream.schema("op string, src long, dst long, w double").parquet(incoming)

@@ -4,19 +4,25 @@ The binary layout is four files: `<label>.attribute` with the lines `n <n>` and
 32-bit numbers, `.outEdges` with m of them and `.outWEdges` with m doubles, all little-endian.  Each of the last three
 may be a folder of parts instead, named by their first vertex; one after the other they are the file.  Parts are written
 and read by tasks, so the folder must be one that all executors share.
+
+A write is committed by `<label>.parts`, which lists the parts that count and takes its place at once when all tasks
+have ended; only then do the parts of an earlier write go.  Files of tasks that failed or were tried again are in no
+list, and a write that breaks off leaves what was there.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from wayfare.plans.ordered import by_size, running_total, spread
 
@@ -63,53 +69,101 @@ def local_path(folder: str) -> str:
     return folder.removeprefix("file://").removeprefix("file:")
 
 
-def _write_parts(rows: DataFrame, at: str, columns: dict[str, tuple[str, str]], order: list[str]) -> None:
-    """Write rows (first, ...), dealt by `first` and sorted: for each of columns (name: file ending, type) one file a part.
+ENDINGS = ("outPtr", "outEdges", "outWEdges")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The parts of a task, by first vertex and mark, and how many edges they have."""
+
+    parts: list[tuple[int, str]]
+    edges: int
 
-    A part is written under a name of its own and then renamed, so a task that is tried again changes nothing.
-    """
-    for ending, _ in columns.values():
-        os.makedirs(f"{at}.{ending}", exist_ok=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, files, mark = None, {}, uuid.uuid4().hex
+class CsrWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.at, self.n = os.path.join(local_path(options["path"]), options["label"]), int(options["n"])
+        if not overwrite and os.path.exists(f"{self.at}.attribute"):
+            raise ValueError(f"{self.at} exists already")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """Write the parts of rows (first, kind, src, pos, ptr, dst, w), sorted by the first four.
+
+        first is the part's first vertex; kind is 0 for a pointer, ptr of src, and 1 for an edge.
+        """
+        mark, out, first, files = uuid.uuid4().hex, Written([], 0), None, {}
 
         def close() -> None:
-            for name, f in files.items():
+            for f in files.values():
                 f.close()
-                os.replace(f.name, f"{at}.{columns[name][0]}/part-{first:012d}")
 
-        for batch in batches:
-            firsts = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(firsts)]
+        for ending in ENDINGS:
+            os.makedirs(f"{self.at}.{ending}", exist_ok=True)
+        for batch in iterator:
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            firsts, kinds = column["first"].to_numpy(), column["kind"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(firsts) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(firsts)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo and firsts[lo] != first:
+                if hi == lo:
+                    continue
+                if firsts[lo] != first:
                     close()
                     first = int(firsts[lo])
-                    files = {name: open(f"{at}.{ending}/.{first:012d}-{mark}", "wb") for name, (ending, _) in columns.items()}
-                for k, (name, (_, kind)) in enumerate(columns.items(), 1):
-                    if hi > lo:
-                        files[name].write(batch.column(k).to_numpy()[lo:hi].astype(kind).tobytes())
+                    out.parts.append((first, mark))
+                    files = {ending: open(f"{self.at}.{ending}/{part_name(first, mark)}", "wb") for ending in ENDINGS}
+                own = {name: c.slice(lo, hi - lo) for name, c in column.items()}
+                if kinds[lo] == 0:
+                    files["outPtr"].write(own["ptr"].to_numpy().astype("<u4").tobytes())
+                else:
+                    files["outEdges"].write(own["dst"].to_numpy().astype("<u4").tobytes())
+                    files["outWEdges"].write(own["w"].to_numpy().astype("<f8").tobytes())
+                    out.edges += hi - lo
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["done"])
+        return out
+
+    def commit(self, messages: list[Written | None]) -> None:
+        done = [m for m in messages if m is not None]
+        parts = sorted(p for m in done for p in m.parts)
+        replace(f"{self.at}.attribute", f"n {self.n}\nm {sum(m.edges for m in done)}\n")
+        replace(f"{self.at}.parts", json.dumps({"n": self.n, "parts": parts}))
+        self._remove(lambda name: name not in {part_name(*p) for p in parts})
+
+    def abort(self, messages: list[Written | None]) -> None:
+        own = {part_name(*p) for m in messages if m is not None for p in m.parts}
+        self._remove(lambda name: name in own)
 
-    dealt = rows.repartition("first").sortWithinPartitions("first", *order).select("first", *columns)
-    dealt.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+    def _remove(self, goes: Callable[[str], bool]) -> None:
+        for ending in ENDINGS:
+            for name in filter(goes, os.listdir(f"{self.at}.{ending}") if os.path.isdir(f"{self.at}.{ending}") else []):
+                os.remove(f"{self.at}.{ending}/{name}")
+
+
+def part_name(first: int, mark: str) -> str:
+    return f"part-{first:012d}-{mark}"
+
+
+def replace(path: str, text: str) -> None:
+    """Write a small file so that it takes its place at once."""
+    with open(f"{path}.{uuid.uuid4().hex}", "w", encoding="ascii") as f:
+        f.write(text)
+    os.replace(f.name, path)
 
 
 def write_binary(edges: DataFrame, n: int, folder: str, label: str, vertices: int = 1 << 20) -> None:
-    """Write the binary layout in parts of so many vertices, each by one task; folder is one that all executors share."""
-    folder = local_path(folder)
-    os.makedirs(folder, exist_ok=True)
-    at = os.path.join(folder, label)
+    """Write the binary layout in parts of so many vertices, each by one task, in place of what the label had before.
+
+    folder is one that all executors share.
+    """
+    spark = edges.sparkSession
+    os.makedirs(local_path(folder), exist_ok=True)
     first = lambda c: (F.floor(c / F.lit(vertices)) * vertices).cast("long").alias("first")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     # the last of the n + 1 pointers goes to the last vertex's part
-    pointers = out_ptr(edges, n).select(first(F.least(F.col("src"), F.lit(max(n - 1, 0)))), "src", "ptr")
-    _write_parts(pointers, at, {"ptr": ("outPtr", "<u4")}, ["src"])
-    placed = csr_edges(edges).select(first(F.col("src")), "src", "pos", "dst", "w")
-    _write_parts(placed, at, {"dst": ("outEdges", "<u4"), "w": ("outWEdges", "<f8")}, ["src", "pos"])
-    with open(f"{at}.attribute", "w", encoding="ascii") as f:
-        f.write(f"n {n}\nm {edges.count()}\n")
+    pointers = out_ptr(edges, n).select(first(F.least(F.col("src"), F.lit(max(n - 1, 0)))), F.lit(0).alias("kind"), "src", F.lit(0).cast("long").alias("pos"), "ptr", *none("long", "dst"), *none("double", "w"))
+    placed = csr_edges(edges).select(first(F.col("src")), F.lit(1).alias("kind"), "src", F.col("pos").cast("long").alias("pos"), *none("long", "ptr"), "dst", "w")
+    rows = pointers.unionByName(placed).repartition("first").sortWithinPartitions("first", "kind", "src", "pos")
+    spark.dataSource.register(CsrDataSource)
+    rows.write.format("csr_graph").mode("overwrite").option("label", label).option("n", n).save(folder)
 
 
 class CsrRange(InputPartition):
@@ -127,10 +181,12 @@ class CsrReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         with open(f"{self.at}.attribute", encoding="ascii") as f:
             n = int(dict(line.split() for line in f if line.strip())["n"])
-        if os.path.isdir(f"{self.at}.outPtr"):
-            parts = sorted(p for p in os.listdir(f"{self.at}.outPtr") if p.startswith("part-"))
-            ends = [int(p[5:]) for p in parts[1:]] + [n]
-            return [CsrRange(int(p[5:]), end, p) for p, end in zip(parts, ends, strict=True)] or [CsrRange(0, 0)]
+        if os.path.exists(f"{self.at}.parts"):
+            with open(f"{self.at}.parts", encoding="ascii") as f:
+                written = json.load(f)
+            parts, n = written["parts"], written["n"]
+            ends = [p[0] for p in parts[1:]] + [n]
+            return [CsrRange(first, end, part_name(first, mark)) for (first, mark), end in zip(parts, ends, strict=True)] or [CsrRange(0, 0)]
         return [CsrRange(k, min(k + self.step, n)) for k in range(0, n, self.step)] or [CsrRange(0, 0)]
 
     def read(self, partition: CsrRange) -> Iterator[pa.RecordBatch]:
@@ -141,8 +197,6 @@ class CsrReader(DataSourceReader):
         with open(path("outPtr"), "rb") as f:
             f.seek(0 if partition.part else 4 * partition.begin)
             ptr = np.frombuffer(f.read(4 * (many + 1)), dtype="<u4").astype(np.int64)
-        if partition.part and not os.path.exists(path("outEdges")):
-            return
         if len(ptr) == many:
             # a part ends where its edges end
             ptr = np.append(ptr, ptr[0] + os.path.getsize(path("outEdges")) // 4)
@@ -173,6 +227,9 @@ class CsrDataSource(DataSource):
     def schema(self) -> str:
         return "src long, pos int, dst long, w double"
 
+    def writer(self, schema: object, overwrite: bool) -> CsrWriter:
+        return CsrWriter(dict(self.options), overwrite)
+
     def reader(self, schema: object) -> DataSourceReader:
         return CsrReader(dict(self.options))
 
