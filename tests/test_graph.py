@@ -438,10 +438,20 @@ def test_stream(spark, edges, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_stream_query_takes_a_batch_for_each_file(spark):
-    after = catalog.queries()["update_stream"](spark, DATA)
-    # one commit for the file of deletes, one for that of inserts
-    assert after.count() > 0 and {f.split("version=")[1].split("/")[0] for f in after.inputFiles() if "version=" in f} == {"1", "2"}
+def test_stream_query_takes_a_batch_for_each_file(spark, monkeypatch):
+    taken, update = [], stored.update
+    monkeypatch.setattr(stored, "update", lambda *args: taken.append(args[3]) or update(*args))
+    assert catalog.queries()["update_stream"](spark, DATA).count() > 0
+    assert taken == [{"batch": 0}, {"batch": 1}]
+
+
+def test_all_eps_in_one_run(edges, asked):
+    g = edges(MIXED4)
+    for run in (walks.prefix_walk, walks.alias_walk, push.sampled_push):
+        both = run(g, asked(0, 1), [40, 7], 2).collect()
+        for k, n in enumerate((40, 7)):
+            alone = {(r.query_id, r.node): r.p for r in run(g, asked(0, 1), n, 2).collect()}
+            assert {(r.query_id, r.node): r.p for r in both if r.eps_idx == k} == pytest.approx(alone)
 
 
 def test_empty_graph(edges, asked):

@@ -420,7 +420,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return about.join(counts, ["src", "bucket"], "full").select("src", "bucket", "cnt", "least", "most", "places", "total")
 
 
-# ---- logs and reports: their numbers are made of the tables
+# ---- logs and reports: the errors are those of runs of the engine, update logs are made of the tables
 
 
 @query(
@@ -448,31 +448,94 @@ def _(spark: SparkSession, d: str) -> DataFrame:
       SELECT m.label, m.algo, round(m.seconds, 9) AS seconds, round(m.seconds - b.seconds, 9) AS overhead, round(m.memory, 9) AS memory, round(m.memory - b.memory, 9) AS memory_overhead FROM m JOIN m b ON m.label = b.label AND b.algo = 'plain'""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
+    return _overheads(spark, d).select("label", "algo", *map(rounded, ("seconds", "overhead", "memory", "memory_overhead")))
+
+
+def _overheads(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % 3 + 1).cast("int"))
     k = F.col("s_suppkey")
     values = derived.table(spark, d, "supplier").select(
         F.col("s_nationkey").cast("string").alias("label"), pick(("plain", "alias", "push"), k).alias("algo"),
         pick(("delete", "insert", "memory"), F.floor(k / 3)).alias("kind"), k.cast("double").alias("value"),
     )
-    return updates.update_overhead(values, "plain").select("label", "algo", *map(rounded, ("seconds", "overhead", "memory", "memory_overhead")))
+    return updates.update_overhead(values, "plain")
+
+
+#: The runs of the reports: walks and pushes of several eps, each answered by one run of the least.
+RUN_EPS, RUN_LENGTH, RUN_US = [0.1, 0.04, 0.02], 3, [0, 3]
+RUN_WALKS, RUN_SAMPLES = [columns.walk_count(e) for e in RUN_EPS], [columns.push_samples(e, RUN_LENGTH) for e in RUN_EPS]
+#: Queries of one run are numbered by algorithm, eps and source.
+_RUN = lambda algo, eps, q: f"{algo} * 100 + {eps} * 10 + {q}"
+
+
+def _run_sql() -> str:
+    """CTEs: answer and truth of all runs, and r, a row of costs and errors for each algorithm and eps."""
+    walked = sql.prefix_walk(RUN_US, max(RUN_WALKS), RUN_LENGTH, with_queries=False).rsplit(",\nanswer AS", 1)[0]
+    pushed = sql.sampled_push(RUN_US, max(RUN_SAMPLES), RUN_LENGTH, with_queries=False).rsplit(",\nanswer AS", 1)[0]
+    own = [f"SELECT {_RUN(0, k, 'query_id')} AS query_id, node, count(*) / CAST({n} AS DOUBLE) AS p FROM w{RUN_LENGTH} WHERE walk < {n} GROUP BY query_id, node" for k, n in enumerate(RUN_WALKS)]
+    own += [f"SELECT {_RUN(1, k, 'query_id')} AS query_id, node, sum(p) / CAST({n} AS DOUBLE) AS p FROM p{RUN_LENGTH} WHERE sample < {n} GROUP BY query_id, node" for k, n in enumerate(RUN_SAMPLES)]
+    true = " UNION ALL ".join(f"SELECT {_RUN(a, k, 'query_id')} AS query_id, node, p FROM exact" for a in (0, 1) for k in range(len(RUN_EPS)))
+    return f"""{sql.graph('transitions', 'positions', 'prefix', 'matrix', 'buckets', 'totals')},
+{sql.power(RUN_US, RUN_LENGTH, at='exact')},
+{walked},
+{pushed},
+answer AS ({' UNION ALL '.join(own)}),
+truth AS ({true}),
+{sql.METRICS},
+met AS (SELECT l1.query_id, l1, precision, conductance, max_ae, reached FROM l1 JOIN ae USING (query_id) JOIN precise USING (query_id) JOIN conduct USING (query_id) JOIN (SELECT query_id, count(*) AS reached FROM answer GROUP BY query_id) USING (query_id)),
+r AS (SELECT ['prefix', 'push'][query_id // 100 + 1] AS algo, 'transitions' AS label, {RUN_LENGTH} AS "L", CAST(query_id // 10 % 10 AS INTEGER) AS eps_idx, avg(reached) AS avg_sec,
+  round(avg(l1), 9) AS l1, round(avg(precision), 9) AS precision, round(avg(conductance), 9) AS conductance, round(avg(max_ae), 9) AS max_ae FROM met GROUP BY ALL)"""
+
+
+_REPORTS = _run_sql()
+
+
+def _answers_by_eps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The answers and truths of all runs, by numbered queries, and the graph."""
+    edges, asked = materialize(derived.transitions(spark, d), "graph"), sources(spark, RUN_US)
+    number = lambda algo: (F.lit(100 * algo) + F.col("eps_idx") * 10 + F.col("query_id")).cast("long").alias("query_id")
+    walked = walks.prefix_walk(edges, asked, RUN_WALKS, RUN_LENGTH).select(number(0), "node", "p")
+    pushed = push.sampled_push(edges, asked, RUN_SAMPLES, RUN_LENGTH).select(number(1), "node", "p")
+    runs = F.explode(F.array(*[F.lit(100 * a + 10 * k) for a in (0, 1) for k in range(len(RUN_EPS))])).alias("run")
+    truth = exact.power_method(edges, asked, RUN_LENGTH).select("query_id", "node", "p", runs)
+    truth = truth.select((F.col("query_id") + F.col("run")).cast("long").alias("query_id"), "node", "p")
+    return materialize(walked.unionByName(pushed), "answers"), materialize(truth, "truths"), edges
 
 
-_REPORTS = """WITH r AS (SELECT event_type AS algo, 'events' AS label, 5 AS "L", CAST(user_id % 8 AS INTEGER) AS eps_idx, CAST(count(*) AS DOUBLE) AS avg_sec,
-    CAST(min(user_id) AS DOUBLE) AS precision, CAST(max(user_id) AS DOUBLE) AS conductance, CAST(count(DISTINCT user_id) AS DOUBLE) AS max_ae FROM events GROUP BY ALL)"""
+def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Costs (the mean number of nodes that a run reaches, in place of seconds) and errors of walks and pushes, by algorithm and eps."""
+    answer, truth, edges = _answers_by_eps(spark, d)
+    met = metrics.by_query(answer, truth, edges, _size(edges)).join(answers.reached_count(answer), "query_id")
+    algo = F.element_at(F.array(F.lit("prefix"), F.lit("push")), (F.floor(F.col("query_id") / 100) + 1).cast("int"))
+    key = [algo.alias("algo"), F.lit("transitions").alias("label"), F.lit(RUN_LENGTH).alias("L"), (F.floor(F.col("query_id") / 10) % 10).cast("int").alias("eps_idx")]
+    found = met.groupBy(*key).agg(F.avg("reached").alias("avg_sec"), *[F.round(F.avg(c), DECIMALS).alias(c) for c in ("l1", "precision", "conductance", "max_ae")])
+    found, at = materialize(found, "reports"), ["algo", "label", "L", "eps_idx"]
+    return found.select(*at, "avg_sec"), found.select(*at, "l1", "precision", "conductance", "max_ae")
 
 
-def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Run times and errors of made-up runs."""
-    key = [F.col("event_type").alias("algo"), F.lit("events").alias("label"), F.lit(5).alias("L"), (F.col("user_id") % 8).cast("int").alias("eps_idx")]
-    values = {"avg_sec": F.count("*"), "precision": F.min("user_id"), "conductance": F.max("user_id"), "max_ae": F.countDistinct("user_id")}
-    found = derived.table(spark, d, "events").groupBy(*key).agg(*[v.cast("double").alias(c) for c, v in values.items()])
-    at = ["algo", "label", "L", "eps_idx"]
-    return found.select(*at, "avg_sec"), found.select(*at, "precision", "conductance", "max_ae")
+@query(
+    "overhead_dumps",
+    """WITH v AS (SELECT CAST(s_nationkey AS VARCHAR) AS label, ['plain', 'alias', 'push'][s_suppkey % 3 + 1] AS algo, ['delete', 'insert', 'memory'][(s_suppkey // 3) % 3 + 1] AS kind, CAST(s_suppkey AS DOUBLE) AS value FROM supplier),
+      m AS (SELECT label, algo, avg(value) FILTER (kind <> 'memory') AS seconds, avg(value) FILTER (kind = 'memory') AS memory FROM v GROUP BY label, algo),
+      o AS (SELECT m.label, m.algo, m.seconds, m.seconds - b.seconds AS overhead, m.memory, m.memory - b.memory AS memory_overhead FROM m JOIN m b ON m.label = b.label AND b.algo = 'plain'),
+      u AS (SELECT label, algo, 'time' AS measure, seconds AS v FROM o UNION ALL SELECT label, algo, 'time_overhead', overhead FROM o UNION ALL SELECT label, algo, 'memory', memory FROM o UNION ALL SELECT label, algo, 'memory_overhead', memory_overhead FROM o)
+      SELECT measure, label || ':[' || string_agg(coalesce(printf('%.9f', v), 'nan'), ', ' ORDER BY algo) || ']' AS value FROM u GROUP BY measure, label""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "dumps")
+    files.write_dumps(_overheads(spark, d), path)
+    return spark.read.text(path).select("measure", "value")
+
+
+@query("answers_by_eps", f"{_REPORTS} SELECT query_id, node, round(p, 9) AS p FROM answer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of all values of eps, from one run of each algorithm."""
+    return _answers_by_eps(spark, d)[0].select("query_id", "node", rounded("p"))
 
 
-@query("report_append", f"{_REPORTS} SELECT algo, eps_idx, precision, conductance, max_ae FROM r")
+@query("report_append", f"{_REPORTS} SELECT algo, eps_idx, l1, precision, conductance, max_ae FROM r")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path, errors = new_path(spark, "reports"), _reports(spark, d)[1].select("algo", "eps_idx", "precision", "conductance", "max_ae")
+    path, errors = new_path(spark, "reports"), _reports(spark, d)[1].select("algo", "eps_idx", "l1", "precision", "conductance", "max_ae")
     for even in (0, 1):
         files.append_report(errors.filter(F.col("eps_idx") % 2 == even), path)
     return files.read_report(spark, path, errors.schema)

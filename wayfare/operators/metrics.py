@@ -89,12 +89,16 @@ def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
     return answer.select("query_id").distinct().join(phi, "query_id", "left").select("query_id", F.least(F.lit(1.0), F.coalesce("phi", F.lit(1.0))).alias("conductance"))
 
 
-def report(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50) -> DataFrame:
-    """l1, precision, conductance and max_ae, each averaged over queries."""
-    by_query = (
+def by_query(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50) -> DataFrame:
+    """query_id, l1, precision, conductance and max_ae."""
+    return (
         l1_error(answer, truth)
         .join(precision_at_k(answer, truth, n, k), "query_id")
         .join(conductance(answer, edges), "query_id")
         .join(max_additive_error(answer, truth).select("query_id", "max_ae"), "query_id")
     )
-    return by_query.agg(*[F.avg(c).alias(c) for c in ("l1", "precision", "conductance", "max_ae")])
+
+
+def report(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50) -> DataFrame:
+    """l1, precision, conductance and max_ae, each averaged over queries."""
+    return by_query(answer, truth, edges, n, k).agg(*[F.avg(c).alias(c) for c in ("l1", "precision", "conductance", "max_ae")])

@@ -90,18 +90,29 @@ def offers(state: DataFrame, buckets: Lookup, located: Lookup, seed: str, level:
     return found.select("query_id", "sample", "dst", mass.alias("mass")).filter("mass is not null")
 
 
-def levels(queries: DataFrame, samples: int, length: int, buckets: Lookup, located: Lookup, seed: str, cut_every: int) -> DataFrame:
+def finish_nested(masses: DataFrame, counts: list[int]) -> DataFrame:
+    """answers (eps_idx, query_id, node, p) of several numbers of samples at once, the k-th of the first counts[k] samples of masses."""
+    added = [F.sum(F.when(F.col("sample") < n, F.col("mass"))).alias(f"__{k}") for k, n in enumerate(counts)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("eps_idx"), (F.col(f"__{k}") / F.lit(float(max(n, 1)))).alias("p")) for k, n in enumerate(counts)]))
+    found = masses.groupBy("query_id", F.col("dst").alias("node")).agg(*added).select("query_id", "node", each.alias("e"))
+    return found.select("e.eps_idx", "query_id", "node", "e.p").filter("p is not null")
+
+
+def levels(queries: DataFrame, samples: int | list[int], length: int, buckets: Lookup, located: Lookup, seed: str, cut_every: int) -> DataFrame:
     """answer (query_id, node, p): the mean over samples of the mass at each node after `length` levels.
 
-    The last level is not summed by sample first: its masses go straight into the mean.
+    The last level is not summed by sample first: its masses go straight into the mean.  Several numbers of samples give
+    several answers, from the samples of the greatest.
     """
-    state = start(queries, samples)
+    state = start(queries, samples if isinstance(samples, int) else max(samples))
     for level in range(1, length):
         moved = offers(state, buckets, located, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node"))
         state = moved.agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
         if level % cut_every == 0:
             state = materialize(state, "push")
-    last = offers(state, buckets, located, seed, length) if length else state.select("query_id", F.col("node").alias("dst"), F.col("p").alias("mass"))
+    last = offers(state, buckets, located, seed, length) if length else state.select("query_id", "sample", F.col("node").alias("dst"), F.col("p").alias("mass"))
+    if not isinstance(samples, int):
+        return finish_nested(last, samples)
     return last.groupBy("query_id", F.col("dst").alias("node")).agg((F.sum("mass") / F.lit(float(max(samples, 1)))).alias("p"))
 
 
@@ -110,7 +121,7 @@ def lookups(totals: DataFrame, index: DataFrame) -> tuple[Lookup, Lookup]:
     return lambda rows: rows.join(totals, "src"), lambda rows: rows.join(index, ["src", "bucket", "bpos"])
 
 
-def sampled_push(edges: DataFrame, queries: DataFrame, samples: int, length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
+def sampled_push(edges: DataFrame, queries: DataFrame, samples: int | list[int], length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
     """answer (query_id, node, p) of a sampled push over edges.
 
     Totals and index are written once, in buckets by what they are joined on, so that a level moves the state and the

@@ -54,6 +54,18 @@ def finish(state: DataFrame, walks: int) -> DataFrame:
     return counted.withColumn("p", F.col("cnt") / F.lit(float(walks)))
 
 
+def finish_nested(state: DataFrame, counts: list[int]) -> DataFrame:
+    """answers (eps_idx, query_id, node, cnt, p) of several numbers of walks at once: the k-th counts the first counts[k] walks of state.
+
+    A walk's number says in which it counts, so all answers come from one run of the greatest number, and each is what a
+    run of its own would give.  Rows are added up once, whatever the number of answers.
+    """
+    added = [F.count_if(F.col("walk") < n).alias(f"__{k}") for k, n in enumerate(counts)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("eps_idx"), F.col(f"__{k}").alias("cnt"), F.lit(float(n)).alias("n")) for k, n in enumerate(counts)]))
+    found = state.groupBy("query_id", "node").agg(*added).select("query_id", "node", each.alias("e")).filter("e.cnt > 0")
+    return found.select("e.eps_idx", "query_id", "node", "e.cnt", (F.col("e.cnt") / F.col("e.n")).alias("p"))
+
+
 def _draw(seed: str, step: int, number: int) -> Column:
     return rng(seed, F.col("query_id"), F.col("walk"), step, number)
 
@@ -62,17 +74,18 @@ def _draw(seed: str, step: int, number: int) -> Column:
 Step = Callable[[DataFrame, int], DataFrame]
 
 
-def _walk(queries: DataFrame, nodes: DataFrame, walks: int, length: int, step: Step, dangling: str, cut_every: int = 8) -> DataFrame:
+def _walk(queries: DataFrame, nodes: DataFrame, walks: int | list[int], length: int, step: Step, dangling: str, cut_every: int = 8) -> DataFrame:
+    """The answer of so many walks; the answers of several numbers of walks, from the walks of the greatest."""
     if dangling not in ("drop", "stay"):
         raise ValueError(f"unknown policy {dangling}")
-    state = start(queries, nodes, walks)
+    state = start(queries, nodes, walks if isinstance(walks, int) else max(walks))
     for k in range(1, length + 1):
         moves = step(state.filter("deg is not null"), k)
         moved = moves.select("query_id", "walk", F.col("to").alias("node"), *[F.col(f"to_{c}").alias(c) for c in ABOUT])
         if dangling == "stay":
             moved = moved.unionByName(state.join(moves.select("query_id", "walk"), ["query_id", "walk"], "left_anti"))
         state = materialize(moved, "walks") if k % cut_every == 0 and k < length else moved
-    return finish(state, walks)
+    return finish(state, walks) if isinstance(walks, int) else finish_nested(state, walks)
 
 
 def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFrame:
@@ -83,7 +96,7 @@ def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFr
     return met.select("query_id", "walk", "to", "to_deg", "to_total")
 
 
-def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "prefix", dangling: str = "drop") -> DataFrame:
+def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str = "prefix", dangling: str = "drop") -> DataFrame:
     """Walks that draw by prefix sums of weights."""
     edges = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = materialize(about(edges), "nodes")
@@ -100,7 +113,7 @@ def alias_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFra
     return met.select("query_id", "walk", *[F.when(own, F.col(f"own{c}")).otherwise(F.col(f"other{c}")).alias(f"to{c}") for c in ("", "_deg", "_total")])
 
 
-def alias_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "alias", dangling: str = "drop") -> DataFrame:
+def alias_walk(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str = "alias", dangling: str = "drop") -> DataFrame:
     """Walks that draw by alias slots."""
     edges = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = materialize(about(edges), "nodes")
@@ -153,7 +166,7 @@ def least_acceptance(edges: DataFrame) -> DataFrame:
     return mean.agg(F.min("a").alias("acceptance"))
 
 
-def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int, length: int, seed: str = "reject", dangling: str = "drop", attempts: int = 8) -> DataFrame:
+def rejection_walk(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str = "reject", dangling: str = "drop", attempts: int = 8) -> DataFrame:
     """Walks that draw uniform neighbours and accept them by weight, each step until one is accepted.
 
     `attempts` is how many neighbours the first round of a step tries for each walk; the answer doesn't depend on it.

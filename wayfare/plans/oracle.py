@@ -108,9 +108,10 @@ def rejection_walk(sources: list[int], walks: int, length: int, seed: str = "rej
     return ",\n".join([*out, f"answer AS (SELECT query_id, node, count(*) AS cnt, count(*) / CAST({walks} AS DOUBLE) AS p FROM w{length} GROUP BY query_id, node)"])
 
 
-def sampled_push(sources: list[int], samples: int, length: int, seed: str = "push") -> str:
+def sampled_push(sources: list[int], samples: int, length: int, seed: str = "push", with_queries: bool = True) -> str:
     """CTEs over buckets and totals; the last one, answer, is (query_id, node, p)."""
-    out = [queries(sources), f"p0 AS (SELECT query_id, range AS sample, u AS node, CAST(1 AS DOUBLE) AS p FROM q, range({samples}))"]
+    out = [queries(sources)] if with_queries else []
+    out.append(f"p0 AS (SELECT query_id, range AS sample, u AS node, CAST(1 AS DOUBLE) AS p FROM q, range({samples}))")
     one = "CAST(1 AS DOUBLE)"
     for k in range(1, length + 1):
         skip = lambda i: f"CAST(floor(ln({one} - {rng(repr(seed), 'query_id', 'sample', k, 'src', 'bucket', i)}) / ln({one} - q)) AS BIGINT)"  # noqa: B023, E731

@@ -96,6 +96,23 @@ def read_answer_text(spark: SparkSession, path: str) -> DataFrame:
     return found.filter("p > 0")
 
 
+#: The dumps of an update report, and the column of update_overhead that each has.
+DUMPS = {"time": "seconds", "time_overhead": "overhead", "memory": "memory", "memory_overhead": "memory_overhead"}
+
+
+def write_dumps(overheads: DataFrame, path: str) -> None:
+    """overheads (label, algo, seconds, overhead, memory, memory_overhead) as text, a folder measure=... for each dump of DUMPS.
+
+    A line is `label:[v, v, ...]`, the values in order of the algorithms' names, with nine decimals; one that is
+    missing is nan.
+    """
+    measures = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(c).alias("v")) for name, c in DUMPS.items()]))
+    each = overheads.select("label", "algo", measures.alias("m")).select("label", "algo", "m.measure", F.when(F.col("m.v").isNotNull(), F.format_string("%.9f", "m.v")).otherwise("nan").alias("v"))
+    lines = each.groupBy("measure", "label").agg(F.array_sort(F.collect_list(F.struct("algo", "v"))).alias("all"))
+    line = F.concat(F.col("label"), F.lit(":["), F.array_join(F.transform("all", lambda x: x.v), ", "), F.lit("]")).alias("value")
+    lines.select("measure", line).write.mode("append").partitionBy("measure").text(path)
+
+
 def append_report(report: DataFrame, path: str) -> None:
     """Append rows of metrics or run times to a CSV folder."""
     report.write.mode("append").option("header", True).csv(path)
