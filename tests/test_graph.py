@@ -322,12 +322,22 @@ def test_updates_of_the_references_number_of_edges(spark):
 
 def test_queries_by_degree(edges):
     g = edges(MIXED4)
-    flat = csr.csr_edges(g).join(csr.out_ptr(g, 4), "src").select((F.col("ptr") + F.col("pos")).alias("idx"), "src")
-    got = Counter(r.u for r in updates.generate_queries(flat, 7, 700).collect())
+    got = Counter(r.u for r in updates.generate_queries(g, 700).collect())
     assert sum(got.values()) == 700 and set(got) == {0, 1, 2} and abs(got[0] - 300) < 80
     assert [r.u for r in updates.max_queries(g, 2).orderBy("query_id").collect()] == [0, 1]
 
 
+def test_many_draws_by_degree(spark):
+    deg = {s: 1 + (s * 7) % 40 for s in range(300)}
+    g = spark.createDataFrame([(s * 10**12, d, 1.0) for s, n in deg.items() for d in range(n)], "src long, dst long, w double")
+    many, m = 100_000, sum(deg.values())
+    found = updates.generate_queries(g, many)
+    got = {r.u: r.n for r in found.groupBy("u").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == many and found.select("query_id").distinct().count() == many
+    assert sum((got.get(s * 10**12, 0) - many * n / m) ** 2 / (many * n / m) for s, n in deg.items()) < 300 + 6 * math.sqrt(600)
+    assert updates.generate_queries(g.limit(0), 5).count() == 0
+
+
 def test_csr(spark, edges, tmp_path):
     g = edges(MIXED4)
     assert [r.ptr for r in csr.out_ptr(g, 4).orderBy("src").collect()] == [0, 3, 5, 7, 7]

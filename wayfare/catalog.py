@@ -277,10 +277,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("query_generate", f"{sql.graph('nation_trade')}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS idx, src FROM g), n AS (SELECT CAST(range AS BIGINT) AS query_id FROM range(50)) SELECT query_id, src AS u FROM n JOIN e ON e.idx = CAST(floor({sql.rng(repr('queries'), 'query_id')} * (SELECT count(*) FROM g)) AS BIGINT)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    edges, n = _nations(spark, d)
-    ptr = csr.out_ptr(edges, n)
-    flat = csr.csr_edges(edges).join(ptr, "src").select((F.col("ptr") + F.col("pos")).alias("idx"), "src")
-    return updates.generate_queries(flat, edges.count(), 50)
+    return updates.generate_queries(_nations(spark, d)[0], 50)
 
 
 @query("max_queries", sql.graph("copurchase") + ", d AS (SELECT src, count(*) AS deg FROM g GROUP BY src) SELECT row_number() OVER (ORDER BY deg DESC, src) - 1 AS query_id, src AS u, deg FROM d QUALIFY query_id < 50")

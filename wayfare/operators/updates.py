@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import rng
+from wayfare.operators.indexes import cell
+from wayfare.plans.ordered import in_ranges, spread
+from wayfare.plans.storage import materialize
 
 
 class MissingEdges(ValueError):
@@ -77,14 +80,37 @@ def generate_ops(edges: DataFrame, num: int, seed: str = "ops") -> DataFrame:
     return chosen.select((F.row_number().over(W.orderBy("r", "src", "dst")) - 1).cast("long").alias("seq"), "src", "dst", "w")
 
 
-def generate_queries(flat: DataFrame, m: int, num: int, seed: str = "queries") -> DataFrame:
+def generate_queries(edges: DataFrame, num: int, seed: str = "queries") -> DataFrame:
     """query_id, u: num sources drawn by out-degree, with replacement: the sources of uniform edges.
 
-    flat has one row for each edge with its global place: idx from 0 to m - 1, src.
+    A draw is a place among all edges in order of source.  It falls into a range of sources by the ranges' totals, then
+    to a source by the sources' running degrees inside the range.  Both are found by equal cells: what owns a stretch of
+    places is listed in the cells that it reaches into, at most twice as many as there are owners, and a draw looks
+    into its own.  No edge is numbered, and draws move to the sources that they fall to.
     """
-    draws = flat.sparkSession.range(num).select(F.col("id").alias("query_id"))
-    draws = draws.withColumn("idx", F.floor(rng(seed, F.col("query_id")) * m))
-    return flat.join(F.broadcast(draws), "idx").select("query_id", F.col("src").alias("u"))
+    degree = in_ranges(edges.groupBy("src").agg(F.count("*").alias("deg")), [F.col("src")], "degrees")
+    totals = degree.groupBy("__range").agg(F.sum("deg").alias("size"), F.count("*").alias("owners"))
+    upper = F.sum("size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0))
+    totals = materialize(totals.select("__range", "owners", upper.alias("hi"), (upper - F.col("size")).alias("lo")), "range-totals")
+    whole = totals.agg(F.max("hi").alias("m"), F.count("*").alias("n")).first()
+    if not whole.m:
+        return edges.sparkSession.range(0).select(F.col("id").alias("query_id"), F.col("id").alias("u"))
+    ranges = _guided(totals, F.lit(whole.m), F.lit(whole.n), "cell")
+    draws = edges.sparkSession.range(num).select(F.col("id").alias("query_id"), F.floor(rng(seed, F.col("id")) * whole.m).alias("at"))
+    draws = draws.withColumn("cell", cell(F.col("at"), F.lit(whole.m), F.lit(whole.n))).join(ranges, "cell").filter("at >= lo and at < hi")
+    size = F.col("size")
+    draws = draws.select("query_id", "__range", (F.col("at") - F.col("lo")).alias("at"), (F.col("hi") - F.col("lo")).alias("size"), "owners").withColumn("cell", cell(F.col("at"), size, F.col("owners")))
+    run = W.partitionBy("__range").orderBy("src").rowsBetween(W.unboundedPreceding, 0)
+    sources = degree.withColumn("hi", F.sum("deg").over(run)).withColumn("lo", F.col("hi") - F.col("deg"))
+    sources = sources.join(totals.select("__range", "owners", (F.col("hi") - F.col("lo")).alias("size")), "__range")
+    owners = _guided(sources, size, F.col("owners"), "cell").select("__range", "cell", "src", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    met = draws.join(owners, ["__range", "cell"]).filter("at >= __lo and at < __hi")
+    return met.select("query_id", F.col("src").alias("u"))
+
+
+def _guided(owners: DataFrame, whole: Column, many: Column, name: str) -> DataFrame:
+    """owners (lo, hi, ...) in each of `many` equal cells of [0, whole) that they reach into."""
+    return spread(owners, cell(F.col("lo"), whole, many), cell(F.col("hi"), whole, many), name)
 
 
 def max_queries(edges: DataFrame, num: int) -> DataFrame:
