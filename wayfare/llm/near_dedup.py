@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -243,7 +243,8 @@ def components(links: DataFrame) -> DataFrame:
     """For each node of links (a, b): node and component, the smallest node that it is connected with.
 
     By alternating large and small stars: every node's neighbours, or its smaller ones, are linked with the smallest
-    of them, until nothing changes.  Each step is an aggregation by node and a join, and is written down.
+    of them, until nothing changes.  Each star is an aggregation by node and a join, and is written down, so no plan
+    holds more than one of them; how many links there are, and what their hashes come to, is observed on the way.
     """
 
     def star(links: DataFrame, large: bool) -> DataFrame:
@@ -251,14 +252,16 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         met = both.join(least, "a")
         if large:
-            return met.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            return met.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
 
     found = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        found = materialize(star(star(found, True), False), "stars")
-        now = found.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        state = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes")]
+        found = materialize(star(materialize(star(found, True), "large-stars"), False).observe(seen, *state), "stars")
+        now = seen.get
         if now == before:
             break
         before = now
