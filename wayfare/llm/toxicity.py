@@ -147,7 +147,7 @@ def label_posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = 200, n
         correlation[-1] = correlation[:, -1] = 0.0
         own = 1.0 / (1.0 + correlation.sum(axis=1))
         spoken, silent = own * np.log(rate[1] / rate[0]), own * np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.clip(math.log(share / (1 - share)) + seen @ spoken + (1 - seen) @ silent, -30, 30)
+        logit = np.clip(math.log(share / (1 - share)) + seen @ (spoken - silent) + silent.sum(), -30, 30)
         new = np.clip(1 / (1 + np.exp(-logit)), 1e-6, 1 - 1e-6)
         moved, post = np.abs(new - post).max(), new
         if moved < 1e-6:
@@ -164,7 +164,10 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds:
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (target - p) - ridge * weights
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), slope)
+        curve = p * (1 - p) + 1e-9
+        # a slice of rows at a time, so no second copy of x is made
+        hessian = sum((x[k : k + 1024].T * curve[k : k + 1024]) @ x[k : k + 1024] for k in range(0, len(x), 1024))
+        step = np.linalg.solve(hessian + np.diag(ridge), slope)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
@@ -208,18 +211,23 @@ def train(
     texts = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(one_text(texts.join(F.broadcast(chosen), "doc_id")), "labelled")
     model = Voters(induce(rows, voters, least))
-    size = model.n_votes + 2
     if not model.lexicon:
-        return ToxicityModel(model, np.concatenate([np.zeros(size), [-30.0]]))
+        return ToxicityModel(model, np.concatenate([np.zeros(model.n_votes + 2), [-30.0]]))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[bytes | None], tuple]:
-        return lambda text: (sent.value.features(text).tolist(),)
-
-    found = map_texts(rows, ["doc_id", "toxic"], "text", make, "x array<double>").orderBy("doc_id").toArrow()
-    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, size)
-    post, *_ = label_posteriors(x[:, : model.n_votes] > 0, found["toxic"].to_numpy())
-    return ToxicityModel(model, fit_linear(x, post))
+        def of_text(text: bytes | None) -> tuple:
+            found = sent.value.features(text)
+            return found[: model.n_votes].astype(np.uint8).tobytes(), found[model.n_votes :].tolist()
+
+        return of_text
+
+    # a vote is a byte, on its way and in the label model
+    found = map_texts(rows, ["doc_id", "toxic"], "text", make, "votes binary, dense array<double>").orderBy("doc_id").drop("doc_id").toArrow()
+    votes = np.frombuffer(b"".join(found["votes"].to_pylist()), dtype=np.uint8).reshape(-1, model.n_votes)
+    dense = found["dense"].combine_chunks().flatten().to_numpy().reshape(len(votes), -1)
+    post, *_ = label_posteriors(votes, found["toxic"].to_numpy())
+    return ToxicityModel(model, fit_linear(np.column_stack([votes, dense]), post))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
