@@ -70,7 +70,51 @@ NOTICE_TEMPLATES = (
     Template("mpl-2.0", 'subject to the terms of the Mozilla Public License<<var;name="version";match=".{0,1}">> 2.0'),
 )
 
-TEMPLATES = BASE_TEMPLATES + NOTICE_TEMPLATES
+#: Whole bodies of public licenses, with the regions that their users replace or leave out.
+BODY_TEMPLATES = (
+    Template(
+        "mit-body",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal '
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice"
+        "<<beginOptional>> (including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        'NONINFRINGEMENT. IN NO EVENT SHALL <<var;name="holder";match=".{1,12}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING '
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    Template(
+        "isc-body",
+        "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        'notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="owner";match=".{1,8}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        'INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="holder";match=".{1,8}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL '
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+        "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    Template(
+        "bsd-body",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "<<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "<<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        '<<beginOptional>><<beginOptional>>3. <<endOptional>>Neither the name of <<var;name="owner";match=".{1,12}">> nor the names of its contributors may be used to endorse or promote products '
+        "derived from this software without specific prior written permission.<<endOptional>> "
+        'THIS SOFTWARE IS PROVIDED BY <<var;name="provider";match=".{1,12}">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+        'AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="holder";match=".{1,12}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR '
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    Template(
+        "zlib-body",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;name=\"holder\";match=\".{1,3}\">> be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: <<beginOptional>>1. <<endOptional>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2. <<endOptional>>Altered source versions must be plainly "
+        "marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution.",
+    ),
+)
+
+TEMPLATES = BASE_TEMPLATES + NOTICE_TEMPLATES + BODY_TEMPLATES
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -219,7 +263,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_base counts the places of base templates, first_word and last_word are the smallest and largest of them
     (words from 0; null without any).  labels has those of all accepted templates.  score is m/(m+1) for the
     longest accepted template of m mandatory words, 0 where none is accepted.  Null and empty texts have no words
-    and no labels; repeated rows and null ids stay as they are; other columns of docs are not read.
+    and no labels; texts of any length are read whole; repeated rows and null ids stay as they are; an empty table gives
+    no rows; other columns of docs are not read.
     """
     return map_texts(
         docs, [id_col], text_col, lambda: scanner(templates),
