@@ -28,6 +28,9 @@ def rows(table, names):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, DATA).toArrow()
+    if name not in catalog.oracle_sql():
+        assert got.num_rows
+        return
     want = duck.sql(catalog.oracle_sql()[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got, sorted(want.column_names)) == rows(want, sorted(want.column_names))

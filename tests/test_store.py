@@ -4,11 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns
-from wayfare.operators import stored
+from wayfare.operators import counted, stored
 from wayfare.operators.updates import MissingEdges
 from wayfare.sources.store import Store
 
@@ -186,3 +187,32 @@ def test_empty_stores(spark, edges, asked, tmp_path):
     after = stored.update(store, edges([]), edges([(1, 2, 3)]))
     checked(after, [(1, 2, 3)])
     assert columns.push_samples(0.1, 5) == 20
+
+
+def test_points_below_bounds():
+    bounds = np.array([0.0, 0.1, 0.25, 0.7, 0.7000001, 1.0])
+    whole = counted.below(10**12, bounds, 7)
+    assert whole[0] == 0 and whole[-1] == 10**12 and (np.diff(whole) >= 0).all()
+    for n, at in zip(whole.tolist(), bounds.tolist(), strict=True):
+        assert abs(n - 10**12 * at) <= 6 * math.sqrt(10**12 * at * (1 - at)) + 1
+    # each bound by itself finds the same points
+    assert [int(counted.below(10**12, bounds[k : k + 1], 7)[0]) for k in range(6)] == whole.tolist()
+    assert counted.below(10**12, bounds, 8).tolist() != whole.tolist() and counted.below(0, bounds, 7).tolist() == [0] * 6
+    small = sum(counted.below(20, np.array([0.3]), k)[0] for k in range(2000))
+    assert abs(small - 12_000) <= 6 * math.sqrt(40_000 * 0.21)
+
+
+def test_walks_by_their_numbers(spark, edges, asked, graph, tmp_path):
+    n, length = 10**8, 3
+    store = stored.create(edges(graph), f"file://{tmp_path}/store", block=8)
+    gone = graph[:30]
+    store = stored.update(store, edges(gone), edges([(0, 1, 400)]))
+    rows = graph[30:] + [(0, 1, 400)]
+    got = {(r.query_id, r.node): r.cnt for r in counted.walk(store, asked(0, 5), n, length).collect()}
+    want = {(q, v): p for q, u in enumerate((0, 5)) for v, p in power(rows, u, length).items()}
+    assert set(got) <= set(want)
+    off = [(got.get(k, 0) - n * p) ** 2 / (n * p) for k, p in want.items()]
+    assert sum(off) < len(off) + 6 * math.sqrt(2 * len(off))
+    # few walks at a source of many blocks
+    few = [r.cnt for r in counted.walk(store, asked(0), 7, 1).collect()]
+    assert sum(few) == 7 and counted.walk(store, asked(0), 0, 1).count() == 0

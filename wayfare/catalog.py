@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns
-from wayfare.operators import answers, exact, indexes, metrics, push, stats, stored, updates, walks
+from wayfare.operators import answers, counted, exact, indexes, metrics, push, stats, stored, updates, walks
 from wayfare.plans import oracle as sql
 from wayfare.plans.storage import materialize, new_path
 from wayfare.sources import csr, derived, files
@@ -385,6 +385,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return stored.sampled_push(Store.open(spark, folder), sources(spark, [0, 1]), 200, 4).select("query_id", "node", rounded("p"))
 
 
+@query("store_counted_walk", None)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred million walks by their numbers; SQL has no binomial draws, so tests hold them against the exact distribution."""
+    return _answer(counted.walk(_updated_store(spark, d)[1], sources(spark, [0, 3]), 10**8, 3))
+
+
 @query("store_versions", f"{_UPDATED} SELECT 0 AS version, src, dst, w FROM g UNION ALL SELECT 1, src, dst, w FROM h UNION ALL SELECT 2, src, dst, w FROM h")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The graph before and after a batch, and after the store has been compacted."""
