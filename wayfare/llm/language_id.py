@@ -57,20 +57,20 @@ class Frequencies:
         total = np.bincount(self.lang, weights=self.n, minlength=langs) if len(order) else np.zeros(langs)
         self.whole = np.log(total + smoothing * (len(self.hashes) + 1))
 
-    def logs(self, wanted: list[str]) -> list[np.ndarray]:
-        """The log frequencies by language of those of wanted that were seen."""
-        if not len(self.hashes):
-            return []
-        h = np.array([hash_of(x) for x in wanted], dtype=np.uint64)
+    def logs(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of wanted were seen, as places in it, and their log frequencies by language."""
+        if not len(self.hashes) or not wanted:
+            return np.empty(0, dtype=np.int64), np.empty((0, len(self.whole)))
+        h = np.fromiter(map(hash_of, wanted), dtype=np.uint64, count=len(wanted))
         at = np.searchsorted(self.hashes, h)
-        at = at[self.hashes[np.minimum(at, len(self.hashes) - 1)] == h]
-        out = []
-        for k in at:
-            seen = np.full(len(self.whole), self.smoothing)
-            own = slice(self.begin[k], self.begin[k + 1])
-            seen[self.lang[own]] += self.n[own]
-            out.append(np.log(seen) - self.whole)
-        return out
+        known = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h)
+        # the entries of all that are known, one after the other
+        begin, size = self.begin[at[known]], self.begin[at[known] + 1] - self.begin[at[known]]
+        row = np.repeat(np.arange(len(known)), size)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        seen = np.full((len(known), len(self.whole)), self.smoothing)
+        seen[row, self.lang[entry]] += self.n[entry]
+        return known, np.log(seen) - self.whole
 
 
 def hash_of(x: str) -> int:
@@ -110,22 +110,41 @@ class LanguageModel:
         self._index: dict[str, int] = {}
         self._rows = np.zeros((1024, max(1, len(self.langs))))
 
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """The log frequency of each word in each language; zeros where not even its letters are known.
+
+        All words are looked up at once, then the n-grams of those that were not found, the longest first.
+        """
+        out = np.zeros((len(words), len(self.langs)))
+        left = list(range(len(words)))
+        for kind in (0, *LENGTHS):
+            if not left or kind not in self.tables:
+                continue
+            grams = [[words[k]] if kind == 0 else grams_of(words[k], kind) for k in left]
+            size = [len(g) for g in grams]
+            known, found = self.tables[kind].logs([x for g in grams for x in g])
+            of = np.repeat(np.arange(len(left)), size)[known]
+            times = np.bincount(of, minlength=len(left))
+            total = np.zeros((len(left), len(self.langs)))
+            np.add.at(total, of, found)
+            hit = times > 0
+            out[np.array(left)[hit]] = total[hit] / times[hit, None]
+            left = [k for k, h in zip(left, hit.tolist(), strict=True) if not h]
+        return out
+
     def word_score(self, word: str) -> np.ndarray:
-        """The log frequency of a word in each language; zeros if not even its letters are known."""
-        if 0 in self.tables and (found := self.tables[0].logs([word])):
-            return found[0]
-        for n in LENGTHS:
-            if n in self.tables and (found := self.tables[n].logs(grams_of(word, n))):
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
-    def _row_of(self, word: str) -> int:
-        if (k := self._index.get(word)) is None:
-            k = self._index[word] = len(self._index)
-            if k >= len(self._rows):
-                self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-            self._rows[k] = self.word_score(word)
-        return k
+        return self.word_scores([word])[0]
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The places of the words' scores in the memory; those that are not there yet are added, all at once."""
+        new = list(dict.fromkeys(w for w in words if w not in self._index))
+        if new:
+            begin = len(self._index)
+            if begin + len(new) > len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros((max(len(self._rows), len(new)), self._rows.shape[1]))])
+            self._rows[begin : begin + len(new)] = self.word_scores(new)
+            self._index.update(zip(new, range(begin, begin + len(new)), strict=True))
+        return np.fromiter(map(self._index.__getitem__, words), dtype=np.int64, count=len(words))
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         """The language of greatest posterior, the first in order of ties, and the posterior."""
@@ -134,7 +153,7 @@ class LanguageModel:
             return UNKNOWN, 0.0
         if len(self._index) > self.MEMORY:
             self._begin()
-        which, times = np.unique(np.fromiter(map(self._row_of, words), dtype=np.int64, count=len(words)), return_counts=True)
+        which, times = np.unique(self.rows_of(words), return_counts=True)
         total = times @ self._rows[which]
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
