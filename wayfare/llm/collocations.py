@@ -39,7 +39,7 @@ CELLS = 1 << 20
 #: Occurrences that a pivot's group has about, at most.
 MOST = 200_000
 #: Different words or fragments that a task holds before it passes them on.
-HELD = 200_000
+HELD = 400_000
 #: Shares of a language that are ranked by themselves first.
 SHARES = 64
 #: Fragments that are mined together, at least.
@@ -148,81 +148,131 @@ def spans(order: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.n
     return at, at - left[at], at + right[at] + 1
 
 
+#: What stands before a fragment's words: where its pivot is among them.
+_AT = [b"%d " % k for k in range(10)]
+
+
+def add_fragments(held: Counter, text: bytes | None, hashes: WordHashes, counts: np.ndarray, longest: int) -> None:
+    """Count the fragments of a text in held: eight bytes of the pivot's hash, where the pivot stands, the words."""
+    words = [w for w in words_of(text) if w]
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    often = np.where(h > 0, counts[cell_of(h, len(counts))], 0).astype(np.uint64)
+    # rarer words first, of equal sums by hash; 0 ends a fragment
+    order = np.where(often > 0, np.minimum(often, 0x7FFFFFFF) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), np.uint64(0))
+    at, begin, end = spans(order, longest)
+    plain, sizes = b" ".join(words), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    pivots = h.astype("<u8").tobytes()
+    found = zip((8 * at).tolist(), (at - begin).tolist(), (ends - sizes)[begin].tolist(), ends[end - 1].tolist(), strict=True)
+    held.update([pivots[p : p + 8] + _AT[k] + plain[i:j] for p, k, i, j in found])
+
+
+def by_pivot(held: Counter) -> tuple[np.ndarray, list[bytes], list[bytes], list[int]]:
+    """The fragments of held by pivot: its hash, a line for each fragment, how often each as 64-bit numbers, how many."""
+    keys = list(held)
+    pivots = np.frombuffer(b"".join([key[:8] for key in keys]), dtype="<u8")
+    order = np.argsort(pivots, kind="stable")
+    times = np.fromiter(held.values(), dtype="<i8", count=len(keys))[order]
+    first = np.flatnonzero(np.diff(pivots[order], prepend=~pivots[order[:1]]))
+    cuts = [*first.tolist(), len(keys)]
+    order = order.tolist()
+    lines, often = [], []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        lines.append(b"\n".join([keys[k][8:] for k in order[lo:hi]]))
+        often.append(times[lo:hi].tobytes())
+    return pivots[np.array(order, dtype=np.int64)[first]], lines, often, np.diff(cuts).tolist()
+
+
 def fragments(texts: DataFrame, table: Broadcast, longest: int = LONGEST) -> DataFrame:
-    """lang, pivot (a word's hash), parts (in how many groups the pivot is split), n_fragments and fragments of texts (lang, text).
+    """lang, pivot (a word's hash), parts (in how many groups the pivot is split), n_fragments, times and fragments of texts (lang, text).
 
-    fragments has a line for each different one that a task has met: how often, where its pivot stands, its words.
+    fragments has a line for each different one that a task has met: where its pivot stands, its words; times has how
+    often, as 64-bit numbers.
     """
-    names = ["lang", "pivot", "parts", "n_fragments", "fragments"]
+    names = ["lang", "pivot", "parts", "n_fragments", "times", "fragments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = table.value, ByLang()
-        held: dict[tuple[str, int], dict[bytes, int]] = {}
-        many = 0
+        counts, hashes, held = table.value, ByLang(), {}
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            pivots = np.array([h for _, h in held], dtype=np.uint64)
-            lines = [b"\n".join(b"%d %s" % (n, f) for f, n in own.items()) for own in held.values()]
-            columns = [
-                pa.array([lang for lang, _ in held], pa.string()), pa.array(pivots.view(np.int64)), pa.array(-(-counts[cell_of(pivots, len(counts))] // MOST)),
-                pa.array([len(own) for own in held.values()], pa.int64()), pa.array(lines, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lang, own in held.items():
+                if not own:
+                    continue
+                pivots, lines, times, many = by_pivot(own)
+                columns = [
+                    pa.array([lang] * len(pivots), pa.string()), pa.array(pivots.view(np.int64)), pa.array(-(-counts[cell_of(pivots, len(counts))] // MOST)),
+                    pa.array(many, pa.int64()), pa.array(times, pa.binary()), pa.array(lines, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
             held.clear()
 
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = [w for w in words_of(text.as_py()) if w]
-                h = np.fromiter(map(hashes[lang].__getitem__, words), dtype=np.uint64, count=len(words))
-                often = np.where(h > 0, counts[cell_of(h, len(counts))], 0).astype(np.uint64)
-                # rarer words first, of equal sums by hash; 0 ends a fragment
-                order = np.where(often > 0, np.minimum(often, 0x7FFFFFFF) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), np.uint64(0))
-                at, begin, end = spans(order, longest)
-                for pivot, i, j, k in zip(h[at].tolist(), begin.tolist(), end.tolist(), (at - begin).tolist(), strict=True):
-                    own = held.get((lang, pivot))
-                    if own is None:
-                        own = held[lang, pivot] = {}
-                    fragment = b"%d %s" % (k, b" ".join(words[i:j]))
-                    if fragment in own:
-                        own[fragment] += 1
-                    else:
-                        own[fragment] = 1
-                        many += 1
-                if many >= HELD:
+                own = held.setdefault(lang, Counter())
+                size -= len(own)
+                add_fragments(own, text.as_py(), hashes[lang], counts, longest)
+                size += len(own)
+                if size >= HELD:
                     yield from passed_on()
-                    many = 0
+                    size = 0
         yield from passed_on()
 
-    return texts.mapInArrow(run, "lang string, pivot long, parts long, n_fragments long, fragments binary")
+    return texts.mapInArrow(run, "lang string, pivot long, parts long, n_fragments long, times binary, fragments binary")
+
+
+class Numbers(dict):
+    """Numbers of words in the order in which they are met; the digits are themselves."""
 
+    def __init__(self):
+        super().__init__((b"%d" % k, k) for k in range(10))
 
-def mined(lines: list[bytes], longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The n-grams over the pivots of fragments (lines: how often, where the pivot stands, words): phrases, words of each, counts."""
-    ids: dict[bytes, int] = {}
-    sizes = np.fromiter((line.count(b" ") - 1 for line in lines), dtype=np.int64, count=len(lines))
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def mined(lines: list[bytes], times: np.ndarray, longest: int, least: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The n-grams over the pivots of fragments (lines: where the pivot stands, words) that occur least times: phrases, words of each, counts.
+
+    An n-gram is tried only where the shorter ones inside it that hold the pivot occur least times.
+    """
+    ids = Numbers()
+    sizes = np.fromiter((line.count(b" ") for line in lines), dtype=np.int64, count=len(lines))
     fields = b" ".join(lines).split(b" ")
-    begin = np.concatenate([[0], np.cumsum(sizes + 2)])[:-1]
-    code = np.fromiter((ids.setdefault(w, len(ids)) for w in fields), dtype=np.int64, count=len(fields))
-    number = lambda at: np.fromiter((int(fields[k]) for k in at), dtype=np.int64, count=len(at))
-    times, at = number(begin), number(begin + 1)
+    code = np.fromiter(map(ids.__getitem__, fields), dtype=np.int64, count=len(fields))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    at, first = code[begin], begin + 1
     phrases, lengths, sums = [], [], []
+    # by how many words stand before the pivot: the fragments in which the n-gram so far is frequent
+    frequent = [np.ones(len(lines), dtype=bool)]
     for m in range(2, longest + 1):
-        rows, firsts = [], []
+        rows = []
         for d in range(m):
-            fits = np.flatnonzero((at >= d) & (at - d + m <= sizes))
-            rows.append(fits)
-            firsts.append(begin[fits] + 2 + at[fits] - d)
-        row, first = np.concatenate(rows), np.concatenate(firsts)
+            fits = (at >= d) & (at - d + m <= sizes)
+            if d < m - 1:
+                fits &= frequent[d]
+            if d > 0:
+                fits &= frequent[d - 1]
+            rows.append(np.flatnonzero(fits))
+        row = np.concatenate(rows)
         if not len(row):
-            continue
+            break
+        start = first[row] + at[row] - np.repeat(np.arange(m), [len(x) for x in rows])
         # numbered from the shorter n-gram on, so that no key is longer than a pair of numbers
-        key = code[first]
+        key = code[start]
         for k in range(1, m):
-            pair = key * len(ids) + code[first + k]
-            _, where, key = np.unique(pair, return_index=True, return_inverse=True)
-        sums.append(np.bincount(key, weights=None if times.max() == 1 else times[row]).astype(np.int64))
-        phrases += [b" ".join(fields[first[i] : first[i] + m]) for i in where.tolist()]
-        lengths.append(np.full(len(where), m))
+            _, where, key = np.unique(key * len(ids) + code[start + k], return_index=True, return_inverse=True)
+        total = np.bincount(key, weights=times[row]).astype(np.int64)
+        kept = np.flatnonzero(total >= least)
+        phrases += [b" ".join(fields[i : i + m]) for i in start[where[kept]].tolist()]
+        lengths.append(np.full(len(kept), m))
+        sums.append(total[kept])
+        good, frequent, done = total[key] >= least, [], 0
+        for x in rows:
+            frequent.append(np.zeros(len(lines), dtype=bool))
+            frequent[-1][x] = good[done : done + len(x)]
+            done += len(x)
     none = np.empty(0, dtype=np.int64)
     return phrases, np.concatenate(lengths or [none]), np.concatenate(sums or [none])
 
@@ -236,31 +286,32 @@ def pivot_ngrams(found: DataFrame, least: int, longest: int = LONGEST) -> DataFr
     names = ["lang", "phrase", "m", "f", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lines, many = None, [], 0
+        held, lines, times, many = None, [], [], 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             if lines:
                 lang, split = held[0], held[2]
-                phrases, m, f = mined(b"\n".join(lines).split(b"\n"), longest)
-                kept = np.arange(len(f)) if split else np.flatnonzero(f >= least)
-                columns = [pa.array([lang] * len(kept), pa.string()), pa.array([phrases[k] for k in kept.tolist()], pa.binary()), pa.array(m[kept]), pa.array(f[kept]), pa.array([split] * len(kept), pa.bool_())]
+                phrases, m, f = mined(b"\n".join(lines).split(b"\n"), np.frombuffer(b"".join(times), dtype="<i8"), longest, 1 if split else least)
+                columns = [pa.array([lang] * len(f), pa.string()), pa.array(phrases, pa.binary()), pa.array(m), pa.array(f), pa.array([split] * len(f), pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             lines.clear()
+            times.clear()
 
         for batch in batches:
-            for lang, pivot, parts, n, own in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+            for lang, pivot, parts, n, often, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 group = (lang, pivot, parts > 1)
                 # only whole groups are mined; those of split pivots may be mined in pieces, as they are added up anyway
                 if held is not None and (group[0] != held[0] or group[2] != held[2] or many >= TOGETHER and (group != held or group[2])):
                     yield from passed_on()
                     many = 0
                 held = group
-                lines.append(own.as_py())
+                lines.append(own)
+                times.append(often)
                 many += n
         yield from passed_on()
 
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fragments"), F.col("parts"))).otherwise(F.lit(0)).alias("__part")
-    dealt = found.select("lang", "pivot", "parts", "n_fragments", "fragments", part)
+    dealt = found.select("lang", "pivot", "parts", "n_fragments", "times", "fragments", part)
     dealt = dealt.repartition("lang", "pivot", "__part").sortWithinPartitions("lang", F.col("parts") > 1, "pivot", "__part").drop("__part")
     counted = materialize(dealt.mapInArrow(run, "lang string, phrase binary, m long, f long, part boolean"), "ngrams")
     whole = counted.filter("not part").drop("part")
