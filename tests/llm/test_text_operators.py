@@ -81,6 +81,34 @@ def test_template_parts():
             license_scan.Automaton(license_scan.Template("x", bad))
 
 
+def test_whole_license_bodies(spark):
+    def filled(parts, rng, r):
+        for part in parts:
+            if part[0] == "word":
+                yield part[1].decode()
+            elif part[0] == "any":
+                yield from (f"holder{k}" for k in range(rng(part[1], part[2])))
+            elif r.random() < 0.5:
+                yield from filled(part[1], rng, r)
+
+    r = random.Random(31)
+    rows, want = [], []
+    for t in license_scan.BODY_TEMPLATES:
+        parts = license_scan.parse(t.markup)
+        assert license_scan.mandatory(parts) > 90
+        for broken in (False, False, True):
+            words = list(filled(parts, r.randint, r))
+            if broken:
+                # one word that every copy must have, near the end
+                words[-3] += "x"
+            rows.append((len(rows), f"Copyright 2020 X, {' '.join(words).upper()} and so on"))
+            want.append(not broken)
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert [license_scan.BODY_TEMPLATES[k // 3].label in found[k] for k in range(len(rows))] == want
+    assert all(r.score > 0.98 for r in got if want[r.doc_id])
+
+
 def test_license_places(spark, odd, empty, documents):
     phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -279,6 +307,26 @@ def test_fingerprints_of_odd_rows(odd, empty, spark):
     assert one.n_chars == 5 and one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a ba ").hexdigest()[:0] + hashlib.sha256(("a b c"[:3] + "a ").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("kind", ["string", "binary", "date", "int", "double", "decimal(10,2)"])
+def test_fingerprints_with_ids_of_other_kinds(spark, kind):
+    rows = [(f"doc-{k:03d}", f"some words {k % 5} of text number {k}") for k in range(40)] + [("doc-0071", "a b c"), (None, "no id"), ("doc-003", "again 3")]
+    frame = spark.createDataFrame(rows, "name string, text string")
+    number = F.substring("name", 5, 3).cast("int")
+    made = {"date": F.date_add(F.lit("2024-01-01").cast("date"), number)}.get(kind, F.col("name").cast(kind) if kind in ("string", "binary") else number.cast(kind))
+    frame = frame.withColumn("doc_id", made)
+    ids = [(r.doc_id, r.text) for r in frame.orderBy(F.col("doc_id").asc_nulls_first(), F.shiftrightunsigned(F.xxhash64("text"), 1), "text").collect()]
+    want = Counter()
+    for k, (i, text) in enumerate(ids):
+        after = ids[(k + 1) % len(ids)][1]
+        half = len(text) // 2
+        want[str(i), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    for buckets in (1, 6, 30):
+        got = Counter((str(r.doc_id), r.edited_sha256) for r in fingerprints.fingerprints(frame, samples=2, buckets=buckets).collect())
+        assert got == want
+    with pytest.raises(TypeError, match="ids must be"):
+        fingerprints.fingerprints(frame.withColumn("doc_id", F.array("doc_id")))
+
+
 # ---- 5: near duplicates
 
 

@@ -10,6 +10,7 @@ least value itself serves as the sample.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -60,29 +61,47 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(agree)
 
 
+def measure(docs: DataFrame, id_col: str) -> Column:
+    """A number that does not fall as the ids rise: the id itself, a time's seconds, or the bytes of a text behind what all have in common."""
+    kind, key = docs.schema[id_col].dataType, F.col(f"`{id_col}`")
+    if isinstance(kind, T.NumericType):
+        return key
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return key.cast("timestamp").cast("double")
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        raise TypeError(f"ids must be numbers, times, texts or bytes, not {kind.simpleString()}")
+    ends = docs.agg(F.hex(F.min(key.cast("binary"))).alias("lo"), F.hex(F.max(key.cast("binary"))).alias("hi")).first()
+    same = len(os.path.commonprefix([ends.lo or "", ends.hi or ""])) // 2
+    following = F.rpad(F.hex(F.substring(key.cast("binary"), same + 1, 7)), 14, "0")
+    return F.conv(following, 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """docs in buckets of neighbouring rows: bucket, seq, doc_id, text, tail, next (the next row's text).
 
     Rows are in order of id, null ids first, then of a hash of the text, then of the text.  Buckets begin at quantiles
-    of the ids; an id (or null) that fills several of them is divided by ranges of the hash, so that only rows equal in
-    both stay together.  In each bucket, rows are numbered by seq.  The row that follows a bucket's last one is in it
+    of the ids' measure; a number (or null) that fills several of them is divided by ranges of the hash, so that only
+    rows equal in both stay together.  In each bucket, rows are numbered by seq.  The row that follows a bucket's last one is in it
     too, as its tail; after the last row of all comes the first.  Null texts become empty.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    measured = measure(docs, id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), measured.alias("at"))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
     shares = [k / buckets for k in range(1, buckets)]
     ends = docs.agg(
         F.count("*").alias("n"), F.count_if(F.col(f"`{id_col}`").isNull()).alias("nulls"),
-        F.percentile_approx(f"`{id_col}`", shares, 10_000).alias("at") if shares else F.array().alias("at"),
+        F.percentile_approx(measured, shares, 10_000).alias("at") if shares else F.array().alias("at"),
     ).first()
     times = Counter(x for x in (ends.at or []) if x is not None)
     starts, null = sorted(times), F.col("doc_id").isNull()
     # null ids, ids below the first start, and from each start on: the start itself, in parts, then the ids behind it
     which, parts = F.when(null, F.lit(0)), F.when(null, F.lit(max(1, round(buckets * ends.nulls / max(1, ends.n)))))
     if starts:
-        which = which.otherwise(F.lit(1) + F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("doc_id"))))
+        which = which.otherwise(F.lit(1) + F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("at"))))
+        # other ids than numbers may share a measure, and then only their order tells them apart
+        times = times if isinstance(docs.schema[id_col].dataType, T.NumericType) else dict.fromkeys(times, 1)
         several = F.create_map(*[F.lit(y) for x in starts for y in (x, times[x])])
-        parts = parts.otherwise(several[F.col("doc_id")])
+        parts = parts.otherwise(several[F.col("at")])
     which = F.coalesce(which, F.lit(1))
     part = F.least(F.floor(F.col("h") / F.lit(float(1 << 63)) * parts), parts - 1)
     placed = rows.withColumn("bucket", (which * F.lit(buckets + 2) + F.coalesce(part, F.lit(buckets + 1))).cast("int"))
@@ -105,8 +124,9 @@ def fingerprints(docs: DataFrame, samples: int = 32, buckets: int | None = None,
     The next document is that of the next greater id, for the last one the first; rows of one id follow each
     other in order of a hash of their texts, null ids come first.  The edited text is the text with its last
     floor(n_chars / 2) code points replaced by the first as many of the next one.  Null texts count as empty; texts
-    without words have an empty fingerprint, like each other (1) and unlike all others (0).  An empty table gives no
-    rows; other columns of docs are not read.
+    without words have an empty fingerprint, like each other (1) and unlike all others (0); texts of any length are read
+    whole.  Ids are numbers, dates, times, texts or bytes, in their own order; others are refused.  Repeated rows are
+    rows of their own, each other's next.  An empty table gives no rows; other columns of docs are not read.
 
     Documents are shuffled once, into buckets of neighbouring ids (as many as four times the shuffle partitions);
     neighbours meet by a window in each bucket, and everything else stays in place.
