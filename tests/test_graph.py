@@ -13,7 +13,7 @@ from wayfare.functions import columns
 from wayfare.operators import answers, exact, indexes, metrics, push, stats, stored, updates, walks
 from wayfare.plans import ordered
 from wayfare.plans.storage import materialize
-from wayfare.sources import csr, derived, files
+from wayfare.sources import csr, derived, files, parts
 from wayfare.sources.store import Store
 from wayfare.streaming.ops import apply_batch, apply_stream
 
@@ -469,3 +469,28 @@ def test_empty_graph(edges, asked):
     assert exact.power_method(g, asked(0), 2).count() == 0
     assert walks.prefix_walk(g, asked(0), 3, 2).count() == 0
     assert push.sampled_push(g, asked(0), 3, 2).count() == 0
+
+
+def test_steps_read_the_parts_of_their_frontier(spark, edges, asked, tmp_path):
+    rows = [(a, b, 1 + a * b % 5) for a in range(200) for b in (a + 1, a + 7, a * 3 % 211)] + [(500, b, 1.0) for b in range(3000)]
+    parts.write_parts(edges(rows), str(tmp_path), 16)
+    graph = parts.open_parts(spark, str(tmp_path))
+    files_of = lambda df: {os.path.dirname(r.f) for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert graph.parts == 16 and len(files_of(graph.edges)) == 16
+    one = spark.createDataFrame([(3,)], "node long")
+    met, totals = graph.at(one)
+    assert len(files_of(met)) == len(files_of(totals)) == 1
+    assert sorted(map(tuple, met.collect())) == sorted((a, b, float(w)) for a, b, w in rows if a == 3)
+    assert "PartitionFilters: [isnotnull(part" in met._jdf.queryExecution().toString() and "PushedFilters" in met._jdf.queryExecution().toString()
+    many = spark.range(5, 40).select(F.col("id").alias("node"))
+    met = {tuple(r) for r in graph.at(many)[0].collect()}
+    assert {(a, b, float(w)) for a, b, w in rows if 5 <= a < 40} <= met <= {(a, b, float(w)) for a, b, w in rows}
+    # no edge, no part
+    assert graph.at(one.limit(0))[0].count() == 0
+    for us, length in (((3,), 1), ((3, 500), 3), ((77,), 0), ((9999,), 2)):
+        want = {(r.query_id, r.node): r.p for r in exact.power_method(edges(rows), asked(*us), length).collect()}
+        assert {(r.query_id, r.node): r.p for r in exact.parted_power(graph, asked(*us), length).collect()} == pytest.approx(want)
+    # written again with other parts
+    parts.write_parts(edges(rows[:10]), str(tmp_path), 3)
+    again = parts.open_parts(spark, str(tmp_path))
+    assert again.parts == 3 and again.edges.count() == 10

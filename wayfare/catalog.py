@@ -12,7 +12,7 @@ from wayfare.functions import columns
 from wayfare.operators import answers, counted, exact, indexes, metrics, push, stats, stored, updates, walks
 from wayfare.plans import oracle as sql
 from wayfare.plans.storage import materialize, new_path
-from wayfare.sources import csr, derived, files
+from wayfare.sources import csr, derived, files, parts
 from wayfare.sources.store import Store
 from wayfare.streaming.ops import apply_stream
 
@@ -159,6 +159,21 @@ def _power(graph: str, us: list[int], length: int) -> Query:
 for _name, _graph, _us, _length in (("power_step", "copurchase", [1], 1), ("power_method_L3", "copurchase", [1], 3), ("power_method_L10", "nation_trade", [3], 10), ("power_method_multi", "nation_trade", [1, 3, 5, 8], 4)):
     query(_name, f"{sql.graph(_graph, 'matrix')},\n{sql.power(_us, _length)} SELECT query_id, node, round(p, 9) AS p FROM truth")(_power(_graph, _us, _length))
 
+
+def _parted_power(graph: str, us: list[int], length: int) -> Query:
+    """Write the graph in parts, open it, take steps that read their frontier's parts."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = new_path(spark, "parts")
+        parts.write_parts(getattr(derived, graph)(spark, d), path)
+        return exact.parted_power(parts.open_parts(spark, path), sources(spark, us), length).select("query_id", "node", rounded("p"))
+
+    return run
+
+
+for _name, _graph, _us, _length in (("parted_step", "transitions", [1], 1), ("parted_power_L3", "transitions", [1, 7], 3)):
+    query(_name, f"{sql.graph(_graph, 'matrix')},\n{sql.power(_us, _length)} SELECT query_id, node, round(p, 9) AS p FROM truth")(_parted_power(_graph, _us, _length))
+
 _ANSWER = "SELECT query_id, node, cnt, round(p, 9) AS p FROM answer"
 
 

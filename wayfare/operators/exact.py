@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.plans.storage import bucketed, materialize
+from wayfare.sources.parts import PartedGraph
 
 
 def power_step(state: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -36,3 +37,15 @@ def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: i
         if k % cut_every == 0 and k < length:
             state = materialize(state, "power")
     return state.filter("p > 0")
+
+
+def parted_power(graph: PartedGraph, queries: DataFrame, length: int) -> DataFrame:
+    """As power_method, over a graph in parts: a step reads the parts that its nodes fall into, and nothing is built.
+
+    The state is written down before each step, as it says what the step reads.
+    """
+    state = queries.select("query_id", F.col("u").alias("node"), F.lit(1.0).alias("p"))
+    for _ in range(length):
+        state = materialize(state, "frontier")
+        state = power_step(state, *graph.at(state))
+    return state.filter("p > 0")
