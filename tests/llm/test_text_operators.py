@@ -227,6 +227,62 @@ def test_domains_held_out(spark):
     assert right(mixing.train(docs, noisy)) > 0.85
 
 
+def plain_tokens(text):
+    """The tokens of a text that the domain classifier may know, worked out in plain Python."""
+    text = (text or "").lower()
+    pieces = re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", text)
+    words, n, chars = list(dict.fromkeys(pieces)), sum(1 for w in pieces if w), len(text)
+    symbols = sum(1 for c in text if ord(c) < 128 and not c.isalnum() and c not in " \t\n\x0b\f\r")
+    form = {"symbols": min(40 * symbols // (chars + 1), 20), "length": math.floor(math.log(chars + 1.0) / math.log(2.0)), "letters": chars // (n + 1), "distinct": 10 * len(words) // (n + 1)}
+    return {*words, *(w[:6] + "*" for w in words), *(f"#{k}={v}" for k, v in form.items())}
+
+
+def plain_posteriors(learned, domains, tokens, texts):
+    """Bernoulli naive Bayes of learned (domain, text) on the `tokens` best tokens, and the posteriors of texts."""
+    bags, k = [(d, plain_tokens(x)) for d, x in learned], len(domains)
+    size = [sum(1 for d, _ in bags if d == a) for a in domains]
+    count = {a: Counter(t for d, bag in bags if d == a for t in bag) for a in domains}
+    gain = {}
+    for t in set().union(*count.values()):
+        own = [count[a][t] for a in domains]
+        if sum(own) >= 5:
+            gain[t] = sum((o - sum(own) / sum(size) * s) ** 2 / (sum(own) / sum(size) * s + 1) for o, s in zip(own, size, strict=True))
+    best = sorted(gain, key=lambda t: (-gain[t], t.encode()))[:tokens]
+    share = {t: [(count[a][t] + 0.5) / (s + 1) for a, s in zip(domains, size, strict=True)] for t in best}
+    found = []
+    for text in texts:
+        bag = plain_tokens(text)
+        odds = [math.log((s + 1) / (sum(size) + k)) + sum(math.log(share[t][a] if t in bag else 1 - share[t][a]) for t in best) for a, s in enumerate(size)]
+        odds = [math.exp(max(o - max(odds), -30)) for o in odds]
+        found.append([o / sum(odds) for o in odds])
+    return best, found
+
+
+@pytest.mark.parametrize("tokens", [7, 40])
+def test_posteriors_against_plain_naive_bayes(spark, odd, documents, labels, tokens):
+    model = mixing.train(documents, labels, tokens=tokens)
+    texts, marks = texts_of(documents), labels.collect()
+    domain = lambda r: "toxic" if r.toxic == 1 else "good" if r.quality == 1 else "poor"
+    asked = [*texts.values(), *(r[1] for r in ODD)]
+    best, want = plain_posteriors([(domain(r), texts[r.doc_id]) for r in marks if r.doc_id in texts], model.domains, tokens, asked)
+    assert set(best) == set(model.weights)
+    frame = spark.createDataFrame(list(enumerate(asked)), "n long, text string")
+    got = [r.p for r in mixing.shaped(frame, "text").select("n", model.posterior().alias("p")).orderBy("n").collect()]
+    assert np.allclose(np.array(got), np.array(want), atol=1e-9)
+
+
+def test_rates_written_down_are_those_of_all_steps(spark):
+    rows = spark.createDataFrame(soft_rows(1), "id long, n_tokens long, p array<double>").withColumn("text", F.lit("stays out"))
+    goal = [9000.0, 10.0, 10.0]
+    with pytest.warns(UserWarning, match="not converged"):
+        often, once = (mixing.fit_rates(rows, goal, 0.0, rounds=5, cut_every=k) for k in (1, 1000))
+    assert len(often.residuals) == 6 and often.rows.columns == rows.columns
+    rate = lambda fit: fit.rows.withColumn("r", fit.rate).orderBy("id").toPandas()["r"].to_numpy()
+    assert np.allclose(rate(often), rate(once), rtol=1e-6, atol=1e-9)
+    n, p = np.array([r.n_tokens for r in rows.orderBy("id").collect()]), np.array([r.p for r in rows.orderBy("id").collect()])
+    assert np.allclose((n * rate(often)) @ p, often.totals, rtol=1e-9)
+
+
 def test_mixing_documents(spark, odd, empty, documents, labels):
     model = mixing.train(documents, labels)
     found = mixing.mixed(documents, model, {"good": 0.8, "poor": 0.15, "toxic": 0.05}).toPandas()
@@ -606,6 +662,20 @@ def test_exact_groups_of_odd_rows(odd, empty):
     assert Counter(r.id for r in again.collect()) == Counter(r.doc_id for r in kept.collect()) and again.columns == other.columns
 
 
+def test_a_row_many_times_over(spark):
+    docs = spark.range(150_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("again and again").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(6, "againandagain"), (7, "else")], "doc_id long, text string"))
+    found = exact_dedup.exact_groups(docs).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, found)) == [(5, 5, 150_001, False, 149_999), (5, 5, 150_001, True, 1), (6, 5, 150_001, False, 1), (7, 7, 1, True, 1)]
+
+
+def test_runs_are_sorted(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 900).alias("text"))
+    runs = exact_dedup.first_runs(exact_dedup.digests(docs), 4)
+    parts = [[(r.run, r.digest) for r in part] for part in runs.rdd.glom().collect()]
+    flat = [x for part in sorted(p for p in parts if p) for x in part]
+    assert flat == sorted(flat) and len(flat) > 900
+
 # ---- 8: chat formatting
 
 

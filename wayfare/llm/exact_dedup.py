@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import coded, join_groups, materialize
+from wayfare.plans.ordered import spread
 
 #: White space that does not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -55,10 +56,16 @@ BETTER = ["minus", "none", "keep_id"]
 
 
 def first_runs(rows: DataFrame, runs: int) -> DataFrame:
-    """The entries of all runs: run, IDENTITY, BETTER and group_size, one for each text of a run."""
+    """The entries of all runs, sorted: run, IDENTITY, BETTER and group_size, one for each text of a run."""
     best = F.min(F.struct((-F.col("n_chars")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"))).alias("best")
     run = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run")
-    return rows.groupBy(run, *IDENTITY).agg(best, F.count("*").alias("group_size")).select("run", *IDENTITY, *[f"best.{c}" for c in BETTER], "group_size")
+    entries = rows.groupBy(run, *IDENTITY).agg(best, F.count("*").alias("group_size")).select("run", *IDENTITY, *[f"best.{c}" for c in BETTER], "group_size")
+    return in_runs(entries)
+
+
+def in_runs(entries: DataFrame) -> DataFrame:
+    """The entries dealt over the partitions by ranges of (run, digest), sorted in each."""
+    return entries.repartitionByRange("run", "digest").sortWithinPartitions("run", *IDENTITY, *BETTER)
 
 
 def merge(entries: DataFrame) -> DataFrame:
@@ -67,11 +74,10 @@ def merge(entries: DataFrame) -> DataFrame:
     Of entries that are verified to be equal the best stays, with the sum of their sizes.
     """
     order = [*IDENTITY, *BETTER]
-    ranges = entries.repartitionByRange("run", "digest").sortWithinPartitions("run", *order)
     before = W.partitionBy("run", "digest").orderBy(*order[1:])
     verified = F.col("sha").eqNullSafe(F.lag("sha").over(before)) & F.col("length").eqNullSafe(F.lag("length").over(before))
     size = F.sum("group_size").over(W.partitionBy("run", *IDENTITY))
-    return ranges.withColumn("__again", verified).withColumn("group_size", size).filter("not __again").drop("__again")
+    return in_runs(entries).withColumn("__again", verified).withColumn("group_size", size).filter("not __again").drop("__again")
 
 
 def tree_merge(rows: DataFrame, bits: int = 4) -> DataFrame:
@@ -104,7 +110,7 @@ def exact_groups(
     # only rows that may stay are numbered, so that a group's many copies never meet
     names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars"]
     kept = both.filter(stays).groupBy("doc_id", "keep_id", "group_size", "text_sha256", "n_chars").agg(F.count("*").alias("times"))
-    kept = kept.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
+    kept = spread(kept, F.lit(1).cast("long"), F.col("times"), "k")
     return kept.withColumn("kept", F.col("k") == 1).select(names).unionByName(both.filter(~stays).withColumn("kept", F.lit(False)).select(names))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import bounded_sample, coded, materialize
+from wayfare.plans.ordered import spread
 
 #: Runs of ASCII characters other than letters separate words.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -181,7 +182,8 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
 
     It ends when the distance is below tolerance times the targets' sum, or a step lowers it by less than a hundred
     thousandth, as where targets cannot be met.  After `rounds` steps without that it warns, and says so in the result.
-    Rates are written down every cut_every steps, so that a step's work does not grow with the steps before.
+    Rates are written down every cut_every steps, so that a step's work does not grow with the steps before; with them
+    go n_tokens and p alone, as the rate that comes of it is a fold of all steps over the rows as they were given.
     """
     k, least = len(targets), float(least)
     goal = np.array(targets, dtype=float)
@@ -197,8 +199,8 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
             out[a, b] = out[b, a] = x
         return out
 
-    begin, steps = None, []
-    got = sums(rows.withColumn("__r", rate_of([], k, least)), *[n * r * x for x in p], *[n * p[a] * p[b] for a, b in pairs])
+    narrow, begin, steps, taken = rows.select("n_tokens", "p"), None, [], []
+    got = sums(narrow.withColumn("__r", rate_of([], k, least)), *[n * r * x for x in p], *[n * p[a] * p[b] for a, b in pairs])
     totals, greatest = got[:k], float(np.linalg.eigvalsh(square(got[k:]))[-1])
     residuals, converged = [float(np.linalg.norm(totals - goal))], greatest <= 0
     for _ in range(rounds):
@@ -206,7 +208,7 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
             converged = True
             break
         off = totals - goal
-        now = rows.select("n_tokens", "p", rate_of(steps, k, least, begin).alias("__r"))
+        now = narrow.select("n_tokens", "p", rate_of(steps, k, least, begin).alias("__r"))
         held = (r <= F.lit(least)) & (dot(numbers(off.tolist()), k) >= 0)
         free = square(sums(now.filter(~held), *[n * p[a] * p[b] for a, b in pairs]))
         ways = [off / greatest * 4.0**j for j in range(8)]
@@ -222,15 +224,16 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float, rounds: int =
         old, new = residuals[-1], float(np.linalg.norm(after[best] - goal))
         if new < old:
             steps.append(tries[best])
+            taken.append(tries[best])
             totals = after[best]
             residuals.append(new)
         converged = new >= old * (1 - 1e-5)
         if len(steps) >= cut_every:
-            rows = materialize(rows.withColumn("__rate", rate_of(steps, k, least, begin)), "rates")
+            narrow = materialize(narrow.select("n_tokens", "p", rate_of(steps, k, least, begin).alias("__rate")), "rates")
             begin, steps = F.col("__rate"), []
     if not converged:
         warnings.warn(f"rates have not converged after {rounds} steps; {residuals[-1]:.6g} tokens off", stacklevel=2)
-    return Fit(rate_of(steps, k, least, begin), rows, totals.tolist(), residuals, converged)
+    return Fit(rate_of(taken, k, least), rows, totals.tolist(), residuals, converged)
 
 
 def mixed(
@@ -274,5 +277,5 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], least: f
     plain, restore = coded(docs)
     at = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
     found = mixed(plain, model, weights, least=least, seed=seed, id_col=at[id_col], text_col=at[text_col])
-    times = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return restore(found.select(times.alias("__copy"), *plain.columns))
+    repeated = spread(found.filter("copies > 0").select("copies", *plain.columns), F.lit(1).cast("long"), F.col("copies"), "__copy")
+    return restore(repeated.select(*plain.columns))
