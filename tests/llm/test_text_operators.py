@@ -669,13 +669,6 @@ def test_a_row_many_times_over(spark):
     assert sorted(map(tuple, found)) == [(5, 5, 150_001, False, 149_999), (5, 5, 150_001, True, 1), (6, 5, 150_001, False, 1), (7, 7, 1, True, 1)]
 
 
-def test_runs_are_sorted(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 900).alias("text"))
-    runs = exact_dedup.first_runs(exact_dedup.digests(docs), 4)
-    parts = [[(r.run, r.digest) for r in part] for part in runs.rdd.glom().collect()]
-    flat = [x for part in sorted(p for p in parts if p) for x in part]
-    assert flat == sorted(flat) and len(flat) > 900
-
 # ---- 8: chat formatting
 
 

@@ -1,7 +1,8 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
 Every row is reduced to a digest of its text without white space.  The rows are dealt into 2**k runs by a hash of their
-id; a run is sorted by digest, dealt over the partitions by ranges, and holds one entry for each text in it.  The runs
+id; a run holds one entry for each text in it, and is sorted by digest, in ranges over the partitions, by the merge
+that it first takes part in.  The runs
 are the nodes of a binomial tree, in which the parent of a run is its number without the lowest bit: in round k, k - 1,
 ..., 1 the runs of so many bits go to their parents, and each parent merges all that arrives with its own run.  In a
 merge, entries of one digest become neighbours; each is verified against the one before it by SHA-256 and length, and
@@ -56,16 +57,10 @@ BETTER = ["minus", "none", "keep_id"]
 
 
 def first_runs(rows: DataFrame, runs: int) -> DataFrame:
-    """The entries of all runs, sorted: run, IDENTITY, BETTER and group_size, one for each text of a run."""
+    """The entries of all runs: run, IDENTITY, BETTER and group_size, one for each text of a run."""
     best = F.min(F.struct((-F.col("n_chars")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"))).alias("best")
     run = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run")
-    entries = rows.groupBy(run, *IDENTITY).agg(best, F.count("*").alias("group_size")).select("run", *IDENTITY, *[f"best.{c}" for c in BETTER], "group_size")
-    return in_runs(entries)
-
-
-def in_runs(entries: DataFrame) -> DataFrame:
-    """The entries dealt over the partitions by ranges of (run, digest), sorted in each."""
-    return entries.repartitionByRange("run", "digest").sortWithinPartitions("run", *IDENTITY, *BETTER)
+    return rows.groupBy(run, *IDENTITY).agg(best, F.count("*").alias("group_size")).select("run", *IDENTITY, *[f"best.{c}" for c in BETTER], "group_size")
 
 
 def merge(entries: DataFrame) -> DataFrame:
@@ -77,7 +72,8 @@ def merge(entries: DataFrame) -> DataFrame:
     before = W.partitionBy("run", "digest").orderBy(*order[1:])
     verified = F.col("sha").eqNullSafe(F.lag("sha").over(before)) & F.col("length").eqNullSafe(F.lag("length").over(before))
     size = F.sum("group_size").over(W.partitionBy("run", *IDENTITY))
-    return in_runs(entries).withColumn("__again", verified).withColumn("group_size", size).filter("not __again").drop("__again")
+    ranges = entries.repartitionByRange("run", "digest").sortWithinPartitions("run", *order)
+    return ranges.withColumn("__again", verified).withColumn("group_size", size).filter("not __again").drop("__again")
 
 
 def tree_merge(rows: DataFrame, bits: int = 4) -> DataFrame:
