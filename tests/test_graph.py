@@ -494,3 +494,14 @@ def test_steps_read_the_parts_of_their_frontier(spark, edges, asked, tmp_path):
     parts.write_parts(edges(rows[:10]), str(tmp_path), 3)
     again = parts.open_parts(spark, str(tmp_path))
     assert again.parts == 3 and again.edges.count() == 10
+
+
+def test_alias_slots_are_dealt_by_rows(edges, monkeypatch):
+    """A task gets so many edges, whatever the input; with a fixed number of tasks it sorted ever more of them."""
+    monkeypatch.setattr(indexes, "ALIAS_EDGES", 200)
+    rows = [(s, t, 1 + (s + t) % 5) for s in range(50) for t in range(40)]
+    index = indexes.alias_index(edges(rows))
+    assert index.rdd.getNumPartitions() == 10
+    got = {(r.src, r.dst): r.p for r in indexes.alias_distribution(index).collect()}
+    total = {s: sum(w for a, _, w in rows if a == s) for s in range(50)}
+    assert got == pytest.approx({(s, t): w / total[s] for s, t, w in rows})

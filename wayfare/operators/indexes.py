@@ -15,6 +15,8 @@ from wayfare.plans.ordered import Running, by_size, spread
 
 #: The adjacency's order; parallel edges follow each other by weight.
 ORDER = ["dst", "w"]
+#: Edges that a task makes alias slots of, about: it sorts them five times, with rows that grow.
+ALIAS_EDGES = 1 << 17
 
 
 def with_totals(edges: DataFrame) -> DataFrame:
@@ -100,15 +102,15 @@ def alias_slots(edges: DataFrame, keys: list[str], running: Running) -> DataFram
 
 def alias_index(edges: DataFrame) -> DataFrame:
     """src, slot, dst, p, alias_dst, deg: slot keeps its own neighbour with chance p, else it gives alias_dst."""
-    built = by_size(edges.select("src", "dst", "w"), ["src"], lambda rows, running: alias_slots(rows, ["src"], running))
+    built = by_size(edges.select("src", "dst", "w"), ["src"], lambda rows, running: alias_slots(rows, ["src"], running), ALIAS_EDGES)
     return built.select("src", "slot", "dst", "p", "alias_dst", "deg")
 
 
 def alias_distribution(index: DataFrame) -> DataFrame:
-    """src, dst, p: the distribution that alias slots imply."""
-    kept = index.select("src", "dst", (F.col("p") / F.col("deg")).alias("p"))
-    given = index.select("src", F.col("alias_dst").alias("dst"), ((F.lit(1.0) - F.col("p")) / F.col("deg")).alias("p"))
-    return kept.unionByName(given).groupBy("src", "dst").agg(F.sum("p").alias("p"))
+    """src, dst, p: the distribution that alias slots imply; the index is read once."""
+    kept = F.struct("dst", (F.col("p") / F.col("deg")).alias("p"))
+    given = F.struct(F.col("alias_dst").alias("dst"), ((F.lit(1.0) - F.col("p")) / F.col("deg")).alias("p"))
+    return index.select("src", F.inline(F.array(kept, given))).groupBy("src", "dst").agg(F.sum("p").alias("p"))
 
 
 def bucket_index(edges: DataFrame) -> DataFrame:

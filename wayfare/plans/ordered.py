@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfare.plans.storage import materialize
+from wayfare.plans.storage import materialize, tasks
 
 
 def running_total(df: DataFrame, bucket: Column, order: str, value: str, name: str) -> DataFrame:
@@ -80,6 +80,8 @@ def running(
 
 #: Rows of a group that a single task sorts, at most.
 GROUP = 1 << 16
+#: Rows of small groups that a task gets, about; of a build that sorts once.
+DEALT = 1 << 19
 
 #: Running values inside groups: (df, keys, order, sums, wholes, least, earlier), as in running.
 Running = Callable[..., DataFrame]
@@ -103,16 +105,21 @@ def ranged(df: DataFrame, keys: list[str], order: list[str | Column], *rest: obj
     return running(in_ranges(df, [*keys, *order], "ranges"), keys, F.col("__range"), order, *rest, **more).drop("__range")
 
 
-def by_size(df: DataFrame, keys: list[str], build: Callable[[DataFrame, Running], DataFrame]) -> DataFrame:
+def by_size(df: DataFrame, keys: list[str], build: Callable[[DataFrame, Running], DataFrame], dealt: int = DEALT) -> DataFrame:
     """build of df's groups: with windows over whole groups of at most GROUP rows, with ranges for the larger ones.
 
-    build takes rows and how it is to find running values in them; no group may depend on another.
+    build takes rows and how it is to find running values in them; no group may depend on another.  The small groups are
+    dealt among tasks of about `dealt` rows: with a number of tasks that rows don't raise, what a task sorts would grow
+    with the input, once for each sort of a build.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > GROUP).select(*keys)
-    if large.isEmpty():
-        return build(df, windowed)
-    large = materialize(large, "large-groups")
-    return build(df.join(large, keys, "left_anti"), windowed).unionByName(build(materialize(df.join(large, keys, "left_semi"), "large"), ranged))
+    groups = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    found = groups.agg(F.sum("__n").alias("rows"), F.max("__n").alias("most")).first()
+    parts = tasks(df.sparkSession, found.rows or 0, dealt)
+    if (found.most or 0) <= GROUP:
+        return build(df.repartition(parts, *keys), windowed)
+    large = materialize(groups.filter(F.col("__n") > GROUP).select(*keys), "large-groups")
+    small = df.join(large, keys, "left_anti").repartition(parts, *keys)
+    return build(small, windowed).unionByName(build(materialize(df.join(large, keys, "left_semi"), "large"), ranged))
 
 
 def spread(df: DataFrame, first: Column, last: Column, name: str, block: int = 1 << 16) -> DataFrame:

@@ -51,6 +51,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """Among how many tasks rows are dealt, so that each gets about `each` of them at most, however many there are.
+
+    Fewer are dealt among all cores, as long as these get some 16 000.
+    """
+    return max(-(-rows // each), min(spark.sparkContext.defaultParallelism, rows >> 14), 1)
+
+
 def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Write df as a table dealt into buckets by keys and sorted by them within, and read it back.
 
