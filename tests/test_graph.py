@@ -512,3 +512,18 @@ def test_graphs_of_orders_are_dealt_by_rows(spark, monkeypatch):
     lines = derived.table(spark, DATA, "lineitem").count()
     for graph in (derived.copurchase, derived.cust_supp):
         assert graph(spark, DATA).rdd.getNumPartitions() == math.ceil(lines / 1000)
+
+
+@pytest.mark.parametrize("dangling", ["drop", "stay"])
+def test_few_walks_index_the_nodes_at_hand_alone(edges, asked, monkeypatch, dangling):
+    """The answer is that of an index of the whole graph; the edges of sources that no walk comes to are not indexed."""
+    draw = random.Random(3)
+    # nodes 0 to 19, of which 16 to 19 are dangling, and many sources that no edge leads to
+    rows = [(s, t, draw.randint(1, 9)) for s in range(16) for t in draw.sample(range(20), 5)]
+    g, build, sizes = edges(rows + [(s, t, 1) for s in range(100, 300) for t in range(5)]), walks.guided_prefix_index, []
+    monkeypatch.setattr(walks, "guided_prefix_index", lambda e: sizes.append(e.count()) or build(e))
+    got = walks.prefix_walk(g, asked(0, 7, 18), 60, 3, dangling=dangling).collect()
+    assert len(sizes) == 3 and max(sizes) <= len(rows)
+    whole = walks.prefix_walk(edges(rows), asked(0, 7, 18), 60, 3, dangling=dangling).collect()
+    assert len(sizes) == 4 and sizes[3] == len(rows)
+    assert sorted(got) == sorted(whole)

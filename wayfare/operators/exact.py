@@ -19,14 +19,15 @@ def power_step(state: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFra
     return moved.groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("__unit") * F.col("w")).alias("p"))
 
 
-def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: int = 8) -> DataFrame:
+def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: int = 8, written: bool = False) -> DataFrame:
     """answer (query_id, node, p) of queries (query_id, u) after exactly `length` steps; all queries in one plan.
 
     For more than one step the edges are written once, in buckets by src, so that a step moves the state alone: totals
-    and edges are where it moves to.  The lineage is cut every cut_every steps by a written table.
+    and edges are where it moves to.  The lineage is cut every cut_every steps by a written table.  written says that
+    edges are such a table already.
     """
     edges = edges.select("src", "dst", "w")
-    if length > 1:
+    if length > 1 and not written:
         edges = bucketed(edges, ["src"], "edges")
     totals = edges.groupBy("src").agg(F.sum("w").alias("total"))
     if length > 1:

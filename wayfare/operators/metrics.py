@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators.answers import ranked, top_k
 from wayfare.plans.ordered import running
+from wayfare.plans.storage import materialize
 
 
 #: Ranks that one task sums up.
@@ -69,13 +70,18 @@ def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes without out-edges are never in the cut.  An edge to a node of the cut, the own one included, takes its weight
     off the cut, any other adds it; a cut below 0 begins anew at 0.  As a sum that restarts at 0 is the running sum
     less its least value so far (if that is below 0), the sweep is a matter of running sums.
+
+    Of the graph the edges of the answer's nodes alone are summed and ranked, and the rest adds to the whole weight; an
+    answer of few nodes goes to where the edges are.
     """
-    sources = edges.groupBy("src").agg(F.sum("w").alias("vol"))
     whole = edges.agg(F.sum("w").alias("whole"))
+    reached = answer.filter("p > 0").select(F.col("node").alias("src")).distinct()
+    edges = edges.select("src", "dst", "w").join(reached, "src", "left_semi")
+    sources = edges.groupBy("src").agg(F.sum("w").alias("vol"))
     # positions by mass alone keep their order when nodes without out-edges are taken out
     swept = answer.filter("p > 0").join(sources, F.col("node") == F.col("src")).select("query_id", "node", "p", "vol")
-    swept = ranked(swept)
-    out = swept.select("query_id", "rank", F.col("node").alias("src")).join(edges.select("src", "dst", "w"), "src")
+    swept = materialize(ranked(swept), "swept")
+    out = swept.select("query_id", "rank", F.col("node").alias("src")).join(edges, "src")
     inside = swept.select("query_id", F.col("node").alias("dst"), F.col("rank").alias("dst_rank"))
     signed = out.join(inside, ["query_id", "dst"], "left").withColumn("signed", F.when(F.col("dst_rank") <= F.col("rank"), -F.col("w")).otherwise(F.col("w")))
     step = signed.groupBy("query_id", "rank").agg(F.sum("signed").alias("delta"))

@@ -1,7 +1,8 @@
 """Monte-Carlo walks: all walks of all queries at once, one equi-join with an index for each step.
 
 The index is written in buckets by the join's keys, so a step moves the walks alone; and it tells the degree and weight
-of the node that an edge leads to, so the next step needs no other table.
+of the node that an edge leads to, so the next step needs no other table.  Prefix walks whose steps are fewer than the
+edges need no index of the whole graph: each step makes that of the nodes where walks are.
 
 A draw depends on (seed, query, walk, step, draw number) alone, so results are the same on any cluster.
 `dangling` says what happens to a walk at a node without out-edges before its last step: drop it, or let it stay there.
@@ -42,10 +43,14 @@ def numbers(name: str, begin: int, many: int) -> Column:
     return F.explode(found).alias(name)
 
 
+def begin(queries: DataFrame, walks: int) -> DataFrame:
+    """query_id, walk, node: `walks` walks for each of queries (query_id, u), at its source."""
+    return queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(walks - 1).cast("long"))).alias("walk"), F.col("u").alias("node"))
+
+
 def start(queries: DataFrame, nodes: DataFrame, walks: int) -> DataFrame:
     """state (query_id, walk, node, deg, total): `walks` walks for each of queries (query_id, u)."""
-    sources = queries.select("query_id", F.col("u").alias("node")).join(nodes, "node", "left")
-    return sources.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(walks - 1).cast("long"))).alias("walk"), "node", *ABOUT)
+    return begin(queries, walks).join(nodes, "node", "left").select("query_id", "walk", "node", *ABOUT)
 
 
 def finish(state: DataFrame, walks: int) -> DataFrame:
@@ -74,10 +79,14 @@ def _draw(seed: str, step: int, number: int) -> Column:
 Step = Callable[[DataFrame, int], DataFrame]
 
 
-def _walk(queries: DataFrame, nodes: DataFrame, walks: int | list[int], length: int, step: Step, dangling: str, cut_every: int = 8) -> DataFrame:
-    """The answer of so many walks; the answers of several numbers of walks, from the walks of the greatest."""
+def _policy(dangling: str) -> None:
     if dangling not in ("drop", "stay"):
         raise ValueError(f"unknown policy {dangling}")
+
+
+def _walk(queries: DataFrame, nodes: DataFrame, walks: int | list[int], length: int, step: Step, dangling: str, cut_every: int = 8) -> DataFrame:
+    """The answer of so many walks; the answers of several numbers of walks, from the walks of the greatest."""
+    _policy(dangling)
     state = start(queries, nodes, walks if isinstance(walks, int) else max(walks))
     for k in range(1, length + 1):
         moves = step(state.filter("deg is not null"), k)
@@ -88,17 +97,43 @@ def _walk(queries: DataFrame, nodes: DataFrame, walks: int | list[int], length:
     return finish(state, walks) if isinstance(walks, int) else finish_nested(state, walks)
 
 
-def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int) -> DataFrame:
+def prefix_step(state: DataFrame, index: DataFrame, seed: str, k: int, about: tuple[str, ...] = ("to_deg", "to_total")) -> DataFrame:
     """Draw a number in the range of the node's weights, look into its cell, take the edge that owns it."""
     at = state.withColumn("x", _draw(seed, k, 0) * F.col("total"))
     at = at.withColumn("at", cell(F.col("x"), F.col("total"), F.col("deg")))
     met = at.join(index, (F.col("node") == F.col("src")) & (F.col("at") == F.col("cell")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    return met.select("query_id", "walk", "to", "to_deg", "to_total")
+    return met.select("query_id", "walk", "to", *about)
 
 
-def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str = "prefix", dangling: str = "drop") -> DataFrame:
-    """Walks that draw by prefix sums of weights."""
-    edges = materialize(edges.select("src", "dst", "w"), "edges")
+def prefix_walk_near(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str, dangling: str) -> DataFrame:
+    """prefix_walk by indexes of whole adjacencies, of the nodes where walks are before each step, over written edges.
+
+    The walks are written down before each step, so that few of them are told to all tasks and edges stay where they are.
+    """
+    _policy(dangling)
+    state = begin(queries, walks if isinstance(walks, int) else max(walks))
+    for k in range(1, length + 1):
+        state = materialize(state, "walks")
+        here = materialize(edges.join(state.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "edges-at-hand")
+        index = guided_prefix_index(here).select("src", "cell", "lo", "hi", F.col("dst").alias("to"))
+        moves = prefix_step(state.join(about(here), "node"), index, seed, k, about=())
+        moved = moves.select("query_id", "walk", F.col("to").alias("node"))
+        if dangling == "stay":
+            moved = moved.unionByName(state.join(moves.select("query_id", "walk"), ["query_id", "walk"], "left_anti"))
+        state = moved
+    return finish(state, walks) if isinstance(walks, int) else finish_nested(state, walks)
+
+
+def prefix_walk(edges: DataFrame, queries: DataFrame, walks: int | list[int], length: int, seed: str = "prefix", dangling: str = "drop", written: bool = False) -> DataFrame:
+    """Walks that draw by prefix sums of weights; written says that edges are a table already.
+
+    Where all walks take fewer steps than there are edges, each step indexes the nodes at hand; else the whole graph is
+    indexed, once.  A node's index is that of all its edges either way, and so is the answer.
+    """
+    if not written:
+        edges = materialize(edges.select("src", "dst", "w"), "edges")
+    if queries.count() * (walks if isinstance(walks, int) else max(walks)) * length < edges.count():
+        return prefix_walk_near(edges, queries, walks, length, seed, dangling)
     nodes = materialize(about(edges), "nodes")
     index = guided_prefix_index(edges).select("src", "cell", "lo", "hi", F.col("dst").alias("to"))
     index = bucketed(carrying(index, nodes, "to"), ["src", "cell"], "prefix-index")
