@@ -527,3 +527,15 @@ def test_few_walks_index_the_nodes_at_hand_alone(edges, asked, monkeypatch, dang
     whole = walks.prefix_walk(edges(rows), asked(0, 7, 18), 60, 3, dangling=dangling).collect()
     assert len(sizes) == 4 and sizes[3] == len(rows)
     assert sorted(got) == sorted(whole)
+
+
+def test_few_samples_index_the_nodes_at_hand_alone(edges, asked, monkeypatch):
+    rng = random.Random(9)
+    rows = [(a, rng.randrange(50), rng.randint(1, 40)) for a in range(50) for _ in range(20)]
+    graph, sizes, build = edges(rows), [], push.bucket_index
+    monkeypatch.setattr(push, "bucket_index", lambda e: sizes.append(e.count()) or build(e))
+    found = sorted(map(tuple, push.sampled_push(graph, asked(3, 7), [10, 30], 3).collect()))
+    assert len(sizes) == 3 and sizes[0] == 40 and max(sizes) < len(rows)
+    totals = push.bucket_totals(graph)
+    whole = push.levels(asked(3, 7), [10, 30], 3, *push.lookups(totals, build(graph)), "push", 6)
+    assert found == sorted(map(tuple, whole.collect()))

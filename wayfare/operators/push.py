@@ -90,6 +90,18 @@ def offers(state: DataFrame, buckets: Lookup, located: Lookup, seed: str, level:
     return found.select("query_id", "sample", "dst", mass.alias("mass")).filter("mass is not null")
 
 
+def gathered(masses: DataFrame) -> DataFrame:
+    """state of the next level, from what one hands on."""
+    return masses.groupBy("query_id", "sample", F.col("dst").alias("node")).agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
+
+
+def finish(masses: DataFrame, samples: int | list[int]) -> DataFrame:
+    """answer (query_id, node, p) of so many samples; the answers of several numbers of them."""
+    if not isinstance(samples, int):
+        return finish_nested(masses, samples)
+    return masses.groupBy("query_id", F.col("dst").alias("node")).agg((F.sum("mass") / F.lit(float(max(samples, 1)))).alias("p"))
+
+
 def finish_nested(masses: DataFrame, counts: list[int]) -> DataFrame:
     """answers (eps_idx, query_id, node, p) of several numbers of samples at once, the k-th of the first counts[k] samples of masses."""
     added = [F.sum(F.when(F.col("sample") < n, F.col("mass"))).alias(f"__{k}") for k, n in enumerate(counts)]
@@ -106,14 +118,11 @@ def levels(queries: DataFrame, samples: int | list[int], length: int, buckets: L
     """
     state = start(queries, samples if isinstance(samples, int) else max(samples))
     for level in range(1, length):
-        moved = offers(state, buckets, located, seed, level).groupBy("query_id", "sample", F.col("dst").alias("node"))
-        state = moved.agg(F.round(F.sum("mass"), DECIMALS).alias("p"))
+        state = gathered(offers(state, buckets, located, seed, level))
         if level % cut_every == 0:
             state = materialize(state, "push")
     last = offers(state, buckets, located, seed, length) if length else state.select("query_id", "sample", F.col("node").alias("dst"), F.col("p").alias("mass"))
-    if not isinstance(samples, int):
-        return finish_nested(last, samples)
-    return last.groupBy("query_id", F.col("dst").alias("node")).agg((F.sum("mass") / F.lit(float(max(samples, 1)))).alias("p"))
+    return finish(last, samples)
 
 
 def lookups(totals: DataFrame, index: DataFrame) -> tuple[Lookup, Lookup]:
@@ -121,13 +130,30 @@ def lookups(totals: DataFrame, index: DataFrame) -> tuple[Lookup, Lookup]:
     return lambda rows: rows.join(totals, "src"), lambda rows: rows.join(index, ["src", "bucket", "bpos"])
 
 
+def sampled_push_near(edges: DataFrame, queries: DataFrame, samples: int | list[int], length: int, seed: str) -> DataFrame:
+    """sampled_push by indexes of whole adjacencies, of the nodes that have mass before each level, over written edges.
+
+    The state is written down before each level, so that few nodes are told to all tasks and edges stay where they are.
+    """
+    masses = start(queries, samples if isinstance(samples, int) else max(samples)).withColumnsRenamed({"node": "dst", "p": "mass"})
+    for level in range(1, length + 1):
+        state = materialize(gathered(masses), "push")
+        here = materialize(edges.join(state.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "edges-at-hand")
+        masses = offers(state, *lookups(bucket_totals(here), bucket_index(here)), seed, level)
+    return finish(masses, samples)
+
+
 def sampled_push(edges: DataFrame, queries: DataFrame, samples: int | list[int], length: int, seed: str = "push", cut_every: int = 6) -> DataFrame:
     """answer (query_id, node, p) of a sampled push over edges.
 
-    Totals and index are written once, in buckets by what they are joined on, so that a level moves the state and the
-    positions it meets alone.
+    A sample's mass is 1 in the mean, so it is on about one node.  Where all samples hand on less at their levels than
+    there are edges, each level indexes the nodes at hand; else the whole graph is indexed, once.  A node's index is
+    that of all its edges either way, and so is the answer.  Totals and index of a whole graph are written in buckets
+    by what they are joined on, so that a level moves the state and the positions it meets alone.
     """
     edges = materialize(edges.select("src", "dst", "w"), "edges")
+    if queries.count() * (samples if isinstance(samples, int) else max(samples)) * length < edges.count():
+        return sampled_push_near(edges, queries, samples, length, seed)
     totals = bucketed(bucket_totals(edges), ["src"], "bucket-totals")
     index = bucketed(bucket_index(edges), ["src", "bucket", "bpos"], "bucket-index")
     return levels(queries, samples, length, *lookups(totals, index), seed, cut_every)
