@@ -539,3 +539,11 @@ def test_few_samples_index_the_nodes_at_hand_alone(edges, asked, monkeypatch):
     totals = push.bucket_totals(graph)
     whole = push.levels(asked(3, 7), [10, 30], 3, *push.lookups(totals, build(graph)), "push", 6)
     assert found == sorted(map(tuple, whole.collect()))
+
+
+def test_a_single_power_step_writes_the_edges_of_its_sources_alone(edges, asked, monkeypatch):
+    rows, sizes, write = [(a, b, a + b + 1) for a in range(20) for b in range(5)], [], exact.materialize
+    monkeypatch.setattr(exact, "materialize", lambda df, label: sizes.append(df.count()) or write(df, label))
+    found = {(r.query_id, r.node): r.p for r in exact.power_method(edges(rows), asked(3, 4), 1).collect()}
+    assert sizes == [10]
+    assert found == pytest.approx({(k, b): (u + b + 1) / sum(u + c + 1 for c in range(5)) for k, u in enumerate((3, 4)) for b in range(5)})

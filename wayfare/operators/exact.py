@@ -23,12 +23,14 @@ def power_method(edges: DataFrame, queries: DataFrame, length: int, cut_every: i
     """answer (query_id, node, p) of queries (query_id, u) after exactly `length` steps; all queries in one plan.
 
     For more than one step the edges are written once, in buckets by src, so that a step moves the state alone: totals
-    and edges are where it moves to.  The lineage is cut every cut_every steps by a written table.  written says that
-    edges are such a table already.
+    and edges are where it moves to.  A single step writes the edges of its sources alone.  The lineage is cut every
+    cut_every steps by a written table.  written says that edges are in buckets already.
     """
     edges = edges.select("src", "dst", "w")
     if length > 1 and not written:
         edges = bucketed(edges, ["src"], "edges")
+    elif length == 1:
+        edges = materialize(edges.join(queries.select(F.col("u").alias("src")).distinct(), "src", "left_semi"), "edges-at-hand")
     totals = edges.groupBy("src").agg(F.sum("w").alias("total"))
     if length > 1:
         totals = bucketed(totals, ["src"], "totals")
