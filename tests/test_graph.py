@@ -547,3 +547,15 @@ def test_a_single_power_step_writes_the_edges_of_its_sources_alone(edges, asked,
     found = {(r.query_id, r.node): r.p for r in exact.power_method(edges(rows), asked(3, 4), 1).collect()}
     assert sizes == [10]
     assert found == pytest.approx({(k, b): (u + b + 1) / sum(u + c + 1 for c in range(5)) for k, u in enumerate((3, 4)) for b in range(5)})
+
+
+def test_the_metrics_graph_moves_its_pairs_once(spark, monkeypatch):
+    monkeypatch.setattr(derived, "LINES", 1000)
+    written, write = [], derived.bucketed
+    monkeypatch.setattr(derived, "bucketed", lambda df, keys, label, buckets: written.append((df, buckets)) or write(df, keys, label, buckets))
+    table = derived.copurchase_written(spark, DATA)
+    df, buckets = written[0]
+    # buckets grow with the lines, and dealing by them moves nothing anew
+    assert buckets == -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert str(df.repartition(buckets, "src")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning(src") == 1
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, derived.copurchase(spark, DATA).collect()))

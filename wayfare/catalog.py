@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import columns
 from wayfare.operators import answers, counted, exact, indexes, metrics, push, stats, stored, updates, walks
 from wayfare.plans import oracle as sql
-from wayfare.plans.storage import bucketed, materialize, new_path
+from wayfare.plans.storage import materialize, new_path
 from wayfare.sources import csr, derived, files, parts
 from wayfare.sources.store import Store
 from wayfare.streaming.ops import apply_stream
@@ -217,7 +217,7 @@ _EVALUATED = f"{sql.graph('copurchase', 'positions', 'prefix', 'matrix')},\n{sql
 
 def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An answer, the truth, and the graph, which is written once and for both."""
-    edges = bucketed(derived.copurchase(spark, d), ["src"], "copurchase")
+    edges = derived.copurchase_written(spark, d)
     asked = sources(spark, [1, 2])
     answer = materialize(walks.prefix_walk(edges, asked, WALKS, 2, written=True).select("query_id", "node", "p"), "answer")
     return answer, materialize(exact.power_method(edges, asked, 2, written=True), "truth"), edges

@@ -59,14 +59,15 @@ def tasks(spark: SparkSession, rows: int, each: int) -> int:
     return max(-(-rows // each), min(spark.sparkContext.defaultParallelism, rows >> 14), 1)
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], label: str, buckets: int | None = None) -> DataFrame:
     """Write df as a table dealt into buckets by keys and sorted by them within, and read it back.
 
-    A join on exactly these keys then moves the other side only, however often it is repeated.  There are as many
-    buckets as shuffle partitions, so that the two fit each other.
+    A join on exactly these keys then moves the other side only, however often it is repeated.  Unless their number is
+    given there are as many buckets as shuffle partitions, so that the two fit each other.  What is dealt so already
+    isn't moved.
     """
     path = new_path(df.sparkSession, label)
-    return df.sparkSession.table(_write_buckets(df, keys, path, f"{label}-{path.rpartition('-')[2]}"))
+    return df.sparkSession.table(_write_buckets(df, keys, path, f"{label}-{path.rpartition('-')[2]}", buckets))
 
 
 def _named(spark: SparkSession, name: str) -> str:
@@ -76,9 +77,9 @@ def _named(spark: SparkSession, name: str) -> str:
     return name
 
 
-def _write_buckets(df: DataFrame, keys: list[str], path: str, name: str) -> str:
+def _write_buckets(df: DataFrame, keys: list[str], path: str, name: str, buckets: int | None = None) -> str:
     spark, name = df.sparkSession, _named(df.sparkSession, name)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one task for each bucket, so that a bucket is one file
     dealt = df.repartition(buckets, *keys)
     dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
