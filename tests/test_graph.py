@@ -559,3 +559,42 @@ def test_the_metrics_graph_moves_its_pairs_once(spark, monkeypatch):
     assert buckets == -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert str(df.repartition(buckets, "src")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning(src") == 1
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, derived.copurchase(spark, DATA).collect()))
+
+
+def test_the_metrics_graph_is_made_where_walks_go_alone(spark, asked):
+    whole = {(r.src, r.dst): r.w for r in derived.copurchase(spark, DATA).collect()}
+    begin = asked(1, 2).select(F.col("u").alias("src"))
+    first = {b for a, b in whole if a in (1, 2)}
+    # a node that is met again, as 1 is from its neighbours, has its edges once
+    for steps, nodes in ((1, {1, 2}), (2, {1, 2} | first)):
+        found = [tuple(r) for r in derived.copurchase_near(spark, DATA, begin, steps).collect()]
+        assert sorted(found) == sorted((a, b, w) for (a, b), w in whole.items() if a in nodes)
+    size = derived.copurchase_size(spark, DATA).first()
+    assert (size.n, size.whole) == (max(map(max, whole)) + 1, sum(whole.values()))
+
+
+def test_queries_of_answers_make_no_graph_and_no_truth(spark, monkeypatch):
+    def fail(*args, **more):
+        raise AssertionError("not needed")
+
+    for name in ("copurchase", "copurchase_written", "copurchase_size"):
+        monkeypatch.setattr(derived, name, fail)
+    assert catalog.queries()["metric_l1"](spark, DATA).count() == 2
+    monkeypatch.setattr(exact, "power_method", fail)
+    for name in ("reached_count", "answer_sorted", "top_k_answer"):
+        assert catalog.queries()[name](spark, DATA).count()
+
+
+def test_size_of_orders_that_repeat_parts_or_have_none(spark, tmp_path):
+    lines = [(1, 5), (1, 5), (1, 7), (2, 90), (2, 90), (3, None), (3, 4), (None, 8), (None, 9), (4, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert tuple(derived.copurchase_size(spark, str(tmp_path)).first()) == (8, 4.0)
+    assert tuple(stats.attribute(derived.copurchase(spark, str(tmp_path))).first())[:1] == (8,)
+    near = derived.copurchase_near(spark, str(tmp_path), spark.range(5, 6).select(F.col("id").alias("src")), 2)
+    assert sorted(map(tuple, near.collect())) == [(5, 7, 2.0), (7, 5, 2.0)]
+
+
+def test_conductance_of_the_answers_edges_and_the_whole_weight(spark, edges):
+    graph = edges([(0, 1, 4), (1, 0, 4), (1, 2, 1), (2, 1, 1), (2, 3, 5), (3, 2, 5)])
+    answer = spark.createDataFrame([(0, 0, 0.6), (0, 1, 0.4)], "query_id long, node long, p double")
+    assert metrics.conductance(answer, graph.filter("src < 2"), 20.0).collect() == metrics.conductance(answer, graph).collect()

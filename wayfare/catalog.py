@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns
@@ -215,12 +216,37 @@ for _name, _graph, _us, _samples, _length in (("sampled_push_step", "copurchase"
 _EVALUATED = f"{sql.graph('copurchase', 'positions', 'prefix', 'matrix')},\n{sql.power([1, 2], 2)},\n{sql.prefix_walk([1, 2], WALKS, 2, with_queries=False)}"
 
 
-def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An answer, the truth, and the graph, which is written once and for both."""
-    edges = derived.copurchase_written(spark, d)
-    asked = sources(spark, [1, 2])
-    answer = materialize(walks.prefix_walk(edges, asked, WALKS, 2, written=True).select("query_id", "node", "p"), "answer")
-    return answer, materialize(exact.power_method(edges, asked, 2, written=True), "truth"), edges
+class _Evaluated:
+    """An answer, the truth and what metrics ask of the graph, each made when it is asked for.
+
+    Two steps from two sources meet few edges, so those alone are made of the order lines, and written.
+    """
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d, self.asked = spark, d, sources(spark, [1, 2])
+
+    @functools.cached_property
+    def near(self) -> DataFrame:
+        """The edges that the walks and the exact steps can take."""
+        return derived.copurchase_near(self.spark, self.d, self.asked.select(F.col("u").alias("src")), 2)
+
+    @functools.cached_property
+    def answer(self) -> DataFrame:
+        return materialize(walks.prefix_walk(self.near, self.asked, WALKS, 2, written=True).select("query_id", "node", "p"), "answer")
+
+    @functools.cached_property
+    def truth(self) -> DataFrame:
+        return materialize(exact.power_method(self.near, self.asked, 2, written=True), "truth")
+
+    @functools.cached_property
+    def swept(self) -> DataFrame:
+        """The edges of the answer's nodes."""
+        return derived.copurchase_of(self.spark, self.d, self.answer.select(F.col("node").alias("src")))
+
+    @functools.cached_property
+    def size(self) -> Row:
+        """n and whole of the graph."""
+        return derived.copurchase_size(self.spark, self.d).first()
 
 
 def _size(edges: DataFrame) -> int:
@@ -229,27 +255,27 @@ def _size(edges: DataFrame) -> int:
 
 _METRICS = f"{_EVALUATED},\n{sql.METRICS}"
 for _name, _sql, _make in (
-    ("metric_l1", "SELECT query_id, round(l1, 9) AS l1 FROM l1", lambda a, t, e: metrics.l1_error(a, t).select("query_id", rounded("l1"))),
-    ("metric_max_ae", "SELECT query_id, round(max_ae, 9) AS max_ae, node, round(a, 9) AS a, round(t, 9) AS t FROM ae", lambda a, t, e: metrics.max_additive_error(a, t).select("query_id", rounded("max_ae"), "node", rounded("a"), rounded("t"))),
-    ("metric_precision", "SELECT query_id, round(precision, 9) AS precision FROM precise", lambda a, t, e: metrics.precision_at_k(a, t, _size(e)).select("query_id", rounded("precision"))),
-    ("metric_conductance", "SELECT query_id, round(conductance, 9) AS conductance FROM conduct", lambda a, t, e: metrics.conductance(a, e).select("query_id", rounded("conductance"))),
+    ("metric_l1", "SELECT query_id, round(l1, 9) AS l1 FROM l1", lambda e: metrics.l1_error(e.answer, e.truth).select("query_id", rounded("l1"))),
+    ("metric_max_ae", "SELECT query_id, round(max_ae, 9) AS max_ae, node, round(a, 9) AS a, round(t, 9) AS t FROM ae", lambda e: metrics.max_additive_error(e.answer, e.truth).select("query_id", rounded("max_ae"), "node", rounded("a"), rounded("t"))),
+    ("metric_precision", "SELECT query_id, round(precision, 9) AS precision FROM precise", lambda e: metrics.precision_at_k(e.answer, e.truth, e.size.n).select("query_id", rounded("precision"))),
+    ("metric_conductance", "SELECT query_id, round(conductance, 9) AS conductance FROM conduct", lambda e: metrics.conductance(e.answer, e.swept, e.size.whole).select("query_id", rounded("conductance"))),
     (
         "metrics_report",
         "SELECT round(avg(l1), 9) AS l1, round(avg(precision), 9) AS precision, round(avg(conductance), 9) AS conductance, round(avg(max_ae), 9) AS max_ae FROM l1 JOIN ae USING (query_id) JOIN precise USING (query_id) JOIN conduct USING (query_id)",
-        lambda a, t, e: metrics.report(a, t, e, _size(e)).select(*map(rounded, ("l1", "precision", "conductance", "max_ae"))),
+        lambda e: metrics.report(e.answer, e.truth, e.swept, e.size.n, whole=e.size.whole).select(*map(rounded, ("l1", "precision", "conductance", "max_ae"))),
     ),
-    ("answer_sorted", "SELECT query_id, node, round(p, 9) AS p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, node DESC) AS rank FROM answer", lambda a, t, e: answers.ranked(a).select("query_id", "node", rounded("p"), F.col("rank").cast("long").alias("rank"))),
-    ("top_k_answer", "SELECT query_id, node FROM mine", lambda a, t, e: answers.top_k(a, 50).select("query_id", "node")),
-    ("support_union", "SELECT query_id, node FROM answer UNION SELECT query_id, node FROM truth", lambda a, t, e: answers.support_union(a, t)),
-    ("support_missing", "SELECT query_id, node FROM truth EXCEPT SELECT query_id, node FROM answer", lambda a, t, e: answers.support_missing(t, a)),
+    ("answer_sorted", "SELECT query_id, node, round(p, 9) AS p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, node DESC) AS rank FROM answer", lambda e: answers.ranked(e.answer).select("query_id", "node", rounded("p"), F.col("rank").cast("long").alias("rank"))),
+    ("top_k_answer", "SELECT query_id, node FROM mine", lambda e: answers.top_k(e.answer, 50).select("query_id", "node")),
+    ("support_union", "SELECT query_id, node FROM answer UNION SELECT query_id, node FROM truth", lambda e: answers.support_union(e.answer, e.truth)),
+    ("support_missing", "SELECT query_id, node FROM truth EXCEPT SELECT query_id, node FROM answer", lambda e: answers.support_missing(e.truth, e.answer)),
     (
         "topk_intersection",
         "SELECT query_id, node FROM mine INTERSECT SELECT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, node DESC) AS k FROM truth) WHERE k <= 50",
-        lambda a, t, e: answers.topk_intersection(a, t.withColumn("p", F.round("p", 12)), 50),
+        lambda e: answers.topk_intersection(e.answer, e.truth.withColumn("p", F.round("p", 12)), 50),
     ),
-    ("reached_count", "SELECT query_id, count(*) AS reached FROM answer GROUP BY query_id", lambda a, t, e: answers.reached_count(a)),
+    ("reached_count", "SELECT query_id, count(*) AS reached FROM answer GROUP BY query_id", lambda e: answers.reached_count(e.answer)),
 ):
-    query(_name, f"{_METRICS} {_sql}")(lambda spark, d, f=_make: f(*_evaluated(spark, d)))
+    query(_name, f"{_METRICS} {_sql}")(lambda spark, d, f=_make: f(_Evaluated(spark, d)))
 
 
 # ---- files of answers and queries

@@ -64,7 +64,7 @@ def precision_at_k(answer: DataFrame, truth: DataFrame, n: int, k: int = 50) ->
     return size.join(hits, "query_id", "left").select("query_id", F.when(F.col("n") < k, F.lit(1.0)).otherwise(F.coalesce("hits", F.lit(0)) / F.lit(float(k))).alias("precision"))
 
 
-def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
+def conductance(answer: DataFrame, edges: DataFrame, whole: float | None = None) -> DataFrame:
     """query_id, conductance: the least conductance of the sweep over nodes in order of (p, node), greatest first.
 
     Nodes without out-edges are never in the cut.  An edge to a node of the cut, the own one included, takes its weight
@@ -72,9 +72,10 @@ def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
     less its least value so far (if that is below 0), the sweep is a matter of running sums.
 
     Of the graph the edges of the answer's nodes alone are summed and ranked, and the rest adds to the whole weight; an
-    answer of few nodes goes to where the edges are.
+    answer of few nodes goes to where the edges are.  Where the whole weight is given, edges need be those of the
+    answer's nodes alone.
     """
-    whole = edges.agg(F.sum("w").alias("whole"))
+    weight = edges.agg(F.sum("w").alias("whole")) if whole is None else edges.sparkSession.range(1).select(F.lit(whole).alias("whole"))
     reached = answer.filter("p > 0").select(F.col("node").alias("src")).distinct()
     edges = edges.select("src", "dst", "w").join(reached, "src", "left_semi")
     sources = edges.groupBy("src").agg(F.sum("w").alias("vol"))
@@ -90,7 +91,7 @@ def conductance(answer: DataFrame, edges: DataFrame) -> DataFrame:
     sums = running(swept.join(step, ["query_id", "rank"]).select("query_id", "rank", "delta", "vol"), ["query_id"], fine, ["rank"], {"s": F.col("delta"), "v": F.col("vol")})
     sums = running(sums, ["query_id"], fine, ["rank"], {}, least={"low": F.col("s")})
     cut = F.col("s") - F.least(F.lit(0.0), F.col("low"))
-    cuts = sums.select("query_id", "v", cut.alias("cut")).join(F.broadcast(whole)).withColumn("small", F.least("v", F.col("whole") - F.col("v")))
+    cuts = sums.select("query_id", "v", cut.alias("cut")).join(F.broadcast(weight)).withColumn("small", F.least("v", F.col("whole") - F.col("v")))
     phi = cuts.filter("cut > 0 and small > 0").groupBy("query_id").agg(F.min(F.col("cut") / F.col("small")).alias("phi"))
     return answer.select("query_id").distinct().join(phi, "query_id", "left").select("query_id", F.least(F.lit(1.0), F.coalesce("phi", F.lit(1.0))).alias("conductance"))
 
@@ -100,11 +101,11 @@ def errors(answer: DataFrame, truth: DataFrame, decimals: int = 12) -> DataFrame
     return _matched(answer, truth).groupBy("query_id").agg(F.sum("off").alias("l1"), F.max(F.round("off", decimals)).alias("max_ae"))
 
 
-def by_query(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50) -> DataFrame:
+def by_query(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50, whole: float | None = None) -> DataFrame:
     """query_id, l1, precision, conductance and max_ae."""
-    return errors(answer, truth).join(precision_at_k(answer, truth, n, k), "query_id").join(conductance(answer, edges), "query_id")
+    return errors(answer, truth).join(precision_at_k(answer, truth, n, k), "query_id").join(conductance(answer, edges, whole), "query_id")
 
 
-def report(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50) -> DataFrame:
+def report(answer: DataFrame, truth: DataFrame, edges: DataFrame, n: int, k: int = 50, whole: float | None = None) -> DataFrame:
     """l1, precision, conductance and max_ae, each averaged over queries."""
-    return by_query(answer, truth, edges, n, k).agg(*[F.avg(c).alias(c) for c in ("l1", "precision", "conductance", "max_ae")])
+    return by_query(answer, truth, edges, n, k, whole).agg(*[F.avg(c).alias(c) for c in ("l1", "precision", "conductance", "max_ae")])
