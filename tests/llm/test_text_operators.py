@@ -12,10 +12,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, toxicity
+from wayfare.llm import bpe, chat_format, common, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, token_counts, toxicity
 from wayfare.llm.common import bounded_sample
 
 DATA = "/root/testdata/sf0.001"
@@ -913,3 +914,27 @@ def test_bounded_sample(spark):
 
 def test_vocabulary_is_read_in_place():
     assert json.load(open(BYTE_BPE, encoding="utf-8"))["model"]["type"] == "BPE"
+
+
+def test_texts_go_to_python_some_megabytes_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sized = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 5000) AS text")
+    said = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert [r.n for r in common.batched(texts).mapInArrow(sized, "n long").collect()] == [pytest.approx(4 << 20, rel=0.01)] * 3 + [pytest.approx(3000 * 5012 - 3 * (4 << 20), rel=0.05)]
+        # what the session says holds
+        spark.conf.set(key, "1m")
+        assert len(common.batched(texts).mapInArrow(sized, "n long").collect()) == 15
+    finally:
+        spark.conf.unset(key) if said is None else spark.conf.set(key, said)
+
+
+def test_order_keys_are_made_of_some_nodes_at_a_time(spark):
+    nodes = spark.range(0, 2500, 1, 1).selectExpr("cast(cast(id AS string) AS binary) AS node", "id AS n", "cast(repeat('abcd', 128) AS binary) AS sig")
+    keys = near_dedup.order_keys(nodes)
+    sized = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["rows"]) for b in batches)
+    assert keys.count() == 2500 * near_dedup.TREES and keys.select("node", "n").distinct().count() == 2500
+    assert max(near_dedup.KEYED, near_dedup.WordHashes.MOST) <= 1 << 16
+    assert sum(r.rows for r in keys.mapInArrow(sized, "rows long").collect()) == 2500 * near_dedup.TREES

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import join_groups, map_texts, materialize
+from wayfare.llm.common import batched, join_groups, map_texts, materialize
 
 TREES, PREFIX, DEEPEST = 32, 4, 12
 HASHES = TREES * PREFIX
@@ -41,6 +41,8 @@ CROWD = 8
 LEAST_PERCENT = 80
 #: Partners that are compared with one copy of a text.
 PARTNERS = 256
+#: Nodes whose order keys are made at once.
+KEYED = 1024
 
 
 def scrambled(n: int, seed: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    MOST = 300_000
+    MOST = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -128,10 +130,8 @@ def order_keys(nodes: DataFrame) -> DataFrame:
     """For each node and tree: place (the order key), node and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, KEYED) for b in batches for k in range(0, b.num_rows, KEYED)):
             rows = batch.num_rows
-            if not rows:
-                continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(rows, HASHES)
             key = np.empty((rows, TREES, LENGTH), dtype=np.uint8)
             key[:, :, 0] = np.arange(TREES)
@@ -297,7 +297,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         links.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "a binary, b binary")
+    return batched(rows.repartition("a", "part").sortWithinPartitions("a", "part", "other")).mapInArrow(run, "a binary, b binary")
 
 
 def fitting(pairs: DataFrame, percent: int) -> DataFrame:

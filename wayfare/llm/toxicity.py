@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import bounded_sample, id_fold, map_texts, materialize
+from wayfare.llm.common import batched, bounded_sample, id_fold, map_texts, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that may become voters.
@@ -64,7 +64,7 @@ def induce(sample: DataFrame, most: int, least: int) -> list[str]:
     n0, n1 = float(size.get(0, 0)), float(size.get(1, 0))
     if not n0 or not n1:
         return []
-    counted = sample.select(F.col("text").cast("binary"), "toxic").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = batched(sample.select(F.col("text").cast("binary"), "toxic")).mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p0, p1, p = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + F.col("n1")) / (n0 + n1)
     gain = 2 * (F.col("n1") * F.log(p1 / p) + F.col("n0") * F.log(p0 / p))
     best = counted.filter((F.col("n1") >= least) & (p1 > 5 * p0)).orderBy(F.desc(gain), "f").limit(most)
@@ -74,7 +74,7 @@ def induce(sample: DataFrame, most: int, least: int) -> list[str]:
 class Voters:
     """Votes of lexicon words, beginnings and patterns on texts, and the features of the linear classifier."""
 
-    MEMORY = 400_000
+    MEMORY = 1 << 16
 
     def __init__(self, lexicon: list[str]):
         self.lexicon = lexicon
@@ -260,4 +260,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             score = sent.value.score
             yield batch.filter(pa.array([not score(t.encode() if t is not None else None)[1] for t in batch.column(place).to_pylist()], type=pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return batched(docs).mapInArrow(keep, docs.schema)
