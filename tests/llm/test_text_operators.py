@@ -938,3 +938,16 @@ def test_order_keys_are_made_of_some_nodes_at_a_time(spark):
     assert keys.count() == 2500 * near_dedup.TREES and keys.select("node", "n").distinct().count() == 2500
     assert max(near_dedup.KEYED, near_dedup.WordHashes.MOST) <= 1 << 16
     assert sum(r.rows for r in keys.mapInArrow(sized, "rows long").collect()) == 2500 * near_dedup.TREES
+
+
+def test_a_task_takes_its_memory_of_tokens_with_it(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(bpe, "map_texts", lambda docs, keys, text, make, schema: made.append(make))
+    bpe.encode_decode(None, BYTE_BPE)
+    bpe.encode_documents(None, BYTE_BPE)
+    for make in made:
+        first, second = make(), make()
+        assert str(first(b"some words, some words")) == str(first(b"some words, some words")) == str(second(b"some words, some words"))
+    # what stays in the process is the vocabulary alone
+    assert not bpe._loaded[BYTE_BPE]._pieces and not bpe._loaded[BYTE_BPE]._fragments
+    assert bpe.load(BYTE_BPE).rank_of is bpe.load(BYTE_BPE).rank_of and bpe.BytePairs.MEMORY <= 1 << 18

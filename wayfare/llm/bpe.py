@@ -8,6 +8,7 @@ concatenated.  Fragments recur far more often than pieces, so a bounded memory o
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -35,7 +36,7 @@ class BytePairs:
     """A byte-level BPE vocabulary: its merges, its certain cuts, encoding and decoding."""
 
     #: Pieces and fragments whose ids are remembered; beyond that the memory starts anew.
-    MEMORY = 600_000
+    MEMORY = 1 << 18
     #: Longer pieces are not remembered.
     LONGEST = 64
 
@@ -60,6 +61,12 @@ class BytePairs:
         self._pieces: dict[str, bytes] = {}
         self._fragments: dict[bytes, bytes] = {}
 
+    def afresh(self) -> BytePairs:
+        """The same vocabulary with a memory of its own, still empty, which goes when this one does."""
+        found = copy.copy(self)
+        found._pieces, found._fragments = {}, {}
+        return found
+
     def fragments(self, piece: bytes) -> list[bytes]:
         """A piece, split at its certain cuts."""
         inside, out, begin = self.inside, [], 0
@@ -147,10 +154,10 @@ _loaded: dict[str, BytePairs] = {}
 
 
 def load(path: str) -> BytePairs:
-    """The vocabulary at path, read once in each process."""
+    """The vocabulary at path, read once in each process; its memory is the caller's, so an idle worker keeps none."""
     if path not in _loaded:
         _loaded[path] = BytePairs(path)
-    return _loaded[path]
+    return _loaded[path].afresh()
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
